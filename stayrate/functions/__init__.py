@@ -3,12 +3,14 @@ from stayrate.functions.expressions import (
     clean_age,
     month_start,
     months_after,
+    n_rows,
     ratio,
     round_even,
     share_pct,
     side_by_side,
     week_start,
 )
+from stayrate.functions.joins import lookup_join
 from stayrate.functions.ranking import (
     distributed_rank,
     edge_bin,
@@ -25,8 +27,10 @@ __all__ = [
     "distributed_rank",
     "edge_bin",
     "exact_quantiles",
+    "lookup_join",
     "month_start",
     "months_after",
+    "n_rows",
     "quantile_bins",
     "quantile_edges",
     "rank_quantile_bins",

@@ -14,6 +14,10 @@ def _col(column: Column | str) -> Column:
     return F.col(column) if isinstance(column, str) else column
 
 
+def n_rows() -> Column:
+    return F.count(F.lit(1))
+
+
 def as_double(column: Column | str) -> Column:
     return _col(column).cast("double")
 

@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayrate.config import DEFAULT
-from stayrate.functions import ratio
+from stayrate.functions import lookup_join, n_rows, ratio
 from stayrate.sources.checkpoints import materialise
 
-_ROWS = F.count(F.lit(1))
 _BASKET = ["customer_id", "t_dat"]
 
 # A basket holds each item once, so with at most this many different items in the data
@@ -21,7 +20,8 @@ def basket_rows(txn: DataFrame, art: DataFrame, item_col: str = "product_type_na
     """Basket and item of every transaction of a known article; repeats are kept."""
     items = art.select("article_id", F.col(item_col).alias("item"))
     known = txn.where(F.col("customer_id").isNotNull() & F.col("t_dat").isNotNull())
-    return known.select(*_BASKET, "article_id").join(items, "article_id").select(*_BASKET, "item")
+    rows = known.select(*_BASKET, "article_id")
+    return lookup_join(rows, items, "article_id").select(*_BASKET, "item")
 
 
 def baskets(txn: DataFrame, art: DataFrame, item_col: str = "product_type_name") -> DataFrame:
@@ -30,13 +30,13 @@ def baskets(txn: DataFrame, art: DataFrame, item_col: str = "product_type_name")
 
 
 def n_baskets(rows: DataFrame) -> DataFrame:
-    return rows.select(*_BASKET).distinct().agg(_ROWS.alias("n_baskets"))
+    return rows.select(*_BASKET).distinct().agg(n_rows().alias("n_baskets"))
 
 
 def item_counts(rows: DataFrame) -> DataFrame:
     """Baskets per item."""
     distinct = rows.where(F.col("item").isNotNull()).select(*_BASKET, "item").distinct()
-    return distinct.groupBy("item").agg(_ROWS.alias("n_baskets"))
+    return distinct.groupBy("item").agg(n_rows().alias("n_baskets"))
 
 
 def basket_types(rows: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def basket_types(rows: DataFrame) -> DataFrame:
     counts follow from it. Missing items leave the set but keep the basket.
     """
     sets = rows.groupBy(*_BASKET).agg(F.sort_array(F.collect_set("item")).alias("items"))
-    return sets.groupBy("items").agg(_ROWS.alias("n"))
+    return sets.groupBy("items").agg(n_rows().alias("n"))
 
 
 def _pairs_of_types(types: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def _pairs_in_blocks(rows: DataFrame, n_blocks: int) -> DataFrame:
     )
     paired = left.join(right, [*_BASKET, "_block_a", "_block_b"])
     pairs = paired.where(F.col("item_a") < F.col("item_b")).groupBy("item_a", "item_b")
-    return pairs.agg(_ROWS.alias("pair_count"))
+    return pairs.agg(n_rows().alias("pair_count"))
 
 
 def _blocks_for(vocabulary: int) -> int:

@@ -10,10 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stayrate.config import DEFAULT, SEGMENT_RULES, SegmentRule
+from stayrate.functions import n_rows
 from stayrate.operators.rfm import rfm_segment
 
-_ROWS = F.count(F.lit(1))
-
 
 def _count_if(condition: Column) -> Column:
     return F.count(F.when(condition, 1))
@@ -21,9 +20,9 @@ def _count_if(condition: Column) -> Column:
 
 def audit_unique(df: DataFrame, key: str = "customer_id", by: str = "snapshot_date") -> DataFrame:
     """Per ``by``: different keys, and keys that occur more than once."""
-    per_key = df.groupBy(by, key).agg(_ROWS.alias("n"))
+    per_key = df.groupBy(by, key).agg(n_rows().alias("n"))
     return per_key.groupBy(by).agg(
-        _ROWS.alias("n_keys"), _count_if(F.col("n") > 1).alias("n_duplicated")
+        n_rows().alias("n_keys"), _count_if(F.col("n") > 1).alias("n_duplicated")
     )
 
 
@@ -55,7 +54,7 @@ def audit_feature_dates(txn: DataFrame, snap: DataFrame) -> DataFrame:
     expected = F.datediff("snapshot_date", "last_day")
     wrong = ~F.col("recency_days").eqNullSafe(expected.cast("bigint"))
     return checked.groupBy("snapshot_date").agg(
-        _ROWS.alias("n_customers"),
+        n_rows().alias("n_customers"),
         _count_if(F.col("recency_days") < 1).alias("n_not_before"),
         _count_if(wrong).alias("n_wrong_recency"),
         F.max("last_day").alias("max_source_date"),
@@ -84,7 +83,7 @@ def _labels_against_purchases(
     return (
         labelled.join(buyers, ["customer_id", "snapshot_date"], "left")
         .groupBy("snapshot_date")
-        .agg(_ROWS.alias("n_labelled"), F.count("_bought").alias("n_bought"))
+        .agg(n_rows().alias("n_labelled"), F.count("_bought").alias("n_bought"))
     )
 
 
@@ -124,12 +123,12 @@ def audit_quintiles(seg: DataFrame, q: int = DEFAULT.n_quantiles) -> DataFrame:
     """Rows with a score outside 1..q or without a segment, and customers in several rows."""
     score_ok = [F.coalesce(F.col(c).between(1, q), F.lit(False)) for c in ("R_q", "F_q", "M_q")]
     per_customer = seg.groupBy("customer_id").agg(
-        _ROWS.alias("n"),
+        n_rows().alias("n"),
         _count_if(~(score_ok[0] & score_ok[1] & score_ok[2])).alias("bad"),
         _count_if(F.col("segment").isNull()).alias("without"),
     )
     return per_customer.agg(
-        _ROWS.alias("n_customers"),
+        n_rows().alias("n_customers"),
         F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad_scores"),
         F.coalesce(F.sum("without"), F.lit(0)).alias("n_without_segment"),
         _count_if(F.col("n") > 1).alias("n_duplicated"),
@@ -140,7 +139,7 @@ def audit_segment_rules(seg: DataFrame, rules: Sequence[SegmentRule] = SEGMENT_R
     """Rows whose segment is not the one the rules give, over all rows."""
     again = rfm_segment(seg.withColumnRenamed("segment", "_stored"), rules)
     return again.agg(
-        _ROWS.alias("n_rows"),
+        n_rows().alias("n_rows"),
         _count_if(~F.col("segment").eqNullSafe(F.col("_stored"))).alias("n_mismatched"),
         F.count_distinct("_stored").alias("n_segments"),
     )

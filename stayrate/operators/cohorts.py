@@ -8,11 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stayrate.functions import as_double, month_start, months_after, ratio, share_pct
+from stayrate.functions import as_double, month_start, months_after, n_rows, ratio, share_pct
 from stayrate.operators.purchases import purchase_days
 
-_ROWS = F.count(F.lit(1))
-
 
 def first_purchase(txn: DataFrame) -> DataFrame:
     """Per customer: first date, its month, and the lowest channel number of that day.
@@ -56,7 +54,7 @@ def cohort_activity(txn: DataFrame) -> DataFrame:
     return (
         marked.where(new_month)
         .groupBy(cohort.alias("cohort_month"), "first_channel", "activity_month")
-        .agg(_ROWS.alias("n_customers"))
+        .agg(n_rows().alias("n_customers"))
         .select(
             "cohort_month",
             "first_channel",
@@ -68,11 +66,11 @@ def cohort_activity(txn: DataFrame) -> DataFrame:
 
 
 def cohort_sizes(first: DataFrame) -> DataFrame:
-    return first.groupBy("cohort_month").agg(_ROWS.alias("cohort_size"))
+    return first.groupBy("cohort_month").agg(n_rows().alias("cohort_size"))
 
 
 def channel_sizes(first: DataFrame) -> DataFrame:
-    return first.groupBy("first_channel").agg(_ROWS.alias("cohort_size"))
+    return first.groupBy("first_channel").agg(n_rows().alias("cohort_size"))
 
 
 def _retention(activity: DataFrame, sizes: DataFrame, key: str, digits: int | None) -> DataFrame:
@@ -116,7 +114,7 @@ def retention_matrix(retention: DataFrame, months: int = 12, min_cells: int = 6)
 def avg_retention(matrix: DataFrame, months: Sequence[int] = (3, 6)) -> DataFrame:
     """The mean over cohorts, each with the same weight, and the number of cohorts."""
     means = [ratio(F.sum(F.col(f"m{m}")), F.count(f"m{m}")).alias(f"avg_m{m}") for m in months]
-    return matrix.agg(*means, _ROWS.alias("n_cohorts"))
+    return matrix.agg(*means, n_rows().alias("n_cohorts"))
 
 
 def channel_gap_m6(

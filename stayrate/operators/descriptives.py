@@ -12,14 +12,13 @@ from stayrate.config import DEFAULT
 from stayrate.functions import (
     as_double,
     month_start,
+    n_rows,
     ratio,
     running_totals,
     share_pct,
     week_start,
 )
 
-_ROWS = F.count(F.lit(1))
-
 
 def _total(column: str) -> Column:
     """Sum over a frame that has one row per week, month or category."""
@@ -32,7 +31,7 @@ def weekly_revenue(txn: DataFrame) -> DataFrame:
         txn.groupBy(week_start("t_dat").alias("week"))
         .agg(
             F.sum("price").alias("revenue"),
-            _ROWS.alias("n_txns"),
+            n_rows().alias("n_txns"),
             F.count_distinct("customer_id").alias("n_customers"),
         )
         .withColumn("revenue", as_double("revenue"))
@@ -60,7 +59,7 @@ def _first_extreme(value: str, date: str, highest: bool) -> Column:
 def weekly_extremes(index: DataFrame) -> DataFrame:
     """Number of weeks, and the peak and the trough of ``weekly_index``."""
     return index.agg(
-        _ROWS.alias("n_weeks"),
+        n_rows().alias("n_weeks"),
         _first_extreme("rev_index", "week", highest=True).alias("peak_week"),
         F.max("rev_index").alias("peak_index"),
         _first_extreme("rev_index", "week", highest=False).alias("trough_week"),
@@ -70,7 +69,7 @@ def weekly_extremes(index: DataFrame) -> DataFrame:
 
 def channel_weekly(txn: DataFrame) -> DataFrame:
     grouped = txn.groupBy(week_start("t_dat").alias("week"), "sales_channel_id")
-    totals = grouped.agg(F.sum("price").alias("revenue"), _ROWS.alias("n_txns"))
+    totals = grouped.agg(F.sum("price").alias("revenue"), n_rows().alias("n_txns"))
     return totals.withColumn("revenue", as_double("revenue"))
 
 
@@ -121,15 +120,16 @@ def product_mix(txn: DataFrame, art: DataFrame, digits: int | None = 1) -> DataF
 
 
 def customer_revenue(txn: DataFrame) -> DataFrame:
-    """Total revenue per customer."""
-    return txn.groupBy("customer_id").agg(F.sum("price").alias("total_rev"))
+    """Total revenue per customer; ``txn`` may also be a stored ``purchase_days`` frame."""
+    amount = "spend" if "n_items" in txn.columns else "price"
+    return txn.groupBy("customer_id").agg(F.sum(amount).alias("total_rev"))
 
 
 def _concentration(revenue: DataFrame) -> DataFrame:
     """Per different revenue ``v``: its customers ``n``, and customers and revenue below it."""
     spend = revenue.where(F.col("total_rev").isNotNull())
     levels = spend.groupBy(F.col("total_rev").alias("v")).agg(
-        _ROWS.alias("n"), F.sum("total_rev").alias("spend")
+        n_rows().alias("n"), F.sum("total_rev").alias("spend")
     )
     totals = running_totals(levels, ["v"], ["n", "spend"])
     return totals.select(
@@ -200,7 +200,7 @@ def gini(revenue: DataFrame) -> DataFrame:
 
 def monthly_revenue(txn: DataFrame) -> DataFrame:
     grouped = txn.groupBy(month_start("t_dat").alias("month"))
-    totals = grouped.agg(F.sum("price").alias("revenue"), _ROWS.alias("n_txns"))
+    totals = grouped.agg(F.sum("price").alias("revenue"), n_rows().alias("n_txns"))
     return totals.withColumn("revenue", as_double("revenue"))
 
 
@@ -216,7 +216,7 @@ def seasonality_index(monthly: DataFrame, digits: int | None = 1) -> DataFrame:
 
 def seasonality_peak(index: DataFrame) -> DataFrame:
     return index.agg(
-        _ROWS.alias("n_months"),
+        n_rows().alias("n_months"),
         _first_extreme("rev_index", "month", highest=True).alias("peak_month"),
         F.max("rev_index").alias("peak_index"),
     )

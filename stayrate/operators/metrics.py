@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from stayrate.functions import (
     as_double,
     edge_bin,
+    n_rows,
     quantile_edges,
     ratio,
     round_even,
@@ -22,8 +23,6 @@ from stayrate.functions import (
     side_by_side,
 )
 
-_ROWS = F.count(F.lit(1))
-
 
 def score_histogram(
     df: DataFrame, score: str = "score", label: str = "lapsed", by: Sequence[str] = ()
@@ -198,7 +197,7 @@ def calibration_bins(
     for edge in edges:
         number = number + F.when(value > edge, 1).otherwise(0)
     grouped = df.groupBy(number.cast("bigint").alias("bin")).agg(
-        _ROWS.alias("n"),
+        n_rows().alias("n"),
         F.sum(F.col(label).cast("bigint")).alias("_pos"),
         F.sum(value).alias("_scores"),
     )

@@ -21,8 +21,11 @@ def _known(txn: DataFrame) -> DataFrame:
 def purchase_days(txn: DataFrame, online_channel: int = DEFAULT.online_channel) -> DataFrame:
     """Per customer and day: items, spend, priced and online items, lowest channel number.
 
-    Sums that the caller does not use are pruned from the plan.
+    Sums that the caller does not use are pruned from the plan. A frame that is already
+    condensed, such as a stored one, is returned as it is.
     """
+    if "n_items" in txn.columns:
+        return txn
     online = F.col("sales_channel_id") == online_channel
     return _known(txn).groupBy("customer_id", "t_dat").agg(
         F.count(F.lit(1)).alias("n_items"),
@@ -36,17 +39,20 @@ def purchase_days(txn: DataFrame, online_channel: int = DEFAULT.online_channel)
 def purchase_days_with_articles(
     txn: DataFrame, online_channel: int = DEFAULT.online_channel
 ) -> DataFrame:
-    """As ``purchase_days``, with ``n_new_articles`` in place of the channel.
+    """As ``purchase_days``, with ``n_new_articles``.
 
     ``n_new_articles`` counts the articles that the customer buys for the first time on
     that day. Its running sum is the number of different articles bought so far, at any
     date, which saves a distinct count per date.
     """
+    if "n_new_articles" in txn.columns:
+        return txn
     known = _known(txn)
     items = known.select(
         "customer_id",
         "t_dat",
         "price",
+        "sales_channel_id",
         F.lit(True).alias("item"),
         F.when(F.col("sales_channel_id") == online_channel, True).alias("online"),
         F.lit(None).cast("boolean").alias("new_article"),
@@ -60,6 +66,7 @@ def purchase_days_with_articles(
             "customer_id",
             "t_dat",
             F.lit(None).cast(txn.schema["price"].dataType).alias("price"),
+            F.lit(None).cast(txn.schema["sales_channel_id"].dataType).alias("sales_channel_id"),
             nothing.alias("item"),
             nothing.alias("online"),
             F.lit(True).alias("new_article"),
@@ -70,6 +77,7 @@ def purchase_days_with_articles(
         F.sum("price").alias("spend"),
         F.count("price").alias("n_priced"),
         F.count("online").alias("n_online"),
+        F.min("sales_channel_id").alias("channel"),
         F.count("new_article").alias("n_new_articles"),
     )
 

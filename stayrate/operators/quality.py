@@ -9,9 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stayrate.config import DEFAULT, RetentionConfig
-from stayrate.functions import as_double, exact_quantiles, share_pct, side_by_side
+from stayrate.functions import as_double, exact_quantiles, n_rows, share_pct, side_by_side
 
-_ROWS = F.count(F.lit(1))
 _PRICE_PROBS = (0.25, 0.5, 0.75, 0.99)
 
 
@@ -21,19 +20,19 @@ def _count_if(condition: Column) -> Column:
 
 def q_duplicate_rows(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Surplus copies: rows beyond the first of each group that agrees on ``cols``."""
-    groups = df.groupBy(*(cols or df.columns)).agg(_ROWS.alias("copies"))
+    groups = df.groupBy(*(cols or df.columns)).agg(n_rows().alias("copies"))
     return groups.agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("n_duplicates"))
 
 
 def q_missing_age(cust: DataFrame) -> DataFrame:
-    counts = cust.agg(_count_if(F.col("age").isNull()).alias("n_missing"), _ROWS.alias("n_customers"))
+    counts = cust.agg(_count_if(F.col("age").isNull()).alias("n_missing"), n_rows().alias("n_customers"))
     return counts.withColumn("pct", share_pct("n_missing", "n_customers", 2))
 
 
 def q_implausible_age(
     cust: DataFrame, lo: int = DEFAULT.min_age, hi: int = DEFAULT.max_age
 ) -> DataFrame:
-    ages = cust.groupBy("age").agg(_ROWS.alias("n"))  # one row per age
+    ages = cust.groupBy("age").agg(n_rows().alias("n"))  # one row per age
     n_if = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
     age = F.col("age")
     return ages.agg(
@@ -55,17 +54,17 @@ def q_customers_no_txn(
     buyers = txn.select("customer_id").distinct().withColumn("_bought", F.lit(True))
     seen = cust.select("customer_id").join(buyers, "customer_id", "left")
     counts = seen.agg(
-        _count_if(F.col("_bought").isNull()).alias("n_no_txn"), _ROWS.alias("n_customers")
+        _count_if(F.col("_bought").isNull()).alias("n_no_txn"), n_rows().alias("n_customers")
     )
     return counts.withColumn("pct", share_pct("n_no_txn", "n_customers", 2))
 
 
 def _orphans(txn: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     """Transactions whose key the dimension lacks; they are counted per key before the join."""
-    per_key = txn.groupBy(key).agg(_ROWS.alias("n"))
+    per_key = txn.groupBy(key).agg(n_rows().alias("n"))
     unknown = per_key.join(dim.select(key), key, "left_anti")
     return unknown.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_orphans"), _ROWS.alias("n_unknown_keys")
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_orphans"), n_rows().alias("n_unknown_keys")
     )
 
 
@@ -89,7 +88,7 @@ def q_price_validity(txn: DataFrame) -> DataFrame:
 def q_price_distribution(txn: DataFrame, exact: bool = True) -> DataFrame:
     """Range, mean and quartiles of the price; ``exact=False`` uses a sketch for the quantiles."""
     spread = txn.agg(
-        _ROWS.alias("n_txn"),
+        n_rows().alias("n_txn"),
         as_double(F.min("price")).alias("min_price"),
         as_double(F.max("price")).alias("max_price"),
         (as_double(F.sum("price")) / F.nullif(F.count("price"), F.lit(0))).alias("mean_price"),
@@ -111,8 +110,8 @@ def q_price_distribution(txn: DataFrame, exact: bool = True) -> DataFrame:
 def q_single_purchase(txn: DataFrame) -> DataFrame:
     """Customers with exactly one transaction row."""
     per_customer = txn.where(F.col("customer_id").isNotNull()).groupBy("customer_id")
-    counts = per_customer.agg(_ROWS.alias("n")).agg(
-        _count_if(F.col("n") == 1).alias("n_single"), _ROWS.alias("n_buyers")
+    counts = per_customer.agg(n_rows().alias("n")).agg(
+        _count_if(F.col("n") == 1).alias("n_single"), n_rows().alias("n_buyers")
     )
     return counts.withColumn("pct", share_pct("n_single", "n_buyers", 2))
 
@@ -126,7 +125,7 @@ def _day_gaps(txn: DataFrame) -> DataFrame:
 
 def q_date_gaps(txn: DataFrame) -> DataFrame:
     return _day_gaps(txn).agg(
-        _ROWS.alias("n_days"),
+        n_rows().alias("n_days"),
         _count_if(F.col("gap_days") > 1).alias("n_gaps"),
         F.max("gap_days").alias("max_gap_days"),
     )
@@ -139,7 +138,7 @@ def q_max_gap_date(txn: DataFrame) -> DataFrame:
 
 
 def _distribution(df: DataFrame, column: str) -> DataFrame:
-    counts = df.groupBy(column).agg(_ROWS.alias("n"))
+    counts = df.groupBy(column).agg(n_rows().alias("n"))
     everything = F.sum("n").over(W.partitionBy())  # one row per category
     return counts.withColumn("pct", share_pct("n", everything, 2))
 
@@ -165,7 +164,7 @@ def _listing(df: DataFrame, column: str) -> DataFrame:
         F.col("n").cast("string"),
     )
     return df.agg(
-        _ROWS.alias("count"), F.array_join(F.array_sort(F.collect_list(entry)), "; ").alias("detail")
+        n_rows().alias("count"), F.array_join(F.array_sort(F.collect_list(entry)), "; ").alias("detail")
     )
 
 
@@ -208,9 +207,9 @@ def quality_report(
     )
     pct = F.col("pct")
     rows = [
-        line(txn.agg(_ROWS.alias("n")), "transactions", "n", "starting count"),
-        line(cust.agg(_ROWS.alias("n")), "customers", "n", "starting count"),
-        line(art.agg(_ROWS.alias("n")), "articles", "n", "starting count"),
+        line(txn.agg(n_rows().alias("n")), "transactions", "n", "starting count"),
+        line(cust.agg(n_rows().alias("n")), "customers", "n", "starting count"),
+        line(art.agg(n_rows().alias("n")), "articles", "n", "starting count"),
         line(
             q_duplicate_rows(txn), "duplicate_transactions", "n_duplicates",
             "kept: several units of one article may be bought together",

@@ -10,11 +10,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stayrate.config import DEFAULT, OTHER_SEGMENT, SEGMENT_RULES, SegmentRule
-from stayrate.functions import as_double, quantile_bins, rank_quantile_bins, ratio, share_pct
+from stayrate.functions import (
+    as_double,
+    n_rows,
+    quantile_bins,
+    rank_quantile_bins,
+    ratio,
+    share_pct,
+)
 from stayrate.operators.purchases import purchase_days
 
-_ROWS = F.count(F.lit(1))
-
 
 def rfm_metrics(txn: DataFrame, ref_date: str | datetime.date | None = None) -> DataFrame:
     """Per customer: days since the last purchase, purchase days and total spend.
@@ -28,7 +33,7 @@ def rfm_metrics(txn: DataFrame, ref_date: str | datetime.date | None = None) ->
     reference = F.lit(ref_date).cast("date")
     return purchase_days(txn).groupBy("customer_id").agg(
         F.datediff(reference, F.max("t_dat")).cast("bigint").alias("recency_days"),
-        _ROWS.alias("frequency"),
+        n_rows().alias("frequency"),
         F.sum("spend").alias("monetary"),
     )
 
@@ -71,10 +76,10 @@ def rfm_segment(scores: DataFrame, rules: Sequence[SegmentRule] = SEGMENT_RULES)
 def rfm_integrity(seg: DataFrame) -> DataFrame:
     """Customers, customers in more than one row, and rows without a segment."""
     per_customer = seg.groupBy("customer_id").agg(
-        _ROWS.alias("n"), F.count(F.when(F.col("segment").isNull(), 1)).alias("n_null")
+        n_rows().alias("n"), F.count(F.when(F.col("segment").isNull(), 1)).alias("n_null")
     )
     return per_customer.agg(
-        _ROWS.alias("n_customers"),
+        n_rows().alias("n_customers"),
         F.count(F.when(F.col("n") > 1, 1)).alias("n_duplicated"),
         F.coalesce(F.sum("n_null"), F.lit(0)).alias("n_without_segment"),
     )
@@ -83,7 +88,7 @@ def rfm_integrity(seg: DataFrame) -> DataFrame:
 def segment_summary(seg: DataFrame, digits: int | None = 1) -> DataFrame:
     """Per segment: size, revenue, mean R, F and M, shares, and mean spend over all = 100."""
     sums = seg.groupBy("segment").agg(
-        _ROWS.alias("n_customers"),
+        n_rows().alias("n_customers"),
         F.sum("monetary").alias("revenue"),
         F.sum("recency_days").alias("recency"),
         F.sum("frequency").alias("days"),

@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from stayrate.config import DEFAULT, RetentionConfig
 from stayrate.functions import as_double, ratio, round_even
+from stayrate.operators.purchases import purchase_days
 from stayrate.operators.snapshots import window_at
 
-_ROWS = F.count(F.lit(1))
-
 
 def window_spend(
     txn: DataFrame, date: datetime.date | str, label_weeks: int = DEFAULT.label_window_weeks
@@ -22,8 +21,8 @@ def window_spend(
     start = window_at(date).date
     end = start + datetime.timedelta(weeks=label_weeks)
     day = F.col("t_dat")
-    inside = txn.where((day >= F.lit(start)) & (day < F.lit(end)))
-    return inside.groupBy("customer_id").agg(F.sum("price").alias("spend"))
+    inside = purchase_days(txn.where((day >= F.lit(start)) & (day < F.lit(end))))
+    return inside.groupBy("customer_id").agg(F.sum("spend").alias("spend"))
 
 
 def cohort_value(scores: DataFrame, seg: DataFrame, spend: DataFrame) -> DataFrame:

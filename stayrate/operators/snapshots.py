@@ -15,10 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayrate.config import DEFAULT, RetentionConfig
-from stayrate.functions import as_double, clean_age, ratio, round_even, share_pct
+from stayrate.functions import as_double, clean_age, n_rows, ratio, round_even, share_pct
 from stayrate.operators.purchases import purchase_days, purchase_days_with_articles, with_gaps
 
-_ROWS = F.count(F.lit(1))
 _KEYS = ["snapshot", "snapshot_date", "customer_id"]
 
 ALL_TIME_FEATURES = (
@@ -317,7 +316,7 @@ def snapshot_summary(snaps: DataFrame, digits: int | None = 1) -> DataFrame:
     id_columns = {"customer_id", "lapsed", "snapshot_date", "snapshot"}
     n_features = len([c for c in snaps.columns if c not in id_columns])
     sums = snaps.groupBy("snapshot", "snapshot_date").agg(
-        _ROWS.alias("n_customers"), F.sum("lapsed").alias("n_lapsed")
+        n_rows().alias("n_customers"), F.sum("lapsed").alias("n_lapsed")
     )
     return sums.select(
         "*",
@@ -331,7 +330,7 @@ def gap_distribution(
 ) -> DataFrame:
     """Quantiles and mean of all gaps between purchase days, in days."""
     gaps = with_gaps(purchase_days(txn)).where(F.col("gap_days").isNotNull())
-    per_gap = gaps.groupBy("gap_days").agg(_ROWS.alias("n"))  # one row per number of days
+    per_gap = gaps.groupBy("gap_days").agg(n_rows().alias("n"))  # one row per number of days
     found = per_gap.agg(
         F.percentile("gap_days", list(probs), F.col("n")).alias("_q"),
         F.sum("n").alias("n_gaps"),
