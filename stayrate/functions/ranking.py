@@ -72,20 +72,25 @@ def running_totals(df: DataFrame, order: Sequence[str], sums: Sequence[str]) ->
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs: Sequence[float], bounded: bool = False
+    df: DataFrame,
+    value: str,
+    probs: Sequence[float],
+    bounded: bool = False,
+    weight: str | None = None,
 ) -> DataFrame:
     """One row with ``n`` and the linearly interpolated quantiles ``q0, q1, ...`` of ``value``.
 
-    Values are counted first, so repeated values cost one row. With ``bounded=True`` the
+    Values are counted first, so repeated values cost one row; if ``df`` has one row per
+    value already, ``weight`` names the column with its number of occurrences. With ``bounded=True`` the
     caller states that the number of different values has a fixed limit (days, ages,
     months), and Spark's exact percentile merges the counts in one task. Otherwise the
     order statistics come from distributed running totals.
     """
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(F.col(value).alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    known = df.where(F.col(value).isNotNull())
+    if weight is None:
+        counts = known.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    else:
+        counts = known.select(F.col(value).alias("v"), F.col(weight).alias("n"))
     if bounded:
         found = F.percentile("v", [float(p) for p in probs], F.col("n"))
         both = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), found.alias("q"))

@@ -9,7 +9,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stayrate.config import DEFAULT, RetentionConfig
-from stayrate.functions import as_double, exact_quantiles, n_rows, share_pct, side_by_side
+from stayrate.functions import (
+    as_double,
+    exact_quantiles,
+    n_rows,
+    ratio,
+    share_pct,
+    side_by_side,
+)
+from stayrate.sources.checkpoints import materialise
 
 _PRICE_PROBS = (0.25, 0.5, 0.75, 0.99)
 
@@ -87,24 +95,31 @@ def q_price_validity(txn: DataFrame) -> DataFrame:
 
 def q_price_distribution(txn: DataFrame, exact: bool = True) -> DataFrame:
     """Range, mean and quartiles of the price; ``exact=False`` uses a sketch for the quantiles."""
-    spread = txn.agg(
-        n_rows().alias("n_txn"),
-        as_double(F.min("price")).alias("min_price"),
-        as_double(F.max("price")).alias("max_price"),
-        (as_double(F.sum("price")) / F.nullif(F.count("price"), F.lit(0))).alias("mean_price"),
-        *(
-            []
-            if exact
-            else [F.percentile_approx(as_double("price"), list(_PRICE_PROBS), 10000).alias("_q")]
-        ),
-    )
     names = ("p25", "p50", "p75", "p99")
+    price = F.col("price")
     if not exact:
+        sketch = F.percentile_approx(as_double(price), list(_PRICE_PROBS), 10000)
+        found = txn.agg(
+            n_rows().alias("n_txn"),
+            as_double(F.min(price)).alias("min_price"),
+            as_double(F.max(price)).alias("max_price"),
+            ratio(F.sum(price), F.count(price)).alias("mean_price"),
+            sketch.alias("_q"),
+        )
         picked = (F.col("_q")[i].alias(name) for i, name in enumerate(names))
-        return spread.select("*", *picked).drop("_q")
-    found = exact_quantiles(txn, "price", _PRICE_PROBS)
-    found = found.select(*(F.col(f"q{i}").alias(name) for i, name in enumerate(names)))
-    return side_by_side(spread, found)
+        return found.select("*", *picked).drop("_q")
+    # One row per price, from which everything follows.
+    counts = materialise(txn.groupBy("price").agg(n_rows().alias("n")))
+    n = F.col("n")
+    spread = counts.agg(
+        F.sum(n).alias("n_txn"),
+        as_double(F.min(price)).alias("min_price"),
+        as_double(F.max(price)).alias("max_price"),
+        ratio(F.sum(price * n), F.sum(F.when(price.isNotNull(), n))).alias("mean_price"),
+    )
+    found = exact_quantiles(counts, "price", _PRICE_PROBS, weight="n")
+    quantiles = found.select(*(F.col(f"q{i}").alias(name) for i, name in enumerate(names)))
+    return side_by_side(spread, quantiles)
 
 
 def q_single_purchase(txn: DataFrame) -> DataFrame:
