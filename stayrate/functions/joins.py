@@ -14,17 +14,20 @@ def lookup_join(
     lookup: DataFrame,
     key: str,
     how: str = "inner",
-    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-    salts: int = SALTS,
+    max_broadcast_rows: int | None = None,
+    salts: int | None = None,
 ) -> DataFrame:
     """Join ``fact`` with ``lookup`` on ``key`` so that no key's rows meet in one task.
 
     ``lookup`` is counted; up to ``max_broadcast_rows`` rows it is broadcast and ``fact``
     stays where it is. A larger one is repeated under ``salts`` salts, and each row of
-    ``fact`` draws its salt from its other columns. ``how`` is ``inner`` or ``left``.
+    ``fact`` draws its salt from its other columns. ``how`` is ``inner``, ``left``,
+    ``left_semi`` or ``left_anti``: joins in which rows of ``lookup`` alone give no result.
     """
-    if how not in ("inner", "left"):
+    if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"lookup_join cannot do a {how} join")
+    max_broadcast_rows = MAX_BROADCAST_ROWS if max_broadcast_rows is None else max_broadcast_rows
+    salts = SALTS if salts is None else salts
     if lookup.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
         return fact.join(F.broadcast(lookup), key, how)
     others = [c for c in fact.columns if c != key]

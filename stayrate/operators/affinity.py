@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayrate.config import DEFAULT
@@ -11,9 +13,12 @@ from stayrate.sources.checkpoints import materialise
 
 _BASKET = ["customer_id", "t_dat"]
 
-# A basket holds each item once, so with at most this many different items in the data
-# no basket array grows beyond it. Larger vocabularies take the join in blocks instead.
-MAX_ARRAY_ITEMS = 4096
+# Up to this many different items, a basket is a set of bits in a few whole numbers.
+MAX_CODED_ITEMS = 1008
+# With more items, pairs come from a join, in which larger baskets are cut into blocks.
+MAX_BLOCK_ITEMS = 1000
+
+_WORD_BITS = 63
 
 
 def basket_rows(txn: DataFrame, art: DataFrame, item_col: str = "product_type_name") -> DataFrame:
@@ -39,14 +44,53 @@ def item_counts(rows: DataFrame) -> DataFrame:
     return distinct.groupBy("item").agg(n_rows().alias("n_baskets"))
 
 
-def basket_types(rows: DataFrame) -> DataFrame:
+def item_names(df: DataFrame, column: str = "item") -> list[str] | None:
+    """The different names in ``column``, sorted; None if there are too many to code as bits."""
+    different = df.where(F.col(column).isNotNull()).select(column).distinct()
+    names = sorted(row[0] for row in different.limit(MAX_CODED_ITEMS + 1).collect())
+    return names if len(names) <= MAX_CODED_ITEMS else None
+
+
+def _words(names: Sequence[str]) -> list[str]:
+    return [f"word{w}" for w in range(max(1, -(-len(names) // _WORD_BITS)))]
+
+
+def _coded_types(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Different item sets as bits, ``word0, word1, ...``, and how many baskets hold them.
+
+    Bits are combined before the shuffle, in buffers of fixed size, so repeated items and
+    baskets of any number of rows cost nothing extra.
+    """
+    places = [(name, i // _WORD_BITS, 1 << (i % _WORD_BITS)) for i, name in enumerate(names)]
+    codes = rows.sparkSession.createDataFrame(places, "item string, word int, bit bigint")
+    # At most MAX_CODED_ITEMS rows. A missing item sets no bit but keeps its basket.
+    coded = rows.join(F.broadcast(codes), "item", "left")
+    words = _words(names)
+    bits = [
+        F.coalesce(F.bit_or(F.when(F.col("word") == w, F.col("bit"))), F.lit(0)).alias(word)
+        for w, word in enumerate(words)
+    ]
+    sets = coded.groupBy(*_BASKET).agg(*bits)
+    return sets.groupBy(*words).agg(n_rows().alias("n"))
+
+
+def _decoded(types: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Replace the bits by a sorted array of item names."""
+    words = F.array(*_words(names))
+    held = lambda _, i: (
+        F.getbit(F.get(words, F.floor(i / _WORD_BITS).cast("int")), i % _WORD_BITS) == 1
+    )
+    everything = F.array(*(F.lit(name) for name in names)).cast("array<string>")
+    return types.select(F.filter(everything, held).alias("items"), "n")
+
+
+def basket_types(rows: DataFrame, names: Sequence[str]) -> DataFrame:
     """Different item sets, sorted, and the number of baskets that hold exactly that set.
 
     Most baskets repeat a small set, so this is far smaller than the baskets, and all
-    counts follow from it. Missing items leave the set but keep the basket.
+    counts follow from it. ``names`` lists the items that can occur.
     """
-    sets = rows.groupBy(*_BASKET).agg(F.sort_array(F.collect_set("item")).alias("items"))
-    return sets.groupBy("items").agg(n_rows().alias("n"))
+    return _decoded(_coded_types(rows, names), names)
 
 
 def _pairs_of_types(types: DataFrame) -> DataFrame:
@@ -57,62 +101,62 @@ def _pairs_of_types(types: DataFrame) -> DataFrame:
     return pairs.groupBy("item_a", "item_b").agg(F.sum("n").alias("pair_count"))
 
 
-def _pairs_in_blocks(rows: DataFrame, n_blocks: int) -> DataFrame:
-    """Pairs by a join of the baskets with themselves, cut into blocks of items.
+def _pairs_by_join(rows: DataFrame) -> DataFrame:
+    """Pairs by a join of the baskets with themselves.
 
-    Each task sees one block of items on either side, so a basket of any size spreads
-    over ``n_blocks`` squared keys.
+    A basket with more than MAX_BLOCK_ITEMS items is cut into blocks of items, and every
+    two blocks meet under a key of their own, so that no task sees all of its pairs.
     """
     items = rows.where(F.col("item").isNotNull()).select(*_BASKET, "item").distinct()
-    block: Column = F.pmod(F.xxhash64("item"), F.lit(n_blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    left = items.select(
-        *_BASKET, F.col("item").alias("item_a"), block.alias("_block_a"), every.alias("_block_b")
+    sizes = items.groupBy(*_BASKET).agg(n_rows().alias("size"))
+    blocks = F.ceil(F.col("size") / MAX_BLOCK_ITEMS).cast("int").alias("blocks")
+    large = sizes.where(F.col("size") > MAX_BLOCK_ITEMS).select(*_BASKET, blocks)
+    n_blocks = F.coalesce("blocks", F.lit(1))
+    cut = items.join(large, _BASKET, "left").select(
+        *_BASKET,
+        "item",
+        F.pmod(F.xxhash64("item"), n_blocks).cast("int").alias("own"),
+        F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("other"),
     )
-    right = items.select(
-        *_BASKET, F.col("item").alias("item_b"), block.alias("_block_b"), every.alias("_block_a")
-    )
-    paired = left.join(right, [*_BASKET, "_block_a", "_block_b"])
+    left = cut.select(*_BASKET, F.col("item").alias("item_a"), F.col("own").alias("block_a"),
+                      F.col("other").alias("block_b"))
+    right = cut.select(*_BASKET, F.col("item").alias("item_b"), F.col("own").alias("block_b"),
+                       F.col("other").alias("block_a"))
+    paired = left.join(right, [*_BASKET, "block_a", "block_b"])
     pairs = paired.where(F.col("item_a") < F.col("item_b")).groupBy("item_a", "item_b")
     return pairs.agg(n_rows().alias("pair_count"))
 
 
-def _blocks_for(vocabulary: int) -> int:
-    return -(-vocabulary // MAX_ARRAY_ITEMS)
-
-
-def pair_counts(rows: DataFrame, vocabulary: int | None = None) -> DataFrame:
+def pair_counts(rows: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """Baskets per pair of different items, ``item_a`` before ``item_b`` bytewise.
 
-    ``vocabulary`` is the number of different items, counted from ``rows`` by default.
+    ``names`` lists the items that can occur, best taken from the articles; by default
+    they are collected from ``rows``, if they are few.
     """
-    if vocabulary is None:
-        vocabulary = rows.select("item").distinct().count()
-    n_blocks = _blocks_for(vocabulary)
-    if n_blocks <= 1:
-        return _pairs_of_types(basket_types(rows))
-    return _pairs_in_blocks(rows, n_blocks)
+    names = item_names(rows) if names is None else names
+    if names is None or len(names) > MAX_CODED_ITEMS:
+        return _pairs_by_join(rows)
+    return _pairs_of_types(basket_types(rows, names))
 
 
 def affinity_pairs(
     rows: DataFrame,
     min_support: float = DEFAULT.min_support,
     min_pairs: int | None = DEFAULT.min_pair_count,
-    vocabulary: int | None = None,
+    names: Sequence[str] | None = None,
 ) -> DataFrame:
     """Support, confidence both ways and lift of the pairs in enough baskets.
 
     A pair is kept from ``max(1, int(min_support * baskets))`` baskets on, and from
     ``min_pairs`` if given. Items in fewer baskets cannot be part of such a pair and are
-    removed before pairs are formed.
+    removed before pairs are formed. ``names`` is as in ``pair_counts``.
     """
-    if vocabulary is None:
-        vocabulary = rows.select("item").distinct().count()
-    n_blocks = _blocks_for(vocabulary)
-    if n_blocks <= 1:
-        types = materialise(basket_types(rows))
+    names = item_names(rows) if names is None else names
+    coded = names is not None and len(names) <= MAX_CODED_ITEMS
+    if coded:
+        types = materialise(_coded_types(rows, names))
         total = types.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        singles = types.select("n", F.explode("items").alias("item"))
+        singles = _decoded(types, names).select("n", F.explode("items").alias("item"))
         counts = singles.groupBy("item").agg(F.sum("n").alias("n_baskets"))
     else:
         rows = materialise(rows.select(*_BASKET, "item").distinct())
@@ -121,14 +165,18 @@ def affinity_pairs(
 
     least = max(1, int(min_support * total), min_pairs or 0)
     frequent = counts.where(F.col("n_baskets") >= least)
-    if n_blocks <= 1:
-        # At most `vocabulary` names, which fit one array like those of the baskets.
-        names = [row[0] for row in frequent.select("item").collect()]
-        kept = F.array_intersect("items", F.array(*(F.lit(name) for name in names)))
-        pruned = types.where(F.size("items") > 1).select(kept.alias("items"), "n")
-        pairs = _pairs_of_types(pruned.groupBy("items").agg(F.sum("n").alias("n")))
+    if coded:
+        kept = {row[0] for row in frequent.select("item").collect()}  # a part of ``names``
+        masks = [0] * len(_words(names))
+        for i, name in enumerate(names):
+            masks[i // _WORD_BITS] |= (name in kept) << (i % _WORD_BITS)
+        pruned = types.select(
+            *(F.col(w).bitwiseAND(F.lit(m)).alias(w) for w, m in zip(_words(names), masks)), "n"
+        )
+        merged = pruned.groupBy(*_words(names)).agg(F.sum("n").alias("n"))
+        pairs = _pairs_of_types(_decoded(merged, names))
     else:
-        pairs = _pairs_in_blocks(rows.join(frequent.select("item"), "item", "left_semi"), n_blocks)
+        pairs = _pairs_by_join(rows.join(frequent.select("item"), "item", "left_semi"))
 
     item = lambda side: frequent.select(
         F.col("item").alias(f"item_{side}"), F.col("n_baskets").alias(f"_n_{side}")

@@ -40,9 +40,10 @@ def audit_feature_dates(txn: DataFrame, snap: DataFrame) -> DataFrame:
     A recency of zero or less, or one that differs from the recomputed value, means that
     features were taken from the snapshot date or later, or from too little history.
     """
-    dates = F.array(*(F.lit(d).cast("date") for d in _snapshot_dates(snap)))
+    days = _snapshot_dates(snap)
+    dates = F.array(*(F.lit(d).cast("date") for d in days))
     last_days = (
-        _purchase_dates(txn)
+        _purchase_dates(txn.where(F.col("t_dat") < F.lit(max(days))))
         .withColumn("snapshot_date", F.explode(dates))
         .where(F.col("t_dat") < F.col("snapshot_date"))
         .groupBy("customer_id", "snapshot_date")
@@ -70,9 +71,12 @@ def _labels_against_purchases(
     unique keys.
     """
     days = 7 * label_weeks
-    dates = F.array(*(F.lit(d).cast("date") for d in _snapshot_dates(snap)))
+    starts = _snapshot_dates(snap)
+    dates = F.array(*(F.lit(d).cast("date") for d in starts))
+    end = max(starts) + datetime.timedelta(days=days)
+    needed = txn.where((F.col("t_dat") >= F.lit(min(starts))) & (F.col("t_dat") < F.lit(end)))
     buyers = (
-        _purchase_dates(txn)
+        _purchase_dates(needed)
         .withColumn("snapshot_date", F.explode(dates))
         .where(F.datediff("t_dat", "snapshot_date").between(0, days - 1))
         .select("customer_id", "snapshot_date")

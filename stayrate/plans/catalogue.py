@@ -62,6 +62,10 @@ class _Tables:
     def snapshots(self) -> DataFrame:
         return materialise(snap.snapshots(self.txn, self.cust, self.windows, CFG))
 
+    @property
+    def item_names(self) -> list[str] | None:
+        return aff.item_names(self.art, "product_type_name")
+
     def segments(self) -> DataFrame:
         return rfm.rfm_segment(rfm.rfm_scores(rfm.rfm_metrics(self.txn), CFG.n_quantiles))
 
@@ -725,32 +729,28 @@ def item_counts(spark, path):
 @_query
 def basket_types(spark, path):
     t = _Tables(spark, path, "p_brand")
-    types = aff.basket_types(aff.basket_rows(t.txn, t.art))
+    types = aff.basket_types(aff.basket_rows(t.txn, t.art), t.item_names)
     return types.select(F.array_join("items", "|").alias("items"), "n")
 
 
-def _vocabulary(t: _Tables) -> int:
-    return t.art.select("product_type_name").distinct().count()
-
-
 @_query
 def pair_counts(spark, path):
     t = _Tables(spark, path, "p_brand")
-    return aff.pair_counts(aff.basket_rows(t.txn, t.art), _vocabulary(t))
+    return aff.pair_counts(aff.basket_rows(t.txn, t.art), t.item_names)
 
 
 @_query
 def affinity_pairs(spark, path):
     t = _Tables(spark, path)
     rows = aff.basket_rows(t.txn, t.art)
-    return aff.affinity_pairs(rows, PAIR_SUPPORT, vocabulary=_vocabulary(t))
+    return aff.affinity_pairs(rows, PAIR_SUPPORT, names=t.item_names)
 
 
 @_query
 def affinity_top(spark, path):
     t = _Tables(spark, path, "p_brand")
     pairs = aff.affinity_pairs(
-        aff.basket_rows(t.txn, t.art), CFG.min_support, vocabulary=_vocabulary(t)
+        aff.basket_rows(t.txn, t.art), CFG.min_support, names=t.item_names
     )
     return aff.affinity_top(pairs, CFG.top_n_pairs)
 
@@ -810,7 +810,7 @@ def headline_kpis(spark, path):
     spend = sizing.window_spend(t.txn, t.test_date, CFG.label_window_weeks)
     value = materialise(sizing.cohort_value(risk, segments, spend))
     rows = aff.basket_rows(t.txn, t.art)
-    pairs = aff.affinity_pairs(rows, PAIR_SUPPORT, vocabulary=_vocabulary(t))
+    pairs = aff.affinity_pairs(rows, PAIR_SUPPORT, names=t.item_names)
     found = kpis.headline_kpis(
         rfm.segment_summary(segments),
         cohorts.avg_retention(cohorts.retention_matrix(_retention(t))),

@@ -43,8 +43,11 @@ class Store:
         )
 
     def save_result(self, name: str, df: DataFrame, fmt: str = "json") -> DataFrame:
-        """Write a small result to one file; return the frame that was written."""
-        ingest.write_result(df.coalesce(1), f"{self.root}/results/{name}.{fmt}", fmt)
+        """Write a small result to one file; return the frame that was written.
+
+        The rows are shuffled to one task at the very end, so what computes them stays spread.
+        """
+        ingest.write_result(df.repartition(1), f"{self.root}/results/{name}.{fmt}", fmt)
         return df
 
 
@@ -186,9 +189,9 @@ def affinity_stage(
     store: Store, cfg: RetentionConfig = DEFAULT, item_col: str = "product_type_name"
 ) -> DataFrame:
     txn, art = store.data("transactions"), store.data("articles")
-    vocabulary = art.select(item_col).distinct().count()
+    names = affinity.item_names(art, item_col)
     rows = affinity.basket_rows(txn, art, item_col)
-    pairs = affinity.affinity_pairs(rows, cfg.min_support, cfg.min_pair_count, vocabulary)
+    pairs = affinity.affinity_pairs(rows, cfg.min_support, cfg.min_pair_count, names)
     return store.save_result("affinity_top_pairs", affinity.affinity_top(pairs, cfg.top_n_pairs), "csv")
 
 

@@ -29,17 +29,25 @@ def pair_dict(df):
     return {(r.item_a, r.item_b): r.pair_count for r in df.collect()}
 
 
-@pytest.fixture
-def random_baskets():
+@pytest.fixture(params=[30, 200], ids=["one word", "four words"])
+def random_baskets(request):
     rng = np.random.default_rng(5)
-    names = [f"i{k:02d}" for k in range(30)]
-    contents = [list(rng.choice(names, rng.integers(1, 7))) for _ in range(300)]
-    return [*contents, [None], [None, "i00"], names * 3]  # the last one holds every item
+    names = [f"i{k:03d}" for k in range(request.param)]
+    popular = names[::7] * 3 + names
+    contents = [list(rng.choice(popular, rng.integers(1, 9))) for _ in range(300)]
+    return [*contents, [None], [None, "i000"], names * 3]  # the last one holds every item
 
 
-@pytest.mark.parametrize("limit", [4096, 8], ids=["arrays", "blocks"])
-def test_hand_made_example(spark, monkeypatch, limit):
-    monkeypatch.setattr(aff, "MAX_ARRAY_ITEMS", limit if limit > 8 else 2)
+@pytest.fixture(params=["bits", "join", "blocks"])
+def form(request, monkeypatch):
+    """Run a test on each way to count pairs."""
+    if request.param != "bits":
+        monkeypatch.setattr(aff, "MAX_CODED_ITEMS", 2)
+    if request.param == "blocks":
+        monkeypatch.setattr(aff, "MAX_BLOCK_ITEMS", 2)
+
+
+def test_hand_made_example(spark, form):
     rows = baskets(spark, ["AB", "AC", "ABC", "D", "B"])
     found = {(r.item_A, r.item_B): r for r in aff.affinity_pairs(rows, 0.0).collect()}
     assert set(found) == {("A", "B"), ("A", "C"), ("B", "C")}
@@ -52,22 +60,18 @@ def test_hand_made_example(spark, monkeypatch, limit):
     assert [(r.item_A, r.item_B) for r in top] == [("A", "C")]
 
 
-@pytest.mark.parametrize("limit", [4096, 8], ids=["arrays", "blocks"])
-def test_pair_counts_equal_brute_force(spark, monkeypatch, random_baskets, limit):
-    monkeypatch.setattr(aff, "MAX_ARRAY_ITEMS", limit)
+def test_pair_counts_equal_brute_force(spark, form, random_baskets):
     rows = baskets(spark, random_baskets)
     assert pair_dict(aff.pair_counts(rows)) == brute_pairs(random_baskets)
     assert aff.n_baskets(rows).first()[0] == len(random_baskets)
 
 
-@pytest.mark.parametrize("limit", [4096, 8], ids=["arrays", "blocks"])
-@pytest.mark.parametrize("floor", [None, 10])
-def test_support_threshold(spark, monkeypatch, random_baskets, limit, floor):
-    monkeypatch.setattr(aff, "MAX_ARRAY_ITEMS", limit)
+@pytest.mark.parametrize("floor", [None, 4])
+def test_support_threshold(spark, form, random_baskets, floor):
     rows = baskets(spark, random_baskets)
-    least = max(1, int(0.03 * len(random_baskets)), floor or 0)
+    least = max(1, int(0.01 * len(random_baskets)), floor or 0)
     expected = {k: n for k, n in brute_pairs(random_baskets).items() if n >= least}
-    found = aff.affinity_pairs(rows, 0.03, floor)
+    found = aff.affinity_pairs(rows, 0.01, floor)
     counts = {(r.item_A, r.item_B): r.pair_count for r in found.collect()}
     assert counts == expected and 0 < len(expected) < len(brute_pairs(random_baskets))
 
@@ -96,18 +100,19 @@ def test_no_baskets(spark):
     assert aff.pair_counts(rows).count() == 0
 
 
-@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_lookup_join_in_both_forms(spark, confs, how):
     confs(spark__sql__autoBroadcastJoinThreshold="-1")
     fact = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("k"), "id"
     )
     lookup = spark.range(5, 40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    plain = sorted(map(str, fact.join(lookup, "k", how).select("k", "id", "v").collect()))
+    names = ["k", "id", "v"] if how in ("inner", "left") else ["k", "id"]
+    plain = sorted(map(str, fact.join(lookup, "k", how).select(*names).collect()))
     small = lookup_join(fact, lookup, "k", how)
     large = lookup_join(fact, lookup, "k", how, max_broadcast_rows=10, salts=4)
     for joined in (small, large):
-        assert sorted(map(str, joined.select("k", "id", "v").collect())) == plain
+        assert sorted(map(str, joined.select(*names).collect())) == plain
     assert "BroadcastHashJoin" in plan_of(small)
     assert "SortMergeJoin" in plan_of(large) and "_salt" in plan_of(large)
 
