@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayrate.config import DEFAULT
@@ -74,30 +74,47 @@ def _coded_types(rows: DataFrame, names: Sequence[str]) -> DataFrame:
     return sets.groupBy(*words).agg(n_rows().alias("n"))
 
 
-def _decoded(types: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Replace the bits by a sorted array of item names."""
-    words = F.array(*_words(names))
-    held = lambda _, i: (
-        F.getbit(F.get(words, F.floor(i / _WORD_BITS).cast("int")), i % _WORD_BITS) == 1
-    )
+def _held(names: Sequence[str], position: str) -> Column:
+    """Whether the item at ``position`` of ``names`` is in the set."""
+    i, words = F.col(position), _words(names)
+    found = F.getbit(words[-1], i - (len(words) - 1) * _WORD_BITS)
+    for w in range(len(words) - 2, -1, -1):
+        in_word = F.getbit(words[w], i - w * _WORD_BITS)
+        found = F.when(i < (w + 1) * _WORD_BITS, in_word).otherwise(found)
+    return found == 1
+
+
+def _exploded(types: DataFrame, names: Sequence[str], position: str, item: str) -> DataFrame:
+    """Repeat each set for each of its items, with the item's place in ``names``."""
     everything = F.array(*(F.lit(name) for name in names)).cast("array<string>")
-    return types.select(F.filter(everything, held).alias("items"), "n")
+    return types.select("*", F.posexplode(everything).alias(position, item)).where(
+        _held(names, position)
+    )
 
 
 def basket_types(rows: DataFrame, names: Sequence[str]) -> DataFrame:
     """Different item sets, sorted, and the number of baskets that hold exactly that set.
 
     Most baskets repeat a small set, so this is far smaller than the baskets, and all
-    counts follow from it. ``names`` lists the items that can occur.
+    counts follow from it. ``names`` lists the items that can occur, sorted.
     """
-    return _decoded(_coded_types(rows, names), names)
+    words = F.array(*_words(names))
+    held = lambda _, i: (
+        F.getbit(F.get(words, F.floor(i / _WORD_BITS).cast("int")), i % _WORD_BITS) == 1
+    )
+    everything = F.array(*(F.lit(name) for name in names)).cast("array<string>")
+    return _coded_types(rows, names).select(F.filter(everything, held).alias("items"), "n")
 
 
-def _pairs_of_types(types: DataFrame) -> DataFrame:
+def _counts_of_types(types: DataFrame, names: Sequence[str]) -> DataFrame:
+    items = _exploded(types, names, "i", "item")
+    return items.groupBy("item").agg(F.sum("n").alias("n_baskets"))
+
+
+def _pairs_of_types(types: DataFrame, names: Sequence[str]) -> DataFrame:
     """Each item is combined with those after it; counts are summed before any shuffle."""
-    first = types.where(F.size("items") > 1).select("n", "items", F.posexplode("items"))
-    rest = F.slice("items", F.col("pos") + 2, F.size("items"))
-    pairs = first.select("n", F.col("col").alias("item_a"), F.explode(rest).alias("item_b"))
+    first = _exploded(types, names, "i", "item_a")
+    pairs = _exploded(first, names, "j", "item_b").where(F.col("i") < F.col("j"))
     return pairs.groupBy("item_a", "item_b").agg(F.sum("n").alias("pair_count"))
 
 
@@ -136,7 +153,7 @@ def pair_counts(rows: DataFrame, names: Sequence[str] | None = None) -> DataFram
     names = item_names(rows) if names is None else names
     if names is None or len(names) > MAX_CODED_ITEMS:
         return _pairs_by_join(rows)
-    return _pairs_of_types(basket_types(rows, names))
+    return _pairs_of_types(_coded_types(rows, names), names)
 
 
 def affinity_pairs(
@@ -156,17 +173,16 @@ def affinity_pairs(
     if coded:
         types = materialise(_coded_types(rows, names))
         total = types.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        singles = _decoded(types, names).select("n", F.explode("items").alias("item"))
-        counts = singles.groupBy("item").agg(F.sum("n").alias("n_baskets"))
+        counts = _counts_of_types(types, names).collect()  # one row per name
     else:
         rows = materialise(rows.select(*_BASKET, "item").distinct())
         total = n_baskets(rows).first()[0]
-        counts = item_counts(rows)
-
     least = max(1, int(min_support * total), min_pairs or 0)
-    frequent = counts.where(F.col("n_baskets") >= least)
     if coded:
-        kept = {row[0] for row in frequent.select("item").collect()}  # a part of ``names``
+        kept = {row["item"]: row["n_baskets"] for row in counts if row["n_baskets"] >= least}
+        frequent = rows.sparkSession.createDataFrame(
+            sorted(kept.items()), "item string, n_baskets bigint"
+        )
         masks = [0] * len(_words(names))
         for i, name in enumerate(names):
             masks[i // _WORD_BITS] |= (name in kept) << (i % _WORD_BITS)
@@ -174,8 +190,9 @@ def affinity_pairs(
             *(F.col(w).bitwiseAND(F.lit(m)).alias(w) for w, m in zip(_words(names), masks)), "n"
         )
         merged = pruned.groupBy(*_words(names)).agg(F.sum("n").alias("n"))
-        pairs = _pairs_of_types(_decoded(merged, names))
+        pairs = _pairs_of_types(merged, names)
     else:
+        frequent = item_counts(rows).where(F.col("n_baskets") >= least)
         pairs = _pairs_by_join(rows.join(frequent.select("item"), "item", "left_semi"))
 
     item = lambda side: frequent.select(

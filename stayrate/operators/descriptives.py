@@ -25,6 +25,22 @@ def _total(column: str) -> Column:
     return F.sum(column).over(W.partitionBy())
 
 
+def daily_totals(txn: DataFrame) -> DataFrame:
+    """Revenue (as ``price``) and number of items per day and channel.
+
+    The trends that do not need single customers or articles take this in place of the
+    transactions, so that one scan serves them all.
+    """
+    return txn.groupBy("t_dat", "sales_channel_id").agg(
+        F.sum("price").alias("price"), n_rows().alias("n_items")
+    )
+
+
+def _items(txn: DataFrame) -> Column:
+    """Transactions in a group, of single rows or of daily totals."""
+    return F.sum("n_items") if "n_items" in txn.columns else n_rows()
+
+
 def weekly_revenue(txn: DataFrame) -> DataFrame:
     """Per week (from Monday): revenue, transactions and different customers."""
     return (
@@ -69,7 +85,7 @@ def weekly_extremes(index: DataFrame) -> DataFrame:
 
 def channel_weekly(txn: DataFrame) -> DataFrame:
     grouped = txn.groupBy(week_start("t_dat").alias("week"), "sales_channel_id")
-    totals = grouped.agg(F.sum("price").alias("revenue"), n_rows().alias("n_txns"))
+    totals = grouped.agg(F.sum("price").alias("revenue"), _items(txn).alias("n_txns"))
     return totals.withColumn("revenue", as_double("revenue"))
 
 
@@ -200,7 +216,7 @@ def gini(revenue: DataFrame) -> DataFrame:
 
 def monthly_revenue(txn: DataFrame) -> DataFrame:
     grouped = txn.groupBy(month_start("t_dat").alias("month"))
-    totals = grouped.agg(F.sum("price").alias("revenue"), n_rows().alias("n_txns"))
+    totals = grouped.agg(F.sum("price").alias("revenue"), _items(txn).alias("n_txns"))
     return totals.withColumn("revenue", as_double("revenue"))
 
 

@@ -20,12 +20,24 @@ from stayrate.functions import (
 from stayrate.sources.checkpoints import materialise
 
 _PRICE_PROBS = (0.25, 0.5, 0.75, 0.99)
+_PRICE_NAMES = ("p25", "p50", "p75", "p99")
 
 
 def _count_if(condition: Column) -> Column:
     return F.count(F.when(condition, 1))
 
 
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """Rows per value of ``column``, as ``n``. Most checks follow from these counts."""
+    return df.groupBy(column).agg(n_rows().alias("n"))
+
+
+def _total(condition: Column | None = None) -> Column:
+    """Rows behind the counts, or those that meet ``condition``."""
+    counted = F.col("n") if condition is None else F.when(condition, F.col("n"))
+    return F.coalesce(F.sum(counted), F.lit(0))
+
+
 def q_duplicate_rows(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Surplus copies: rows beyond the first of each group that agrees on ``cols``."""
     groups = df.groupBy(*(cols or df.columns)).agg(n_rows().alias("copies"))
@@ -40,131 +52,146 @@ def q_missing_age(cust: DataFrame) -> DataFrame:
 def q_implausible_age(
     cust: DataFrame, lo: int = DEFAULT.min_age, hi: int = DEFAULT.max_age
 ) -> DataFrame:
-    ages = cust.groupBy("age").agg(n_rows().alias("n"))  # one row per age
-    n_if = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
     age = F.col("age")
-    return ages.agg(
-        n_if(age < lo).alias("n_under"),
-        n_if(age > hi).alias("n_over"),
-        n_if((age < lo) | (age > hi)).alias("n_implausible"),
+    return value_counts(cust, "age").agg(  # one row per age
+        _total(age < lo).alias("n_under"),
+        _total(age > hi).alias("n_over"),
+        _total((age < lo) | (age > hi)).alias("n_implausible"),
         F.min("age").alias("min_age"),
         F.max("age").alias("max_age"),
         F.percentile("age", 0.5, F.col("n")).alias("median_age"),
     )
 
 
+def _without_txn(cust: DataFrame, per_customer: DataFrame) -> DataFrame:
+    buyers = per_customer.select("customer_id", F.lit(True).alias("_bought"))
+    seen = cust.select("customer_id").join(buyers, "customer_id", "left")
+    counts = seen.agg(
+        _count_if(F.col("_bought").isNull()).alias("n_no_txn"), n_rows().alias("n_customers")
+    )
+    return counts.withColumn("pct", share_pct("n_no_txn", "n_customers", 2))
+
+
 def q_customers_no_txn(
     cust: DataFrame, txn: DataFrame, since: str | datetime.date | None = None
 ) -> DataFrame:
     """Customers without a transaction, or without one on or after ``since``."""
     if since is not None:
         txn = txn.where(F.col("t_dat") >= F.lit(since).cast("date"))
-    buyers = txn.select("customer_id").distinct().withColumn("_bought", F.lit(True))
-    seen = cust.select("customer_id").join(buyers, "customer_id", "left")
-    counts = seen.agg(
-        _count_if(F.col("_bought").isNull()).alias("n_no_txn"), n_rows().alias("n_customers")
-    )
-    return counts.withColumn("pct", share_pct("n_no_txn", "n_customers", 2))
+    return _without_txn(cust, value_counts(txn, "customer_id"))
 
 
-def _orphans(txn: DataFrame, dim: DataFrame, key: str) -> DataFrame:
-    """Transactions whose key the dimension lacks; they are counted per key before the join."""
-    per_key = txn.groupBy(key).agg(n_rows().alias("n"))
+def _orphans(per_key: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     unknown = per_key.join(dim.select(key), key, "left_anti")
-    return unknown.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_orphans"), n_rows().alias("n_unknown_keys")
-    )
+    return unknown.agg(_total().alias("n_orphans"), n_rows().alias("n_unknown_keys"))
 
 
 def q_orphan_customers(txn: DataFrame, cust: DataFrame) -> DataFrame:
-    return _orphans(txn, cust, "customer_id")
+    """Transactions of unknown customers; they are counted per customer before the join."""
+    return _orphans(value_counts(txn, "customer_id"), cust, "customer_id")
 
 
 def q_orphan_articles(txn: DataFrame, art: DataFrame) -> DataFrame:
-    return _orphans(txn, art, "article_id")
+    """Transactions of unknown articles; they are counted per article before the join."""
+    return _orphans(value_counts(txn, "article_id"), art, "article_id")
 
 
-def q_price_validity(txn: DataFrame) -> DataFrame:
+def _price_validity(per_price: DataFrame) -> DataFrame:
     price = F.col("price")
-    return txn.agg(
-        _count_if(price.isNull()).alias("n_null"),
-        _count_if(price <= 0).alias("n_non_positive"),
-        _count_if(price.isNull() | (price <= 0)).alias("n_invalid"),
+    return per_price.agg(
+        _total(price.isNull()).alias("n_null"),
+        _total(price <= 0).alias("n_non_positive"),
+        _total(price.isNull() | (price <= 0)).alias("n_invalid"),
     )
 
 
+def q_price_validity(txn: DataFrame) -> DataFrame:
+    """Missing and non-positive prices; counted in the scan, without a shuffle."""
+    return _price_validity(txn.select("price", F.lit(1).cast("bigint").alias("n")))
+
+
+def _price_distribution(per_price: DataFrame) -> DataFrame:
+    price, n = F.col("price"), F.col("n")
+    spread = per_price.agg(
+        _total().alias("n_txn"),
+        as_double(F.min(price)).alias("min_price"),
+        as_double(F.max(price)).alias("max_price"),
+        ratio(F.sum(price * n), F.sum(F.when(price.isNotNull(), n))).alias("mean_price"),
+    )
+    found = exact_quantiles(per_price, "price", _PRICE_PROBS, weight="n")
+    quantiles = found.select(*(F.col(f"q{i}").alias(name) for i, name in enumerate(_PRICE_NAMES)))
+    return side_by_side(spread, quantiles)
+
+
 def q_price_distribution(txn: DataFrame, exact: bool = True) -> DataFrame:
     """Range, mean and quartiles of the price; ``exact=False`` uses a sketch for the quantiles."""
-    names = ("p25", "p50", "p75", "p99")
+    if exact:
+        return _price_distribution(materialise(value_counts(txn, "price")))
     price = F.col("price")
-    if not exact:
-        sketch = F.percentile_approx(as_double(price), list(_PRICE_PROBS), 10000)
-        found = txn.agg(
-            n_rows().alias("n_txn"),
-            as_double(F.min(price)).alias("min_price"),
-            as_double(F.max(price)).alias("max_price"),
-            ratio(F.sum(price), F.count(price)).alias("mean_price"),
-            sketch.alias("_q"),
-        )
-        picked = (F.col("_q")[i].alias(name) for i, name in enumerate(names))
-        return found.select("*", *picked).drop("_q")
-    # One row per price, from which everything follows.
-    counts = materialise(txn.groupBy("price").agg(n_rows().alias("n")))
-    n = F.col("n")
-    spread = counts.agg(
-        F.sum(n).alias("n_txn"),
+    sketch = F.percentile_approx(as_double(price), list(_PRICE_PROBS), 10000)
+    found = txn.agg(
+        n_rows().alias("n_txn"),
         as_double(F.min(price)).alias("min_price"),
         as_double(F.max(price)).alias("max_price"),
-        ratio(F.sum(price * n), F.sum(F.when(price.isNotNull(), n))).alias("mean_price"),
+        ratio(F.sum(price), F.count(price)).alias("mean_price"),
+        sketch.alias("_q"),
     )
-    found = exact_quantiles(counts, "price", _PRICE_PROBS, weight="n")
-    quantiles = found.select(*(F.col(f"q{i}").alias(name) for i, name in enumerate(names)))
-    return side_by_side(spread, quantiles)
+    picked = (F.col("_q")[i].alias(name) for i, name in enumerate(_PRICE_NAMES))
+    return found.select("*", *picked).drop("_q")
+
+
+def _single_purchase(per_customer: DataFrame) -> DataFrame:
+    known = per_customer.where(F.col("customer_id").isNotNull())
+    counts = known.agg(_count_if(F.col("n") == 1).alias("n_single"), n_rows().alias("n_buyers"))
+    return counts.withColumn("pct", share_pct("n_single", "n_buyers", 2))
 
 
 def q_single_purchase(txn: DataFrame) -> DataFrame:
     """Customers with exactly one transaction row."""
-    per_customer = txn.where(F.col("customer_id").isNotNull()).groupBy("customer_id")
-    counts = per_customer.agg(n_rows().alias("n")).agg(
-        _count_if(F.col("n") == 1).alias("n_single"), n_rows().alias("n_buyers")
-    )
-    return counts.withColumn("pct", share_pct("n_single", "n_buyers", 2))
+    return _single_purchase(value_counts(txn, "customer_id"))
 
 
-def _day_gaps(txn: DataFrame) -> DataFrame:
-    """Days with transactions and the days since the one before: one row per calendar day."""
-    days = txn.where(F.col("t_dat").isNotNull()).select("t_dat").distinct()
+def _day_gaps(per_day: DataFrame) -> DataFrame:
+    """Days since the previous day with transactions. There is one row per calendar day."""
+    days = per_day.where(F.col("t_dat").isNotNull())
     before = F.lag("t_dat").over(W.orderBy("t_dat"))
-    return days.withColumn("gap_days", F.datediff("t_dat", before).cast("bigint"))
+    return days.select("t_dat", F.datediff("t_dat", before).cast("bigint").alias("gap_days"))
 
 
-def q_date_gaps(txn: DataFrame) -> DataFrame:
-    return _day_gaps(txn).agg(
+def _date_gaps(per_day: DataFrame) -> DataFrame:
+    return _day_gaps(per_day).agg(
         n_rows().alias("n_days"),
         _count_if(F.col("gap_days") > 1).alias("n_gaps"),
         F.max("gap_days").alias("max_gap_days"),
     )
 
 
+def q_date_gaps(txn: DataFrame) -> DataFrame:
+    return _date_gaps(value_counts(txn, "t_dat"))
+
+
+def _max_gap_date(per_day: DataFrame) -> DataFrame:
+    gaps = _day_gaps(per_day).where(F.col("gap_days") > 1)
+    return gaps.orderBy(F.desc("gap_days"), "t_dat").limit(1)
+
+
 def q_max_gap_date(txn: DataFrame) -> DataFrame:
     """The day that ends the longest gap of more than a day, the earliest one on ties."""
-    gaps = _day_gaps(txn).where(F.col("gap_days") > 1)
-    return gaps.orderBy(F.desc("gap_days"), "t_dat").limit(1).select("t_dat", "gap_days")
+    return _max_gap_date(value_counts(txn, "t_dat"))
 
 
-def _distribution(df: DataFrame, column: str) -> DataFrame:
-    counts = df.groupBy(column).agg(n_rows().alias("n"))
+def _distribution(counts: DataFrame) -> DataFrame:
     everything = F.sum("n").over(W.partitionBy())  # one row per category
     return counts.withColumn("pct", share_pct("n", everything, 2))
 
 
 def q_channel_distribution(txn: DataFrame) -> DataFrame:
-    return _distribution(txn, "sales_channel_id")
+    return _distribution(value_counts(txn, "sales_channel_id"))
 
 
 def q_club_distribution(cust: DataFrame) -> DataFrame:
     """Missing status is kept as a group of its own."""
-    return _distribution(cust, "club_member_status")
+    return _distribution(value_counts(cust, "club_member_status"))
 
 
 def _as_text(column: str, scale: int) -> Column:
@@ -186,8 +213,14 @@ def _listing(df: DataFrame, column: str) -> DataFrame:
 def quality_report(
     txn: DataFrame, cust: DataFrame, art: DataFrame, cfg: RetentionConfig = DEFAULT
 ) -> DataFrame:
-    """All checks as rows: check, count, pct, detail, treatment, rows_affected."""
+    """All checks as rows: check, count, pct, detail, treatment, rows_affected.
+
+    Each column of the transactions is counted once and shared by the checks that need it.
+    """
     lo, hi = cfg.min_age, cfg.max_age
+    per_customer = materialise(value_counts(txn, "customer_id"))
+    per_price = materialise(value_counts(txn, "price"))
+    per_day = materialise(value_counts(txn, "t_dat"))
 
     def line(df: DataFrame, check: str, count: str, treatment: str, **optional: Column) -> DataFrame:
         return df.select(
@@ -213,7 +246,7 @@ def quality_report(
         ", ", *(F.concat(F.lit(f"{name}="), _as_text(name, 4)) for name in price_names)
     )
     gaps = side_by_side(
-        q_date_gaps(txn), q_max_gap_date(txn).select(F.col("t_dat").alias("around"))
+        _date_gaps(per_day), _max_gap_date(per_day).select(F.col("t_dat").alias("around"))
     )
     gap_detail = F.concat_ws(
         " around ",
@@ -222,7 +255,7 @@ def quality_report(
     )
     pct = F.col("pct")
     rows = [
-        line(txn.agg(n_rows().alias("n")), "transactions", "n", "starting count"),
+        line(per_day.agg(F.sum("n").alias("n")), "transactions", "n", "starting count"),
         line(cust.agg(n_rows().alias("n")), "customers", "n", "starting count"),
         line(art.agg(n_rows().alias("n")), "articles", "n", "starting count"),
         line(
@@ -235,17 +268,20 @@ def quality_report(
             detail=age_detail, affected=F.col("n_implausible"),
         ),
         line(
-            q_customers_no_txn(cust, txn), "customers_without_transactions", "n_no_txn",
+            _without_txn(cust, per_customer), "customers_without_transactions", "n_no_txn",
             "excluded: no history to analyse", pct=pct, affected=F.col("n_no_txn"),
         ),
-        line(q_orphan_customers(txn, cust), "unknown_customers", "n_orphans", "kept without metadata"),
+        line(
+            _orphans(per_customer, cust, "customer_id"), "unknown_customers", "n_orphans",
+            "kept without metadata",
+        ),
         line(q_orphan_articles(txn, art), "unknown_articles", "n_orphans", "kept without metadata"),
-        line(q_price_validity(txn), "invalid_price", "n_invalid", "kept and flagged"),
+        line(_price_validity(per_price), "invalid_price", "n_invalid", "kept and flagged"),
         line(
-            q_price_distribution(txn), "price_distribution", "n_txn", "no outliers removed",
+            _price_distribution(per_price), "price_distribution", "n_txn", "no outliers removed",
             detail=price_detail,
         ),
-        line(q_single_purchase(txn), "single_purchase_customers", "n_single", "kept", pct=pct),
+        line(_single_purchase(per_customer), "single_purchase_customers", "n_single", "kept", pct=pct),
         line(gaps, "date_gaps", "n_gaps", "no action", detail=gap_detail),
         line(
             _listing(q_channel_distribution(txn), "sales_channel_id"), "sales_channels", "count",

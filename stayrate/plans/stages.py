@@ -82,16 +82,18 @@ def quality_stage(store: Store, cfg: RetentionConfig = DEFAULT) -> DataFrame:
 
 def descriptives_stage(store: Store, cfg: RetentionConfig = DEFAULT) -> dict[str, DataFrame]:
     txn, art = store.data("transactions"), store.data("articles")
-    weekly = descriptives.weekly_index(descriptives.weekly_revenue(txn))
-    monthly = descriptives.seasonality_index(descriptives.monthly_revenue(txn))
+    daily = store.save_data("daily_totals", descriptives.daily_totals(txn))
+    weekly = descriptives.weekly_index(store.save_data("weekly", descriptives.weekly_revenue(txn)))
+    monthly = descriptives.seasonality_index(descriptives.monthly_revenue(daily))
     revenue = store.save_data(
         "customer_revenue", descriptives.customer_revenue(store.data("purchase_days"))
     )
     results = {
         "weekly_index": weekly,
         "weekly_extremes": descriptives.weekly_extremes(weekly),
-        "channel_share": descriptives.channel_share(txn),
-        "channel_weekly_share": descriptives.channel_weekly_share(txn, cfg.channels),
+        "channel_weekly": descriptives.channel_weekly(daily),
+        "channel_share": descriptives.channel_share(daily),
+        "channel_weekly_share": descriptives.channel_weekly_share(daily, cfg.channels),
         "product_mix": descriptives.product_mix(txn, art),
         "lorenz_curve": descriptives.lorenz_curve(revenue),
         "top_share": descriptives.top_share(revenue),

@@ -161,6 +161,18 @@ def test_concentration_equals_a_sorted_array(spark):
     assert curve[3].revenue_share == pytest.approx(share[curve[3]["rank"] - 1])
 
 
+def test_daily_totals_give_the_same_trends(tables):
+    txn = tables["transactions"]
+    daily = descriptives.daily_totals(txn)
+    for trend in (
+        descriptives.channel_weekly,
+        descriptives.channel_share,
+        descriptives.channel_weekly_share,
+        descriptives.monthly_revenue,
+    ):
+        assert sorted(map(tuple, trend(daily).collect())) == sorted(map(tuple, trend(txn).collect()))
+
+
 def test_shares_sum_to_one_hundred(tables):
     weekly = descriptives.channel_weekly_share(tables["transactions"]).collect()
     assert all(r.channel_1_pct + r.channel_2_pct == pytest.approx(100) for r in weekly)
