@@ -167,17 +167,20 @@ def lorenz_curve(revenue: DataFrame, points: int = 100) -> DataFrame:
 
     Point ``i`` stands at the customer of rank ``ceil(i * n / points)``.
     """
-    levels = _concentration(revenue)
-    rank_of = lambda i: F.ceil(i * F.col("n_all") / F.lit(float(points)))
-    # Points that fall on this level, i.e. with n_below < rank <= n_below + n
-    inside = F.filter(
-        F.sequence(F.lit(1), F.lit(points)),
-        lambda i: (rank_of(i) > F.col("n_below")) & (rank_of(i) <= F.col("n_below") + F.col("n")),
+    # In whole numbers, the points with n_below < ceil(i * n_all / points) <= n_below + n
+    levels = _concentration(revenue).selectExpr(
+        "*",
+        f"n_below * {points} div n_all + 1 AS first_point",
+        f"(n_below + n) * {points} div n_all AS last_point",
+    )
+    picked = (
+        levels.where(F.col("first_point") <= F.col("last_point"))
+        .withColumn("point", F.explode(F.sequence("first_point", "last_point")))
+        .withColumn("rank", F.expr(f"(point * n_all + {points - 1}) div {points}"))
     )
-    picked = levels.withColumn("point", F.explode(inside)).withColumn("rank", rank_of(F.col("point")))
     return picked.select(
-        F.col("point").cast("bigint").alias("point"),
-        F.col("rank").cast("bigint").alias("rank"),
+        "point",
+        "rank",
         ratio("rank", "n_all").alias("customer_share"),
         ratio(_spend_up_to(F.col("rank")), "spend_all").alias("revenue_share"),
     )

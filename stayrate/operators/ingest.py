@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from stayrate.config import DEFAULT
 from stayrate.functions import lookup_join
 
+_COPY_SLOTS = 1024
+
 
 def _stack(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
@@ -115,15 +117,19 @@ def sample_tables(
     }
 
 
-def write_clustered(df: DataFrame, path: str, date_col: str = "t_dat", spread: tuple[str, ...] = ("customer_id",)) -> None:
+def write_clustered(
+    df: DataFrame, path: str, date_col: str = "t_dat", spread: Sequence[str] = ("customer_id",)
+) -> None:
     """Write ``df`` as Parquet whose files cover narrow date ranges.
 
-    Rows are range partitioned by date and then by ``spread``, so a day with a large
-    share of the rows is cut over several files. Readers skip files and row groups by
-    their date statistics.
+    Rows are range partitioned by date, then by ``spread`` and a running number, so a day,
+    a customer or even copies of one row with a large share of all rows are cut over
+    several files. Readers skip files and row groups by their date statistics.
     """
     order = [date_col, *spread]
-    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+    numbered = df.withColumn("_copy", F.monotonically_increasing_id() % _COPY_SLOTS)
+    placed = numbered.repartitionByRange(*order, "_copy").drop("_copy")
+    placed.sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
 
 
 def reconcile_counts(raw: Mapping[str, DataFrame], stored: Mapping[str, DataFrame]) -> DataFrame:

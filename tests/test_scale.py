@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stayrate.operators import affinity as aff
-from stayrate.operators import cohorts, descriptives, quality, rfm
+from stayrate.operators import cohorts, descriptives, ingest, quality, rfm
 from stayrate.operators import snapshots as snap
 from stayrate.plans.catalogue import QUERIES
 from tests.conftest import TEST_DATA, TXN, plan_of
@@ -136,6 +136,17 @@ def test_uneven_articles_and_baskets(spark, uneven, no_broadcast, monkeypatch):
     ).sum()
 
 
+def test_copies_of_one_row_spread_over_files(spark, confs, tmp_path, make):
+    confs(spark__sql__adaptive__coalescePartitions__enabled="false")
+    one = make.txn([("2020-01-01", "x")])
+    txn = one.join(spark.range(20_000)).drop("id").unionByName(make.txn([("2020-01-02", "y")]))
+    ingest.write_clustered(txn, f"{tmp_path}/t")
+    stored = spark.read.parquet(f"{tmp_path}/t")
+    assert stored.count() == 20_001 and stored.columns == txn.columns
+    sizes = [r["count"] for r in stored.groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 10_000
+
+
 def test_results_do_not_depend_on_partitions(spark, confs, tables):
     summary = lambda: sorted(
         map(tuple, rfm.segment_summary(
