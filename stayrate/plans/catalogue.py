@@ -59,8 +59,10 @@ class _Tables:
     def test_date(self) -> datetime.date:
         return self.windows[-1].date
 
-    def snapshots(self) -> DataFrame:
-        return materialise(snap.snapshots(self.txn, self.cust, self.windows, CFG))
+    def snapshots(self, *columns: str) -> DataFrame:
+        """The three snapshots; with ``columns``, what only other columns need is not computed."""
+        built = snap.snapshots(self.txn, self.cust, self.windows, CFG)
+        return materialise(built.select(*columns) if columns else built)
 
     @property
     def item_names(self) -> list[str] | None:
@@ -835,19 +837,19 @@ def audit_unique(spark, path):
 @_query
 def audit_feature_dates(spark, path):
     t = _Tables(spark, path)
-    return audits.audit_feature_dates(t.txn, t.snapshots())
+    return audits.audit_feature_dates(t.txn, t.snapshots("customer_id", "snapshot_date", "recency_days"))
 
 
 @_query
 def audit_label_retained(spark, path):
     t = _Tables(spark, path)
-    return audits.audit_label_retained(t.txn, t.snapshots(), CFG.label_window_weeks)
+    return audits.audit_label_retained(t.txn, t.snapshots("customer_id", "snapshot_date", "lapsed"), CFG.label_window_weeks)
 
 
 @_query
 def audit_label_lapsed(spark, path):
     t = _Tables(spark, path)
-    return audits.audit_label_lapsed(t.txn, t.snapshots(), CFG.label_window_weeks)
+    return audits.audit_label_lapsed(t.txn, t.snapshots("customer_id", "snapshot_date", "lapsed"), CFG.label_window_weeks)
 
 
 @_query
