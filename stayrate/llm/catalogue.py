@@ -13,6 +13,7 @@ from stayrate.llm import (
     mixing,
     near_dedup,
     sharding,
+    suffix_dedup,
     token_counts,
     tool_calls,
     toxicity,
@@ -45,6 +46,10 @@ def _op4(spark: SparkSession, path: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, path, "documents"))
 
 
+def _op5(spark: SparkSession, path: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, path, "documents"))
+
+
 def _op6(spark: SparkSession, path: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, path, "documents"), k=4, percent=80)
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": _op2,
     "op3_token_counts": _op3,
     "op4_exact_dedup": _op4,
+    "op5_suffix_dedup": _op5,
     "op6_minhash_near_dedup": _op6,
     "op7_sharding": _op7,
     "op8_url_filter": _op8,
