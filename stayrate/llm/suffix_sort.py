@@ -73,7 +73,18 @@ class Queues:
                 yield np.array(part["at"]), np.array(part["lcp"])
             del rows
             os.remove(file)
-        yield from parts
+        yield from joined(parts)
+
+
+def joined(parts: list):
+    """Stretches of (position, common prefix) as few arrays of bounded length."""
+    some, size = [], 0
+    for part in parts:
+        some.append(part)
+        size += len(part[0])
+        if size >= QUEUE_TUPLES or part is parts[-1]:
+            yield tuple(np.concatenate(columns) for columns in zip(*some))
+            some, size = [], 0
 
 
 def common_prefixes(padded: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -255,7 +266,7 @@ def induce(
                 done += len(positions)
                 last = int(positions[-1])
                 following += put_all(positions, shared, byte)
-            wave = following
+            wave = list(joined(following))
         a, b = int(begins[byte]), int(ends[byte])
         if b > a:
             shared = np.array(start_shared[a:b])
