@@ -8,25 +8,26 @@ Candidates that are clearly apart go; the others are confirmed on their full shi
 Documents with equal shingle sets are one node. A band bucket is searched from a pivot, the
 member that meets most others in all its buckets, so a group of copies gives one pair per copy
 and not all pairs. What the pivots leave apart is then compared within the bucket across
-components: members outside the bucket's largest component with all members of others.
+components: members outside the bucket's largest component with members of others whose sets are
+about as large.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stayrate.llm.components import components
 from stayrate.llm.kernels import mixed, pieces, shingle_sets, text_bytes
 from stayrate.llm.native import stored
 
-#: 40 bands of 5: documents of similarity 0.8 share a band but for a chance of 1e-7.
-BANDS, ROWS, BITS = 40, 5, 2
+#: 50 bands of 6: documents of similarity 0.8 share a band but for a chance of 3e-7.
+BANDS, ROWS, BITS = 50, 6, 2
 HASHES = BANDS * ROWS
 PLANES = BITS * ((HASHES + 63) // 64)
 #: Candidates go if their estimate lies so many standard deviations under the threshold.
@@ -205,7 +206,8 @@ def near_duplicates(
     stars = buckets.join(pivots, "key").where("node <> pivot")
     pairs = stars.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     search = _Search(texts, nodes, k, percent)
-    links = search.linked(stored(pairs, "pairs"))
+    pairs = stored(pairs, "pairs")
+    links = search.linked(pairs)
 
     # Buckets whose members are not yet in one component.
     roots = components(links)
@@ -218,13 +220,26 @@ def near_duplicates(
         "key", F.col("most.root").alias("most_root")
     )
     apart = stored(placed.drop("size").join(split.select("key", "root"), ["key", "root"], "left_semi").join(largest, "key"), "apart")
-    few = apart.where("root <> most_root").select("key", F.col("node").alias("x"), F.col("root").alias("rx"))
-    many = apart.select("key", F.col("node").alias("y"), F.col("root").alias("ry"), "most_root")
+    # Similar sets differ in size by a factor of 100 / percent at most: by one class at most.
+    log_step = math.log(100 / percent) if percent < 100 else 1.0
+    size_class = F.floor(F.log(F.col("n").cast("double")) / log_step)
+    sized = apart.join(nodes.select("node", "n"), "node").withColumn("class", size_class)
+    few = sized.where("root <> most_root").select(
+        "key",
+        F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"),
+        F.col("node").alias("x"),
+        F.col("root").alias("rx"),
+        F.col("n").alias("nx"),
+    )
+    many = sized.select("key", "class", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), "most_root")
     once = (F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("most_root")) | (F.col("x") < F.col("y")))
-    cross = few.join(many, "key").where(once)
+    close = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
+    cross = few.join(many, ["key", "class"]).where(once & close)
     left = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     tested = stored(left.join(pairs, ["a", "b"], "left_anti"), "cross")
-    roots = components(links.unionByName(search.linked(tested)))
+    more = search.linked(tested)
+    if more.limit(1).count():
+        roots = components(links.unionByName(more))
 
     found = member.join(roots.withColumnRenamed("id", "node"), "node", "left")
     component = F.coalesce("root", "node", "id")
