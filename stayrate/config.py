@@ -101,6 +101,8 @@ def config_from_mapping(settings: Mapping[str, Any]) -> RetentionConfig:
         values["n_quantiles"] = rfm["n_quantiles"]
     if "segments" in rfm:
         boxes = rfm["segments"]
+        if unknown := set(boxes) - {default.name for default in SEGMENT_RULES}:
+            raise ValueError(f"unknown segments: {sorted(unknown)}")
         values["segment_rules"] = tuple(
             _rule(default.name, boxes[default.name])
             for default in SEGMENT_RULES
@@ -126,6 +128,8 @@ def config_from_mapping(settings: Mapping[str, Any]) -> RetentionConfig:
             values[field] = tuple(grid[key])
     for key, field in (("subsample", "row_subsample"), ("colsample_bytree", "feature_subsample")):
         if key in grid:
+            if len(grid[key]) != 1:
+                raise ValueError(f"{key} takes one value; the grid does not run over it")
             values[field] = float(grid[key][0])
 
     sizing = settings.get("sizing", {})

@@ -73,6 +73,12 @@ def channel_sizes(first: DataFrame) -> DataFrame:
     return first.groupBy("first_channel").agg(n_rows().alias("cohort_size"))
 
 
+def sizes_of(activity: DataFrame, key: str) -> DataFrame:
+    """Customers per cohort or first channel from ``cohort_activity``: all are active in month 0."""
+    at_first = activity.where(F.col("months_since") == 0)
+    return at_first.groupBy(key).agg(F.sum("n_customers").alias("cohort_size"))
+
+
 def _retention(activity: DataFrame, sizes: DataFrame, key: str, digits: int | None) -> DataFrame:
     active = activity.groupBy(key, "months_since").agg(F.sum("n_customers").alias("n_customers"))
     return active.join(sizes, key).select(

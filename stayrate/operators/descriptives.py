@@ -101,18 +101,17 @@ def channel_share(txn: DataFrame, digits: int | None = 1) -> DataFrame:
 def channel_weekly_share(
     txn: DataFrame, channels: Sequence[int] = DEFAULT.channels, digits: int | None = None
 ) -> DataFrame:
-    """Per week, the share of each channel's revenue in that of all ``channels``, in percent."""
-    per_channel = [
-        F.coalesce(F.sum(F.when(F.col("sales_channel_id") == c, F.col("price"))), F.lit(0))
-        for c in channels
-    ]
-    names = [f"channel_{c}_pct" for c in channels]
-    weekly = txn.where(F.col("sales_channel_id").isin(*channels)).groupBy(
-        week_start("t_dat").alias("week")
-    )
-    sums = weekly.agg(*(total.alias(name) for total, name in zip(per_channel, names)))
-    together = sum((F.col(name) for name in names[1:]), F.col(names[0]))
-    return sums.select("week", *(share_pct(name, together, digits).alias(name) for name in names))
+    """Per week, each channel's percentage of the week's revenue, and ``other_pct``.
+
+    ``other_pct`` is what comes from channels beyond ``channels``, and from rows without one.
+    """
+    channel = F.col("sales_channel_id")
+    part = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("price"))), F.lit(0))
+    shares = {f"channel_{c}_pct": part(channel == c) for c in channels}
+    shares["other_pct"] = part(~F.coalesce(channel.isin(*channels), F.lit(False)))
+    weekly = txn.groupBy(week_start("t_dat").alias("week"))
+    sums = weekly.agg(F.sum("price").alias("_all"), *(total.alias(name) for name, total in shares.items()))
+    return sums.select("week", *(share_pct(name, F.col("_all"), digits).alias(name) for name in shares))
 
 
 def product_mix(txn: DataFrame, art: DataFrame, digits: int | None = 1) -> DataFrame:

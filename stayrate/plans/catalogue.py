@@ -61,7 +61,8 @@ class _Tables:
 
     def snapshots(self, *columns: str) -> DataFrame:
         """The three snapshots; with ``columns``, what only other columns need is not computed."""
-        built = snap.snapshots(self.txn, self.cust, self.windows, CFG)
+        articles = not columns or "n_distinct_articles" in columns
+        built = snap.snapshots(self.txn, self.cust, self.windows, CFG, articles)
         return materialise(built.select(*columns) if columns else built)
 
     @property
@@ -188,9 +189,7 @@ def q_duplicate_transactions(spark, path):
 
 @_query
 def q_missing_age(spark, path):
-    t = _Tables(spark, path)
-    cleaned = t.cust.withColumn("age", clean_age_column("age"))
-    return quality.q_missing_age(cleaned)
+    return quality.q_missing_age(_Tables(spark, path).cust)
 
 
 @_query
@@ -208,20 +207,19 @@ def clean_age(spark, path):
 @_query
 def q_customers_no_txn(spark, path):
     t = _Tables(spark, path)
-    return quality.q_customers_no_txn(t.cust, t.txn, since="2001-01-01")
+    return quality.q_customers_no_txn(t.cust, t.txn)
 
 
 @_query
 def q_orphan_customers(spark, path):
     t = _Tables(spark, path)
-    members = t.cust.where(F.col("club_member_status") == "ACTIVE")
-    return quality.q_orphan_customers(t.txn, members)
+    return quality.q_orphan_customers(t.txn, t.cust)
 
 
 @_query
 def q_orphan_articles(spark, path):
     t = _Tables(spark, path)
-    return quality.q_orphan_articles(t.txn, t.art.where(F.col("product_group_name") == "ECONOMY"))
+    return quality.q_orphan_articles(t.txn, t.art)
 
 
 @_query
@@ -303,7 +301,7 @@ def channel_weekly_share(spark, path):
 @_query
 def product_mix(spark, path):
     t = _Tables(spark, path)
-    return descriptives.product_mix(t.txn, t.art.where(F.col("product_group_name") != "ECONOMY"))
+    return descriptives.product_mix(t.txn, t.art)
 
 
 @_query
@@ -427,13 +425,13 @@ def cohort_sizes(spark, path):
 
 
 def _retention(t: _Tables) -> DataFrame:
-    sizes = cohorts.cohort_sizes(cohorts.first_purchase(t.txn))
-    return cohorts.cohort_retention(cohorts.cohort_activity(t.txn), sizes)
+    activity = cohorts.cohort_activity(t.txn)
+    return cohorts.cohort_retention(activity, cohorts.sizes_of(activity, "cohort_month"))
 
 
 def _channel_retention(t: _Tables) -> DataFrame:
-    sizes = cohorts.channel_sizes(cohorts.first_purchase(t.txn))
-    return cohorts.channel_retention(cohorts.cohort_activity(t.txn), sizes)
+    activity = cohorts.cohort_activity(t.txn)
+    return cohorts.channel_retention(activity, cohorts.sizes_of(activity, "first_channel"))
 
 
 @_query
@@ -643,7 +641,7 @@ def model_comparison(spark, path):
     t = _Tables(spark, path)
     snaps = t.snapshots()
     train, val, test = _split(model.feature_vector(snaps, snap.feature_names(CFG)))
-    logistic = model.logistic_select(train, val, (0.01, 1.0))
+    logistic = model.logistic_select(train, val, CFG.logistic_c)
     boosted = model.gbt_grid(train, val, SMALL_GRID, CFG)
     calibration = model.isotonic_calibrate(model.score(boosted.model, val))
     raw = model.score(boosted.model, test)
@@ -673,12 +671,12 @@ def baseline_comparison(spark, path):
 
 @_query
 def lift_by_decile(spark, path):
-    return _rounded(metrics.lift_by_decile(_Tables(spark, path).baseline()), 9, "avg_prob")
+    return _rounded(metrics.lift_by_decile(_Tables(spark, path).baseline(), bounded=True), 9, "avg_prob")
 
 
 @_query
 def top_capture(spark, path):
-    return metrics.top_capture(metrics.lift_by_decile(_Tables(spark, path).baseline()))
+    return metrics.top_capture(metrics.lift_by_decile(_Tables(spark, path).baseline(), bounded=True))
 
 
 @_query
@@ -690,7 +688,7 @@ def calibration_bins(spark, path):
 @_query
 def feature_importance(spark, path):
     train, val, test = _vectors(_Tables(spark, path))
-    chosen = model.logistic_select(train, val, (0.01,))
+    chosen = model.logistic_select(train, val, CFG.logistic_c)
     return model.feature_importance(chosen.model, test, snap.feature_names(CFG))
 
 
@@ -718,8 +716,7 @@ def baskets(spark, path):
 @_query
 def n_baskets(spark, path):
     t = _Tables(spark, path)
-    known = t.art.where(F.col("product_group_name") == "ECONOMY")
-    return aff.n_baskets(aff.basket_rows(t.txn, known))
+    return aff.n_baskets(aff.basket_rows(t.txn, t.art))
 
 
 @_query

@@ -250,7 +250,7 @@ ORACLES.update(
   customer_id, article_id, price, sales_channel_id) AS rn FROM txn) WHERE rn > 1""",
         "q_missing_age": _with(_CUST)
         + _MISSING_AGE
-        + " (SELECT CASE WHEN age < 15 OR age > 100 THEN NULL ELSE age END AS age FROM cust)",
+        + " cust",
         "q_implausible_age": _with(_CUST)
         + f"""SELECT {_UNDER} AS n_under, {_OVER} AS n_over, {_UNDER} + {_OVER} AS n_implausible,
   min(age) AS min_age, max(age) AS max_age, median(age) AS median_age FROM cust""",
@@ -260,16 +260,13 @@ ORACLES.update(
         "q_customers_no_txn": _with(_TXN, _CUST)
         + f"""SELECT count(*) FILTER (WHERE missing) AS n_no_txn, count(*) AS n_customers,
   {_share('count(*) FILTER (WHERE missing)', 'count(*)', 2)} AS pct
-  FROM (SELECT NOT EXISTS (SELECT 1 FROM txn t WHERE t.customer_id = c.customer_id
-    AND t.t_dat >= DATE '2001-01-01') AS missing FROM cust c)""",
+  FROM (SELECT NOT EXISTS (SELECT 1 FROM txn t WHERE t.customer_id = c.customer_id) AS missing FROM cust c)""",
         "q_orphan_customers": _with(_TXN, _CUST)
         + """SELECT count(*) AS n_orphans, count(DISTINCT customer_id) AS n_unknown_keys FROM txn t
-  WHERE NOT EXISTS (SELECT 1 FROM cust c WHERE c.customer_id = t.customer_id
-    AND c.club_member_status = 'ACTIVE')""",
+  WHERE NOT EXISTS (SELECT 1 FROM cust c WHERE c.customer_id = t.customer_id)""",
         "q_orphan_articles": _with(_TXN, _art())
         + """SELECT count(*) AS n_orphans, count(DISTINCT article_id) AS n_unknown_keys FROM txn t
-  WHERE NOT EXISTS (SELECT 1 FROM art a WHERE a.article_id = t.article_id
-    AND a.product_group_name = 'ECONOMY')""",
+  WHERE NOT EXISTS (SELECT 1 FROM art a WHERE a.article_id = t.article_id)""",
         "q_price_validity": _with(_TXN)
         + """SELECT count(*) FILTER (WHERE price IS NULL) AS n_null,
   count(*) FILTER (WHERE price <= 0) AS n_non_positive,
@@ -337,12 +334,13 @@ ORACLES.update(
         "channel_weekly_share": _with(_TXN)
         + f"""SELECT CAST({_WEEK} AS VARCHAR) AS week,
   {_share('coalesce(sum(price) FILTER (WHERE sales_channel_id = 1), 0)', 'sum(price)')} AS channel_1_pct,
-  {_share('coalesce(sum(price) FILTER (WHERE sales_channel_id = 2), 0)', 'sum(price)')} AS channel_2_pct
+  {_share('coalesce(sum(price) FILTER (WHERE sales_channel_id = 2), 0)', 'sum(price)')} AS channel_2_pct,
+  {_share('coalesce(sum(price) FILTER (WHERE sales_channel_id IS NULL OR sales_channel_id NOT IN (1, 2)), 0)', 'sum(price)')} AS other_pct
   FROM txn GROUP BY 1""",
         "product_mix": _with(_TXN, _art())
         + f"""SELECT product_group_name, {_double('sum(price)')} AS revenue,
   {_share('sum(price)', '(SELECT sum(price) FROM txn)', 1)} AS pct
-  FROM txn t LEFT JOIN (SELECT * FROM art WHERE product_group_name <> 'ECONOMY') a
+  FROM txn t LEFT JOIN art a
     ON t.article_id = a.article_id GROUP BY 1""",
         "customer_revenue": _with(_TXN, _REVENUE)
         + f"SELECT customer_id, {_double('total_rev')} AS total_rev FROM revenue",
@@ -840,7 +838,7 @@ ORACLES.update(
         + "SELECT customer_id, CAST(t_dat AS VARCHAR) AS t_dat, item FROM baskets",
         "n_baskets": _with(_TXN, _art(), _BASKETS)
         + """SELECT count(*) AS n_baskets FROM (SELECT DISTINCT t.customer_id, t.t_dat
-  FROM txn t JOIN art a ON a.article_id = t.article_id WHERE a.product_group_name = 'ECONOMY')""",
+  FROM txn t JOIN art a ON a.article_id = t.article_id)""",
         "item_counts": _with(_TXN, _art("p_brand"), _BASKETS, _ITEMS)
         + "SELECT item, n AS n_baskets FROM items",
         "basket_types": _with(_TXN, _art("p_brand"), _BASKETS)

@@ -178,6 +178,13 @@ def test_shares_sum_to_one_hundred(tables):
     assert all(r.channel_1_pct + r.channel_2_pct == pytest.approx(100) for r in weekly)
 
 
+def test_other_channels_keep_their_weeks(make):
+    days = ("2020-01-06", "2020-01-13", "2020-01-20")
+    txn = make.txn([(d, "a", "x", p, c) for d, p, c in zip(days, (5.0, 3.0, 2.0), (1, 3, None))])
+    found = sorted(map(tuple, descriptives.channel_weekly_share(txn).collect()))
+    assert [row[1:] for row in found] == [(100.0, 0.0, 0.0), (0.0, 0.0, 100.0), (0.0, 0.0, 100.0)]
+
+
 # RFM
 
 
