@@ -24,8 +24,8 @@ from stayrate.llm.native import stored
 BITS, PREFIXES = 18, (5, 6, 7, 8)
 #: Rows that are fitted on at most: those with the smallest hashes of their ids.
 MAX_POSITIVE, MAX_UNLABELLED = 4_000, 12_000
-PSEUDO, SIGMAS = 1.0, 4.5
-EPOCHS, MIN_STEPS, BATCH, RATE, DECAY, SEED = 10, 150, 256, 0.05, 1e-4, 11
+PSEUDO, SIGMAS = 1.0, 5.0
+EPOCHS, MIN_STEPS, BATCH, RATE, DECAY, SEED = 6, 60, 256, 0.02, 1e-4, 11
 
 
 def held_out(id_column: Column) -> Column:
