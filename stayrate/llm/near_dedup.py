@@ -7,14 +7,13 @@ Candidates that are clearly apart go; the others are confirmed on their full shi
 
 Documents with equal shingle sets are one node. A band bucket is searched from a pivot, the
 member that meets most others in all its buckets, so a group of copies gives one pair per copy
-and not all pairs. What the pivots leave apart is then compared within the bucket across
-components: members outside the bucket's largest component with members of others whose sets are
-about as large.
+and not all pairs. Members of buckets that the pivots leave in different components meet once more
+where they share one of their rare shingles and what they may share after it suffices; loose
+copies of one text share it with many, but their own words soon rule out that they are similar.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +32,8 @@ PLANES = BITS * ((HASHES + 63) // 64)
 #: Candidates go if their estimate lies so many standard deviations under the threshold.
 SIGMAS = 6.0
 _CHUNK = 1 << 15
+#: Sets meet by size in classes of about 3 percent.
+_SIZE_STEP = 0.03
 
 
 def _functions() -> tuple[np.ndarray, np.ndarray]:
@@ -150,6 +151,11 @@ class _Search:
     def __init__(self, texts: DataFrame, nodes: DataFrame, k: int, percent: int):
         self.texts, self.nodes, self.k, self.percent = texts, nodes, k, percent
 
+    def sets_of(self, wanted: DataFrame) -> DataFrame:
+        """The full shingle sets of nodes."""
+        found = self.texts.join(wanted, self.texts["id"] == F.col("node")).select("node", "text")
+        return stored(found.mapInArrow(_sets(self.k), "node long, set array<long>").dropDuplicates(["node"]), "sets")
+
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar enough."""
         side = lambda x: self.nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
@@ -160,8 +166,7 @@ class _Search:
             "passed",
         )
         wanted = passed.select("a").union(passed.select("b")).distinct().withColumnRenamed("a", "node")
-        found = self.texts.join(stored(wanted, "wanted"), self.texts["id"] == F.col("node")).select("node", "text")
-        sets = stored(found.mapInArrow(_sets(self.k), "node long, set array<long>").dropDuplicates(["node"]), "sets")
+        sets = self.sets_of(stored(wanted, "wanted"))
         first = sets.select(F.col("node").alias("a"), F.col("set").alias("seta"))
         second = sets.select(F.col("node").alias("b"), F.col("set").alias("setb"))
         shared = F.size(F.array_intersect("seta", "setb"))
@@ -170,6 +175,58 @@ class _Search:
         return stored(compared.where(similar).select("a", "b"), "linked")
 
 
+def _rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """The rare shingles of every set, of which any two sets that are similar enough share one.
+
+    Shingles are in one order for all sets, those of the fewest sets first. If two sets are similar
+    enough, the first shingle they share stands at most (1 - percent / 100) into each, and
+    what follows it bounds how much they share: ``low`` to ``high`` are the sizes of sets with which
+    that may suffice. Shingles of one set only take a place but are shared with nothing.
+    """
+    each = sets.select("node", F.size("set").alias("n"), F.explode("set").alias("shingle"))
+    common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    ordered = each.join(common, "shingle").groupBy("node", "n").agg(
+        F.sort_array(F.collect_list(F.struct("sets", "shingle"))).alias("common")
+    )
+    placed = ordered.select(
+        "node", "n", F.expr("n - size(common)").alias("alone"), F.posexplode("common").alias("place", "it")
+    )
+    most = F.expr("n - alone - place")  # shared at most, if this is the first that is shared
+    high = F.least(F.floor(most * (100 + percent) / percent) - F.col("n"), F.floor(F.col("n") * 100 / percent))
+    low = F.expr(f"({percent} * n + 99) div 100")
+    return (
+        placed.select("node", "n", F.col("it.shingle").alias("shingle"), low.alias("low"), high.alias("high"))
+        .where("low <= high")
+    )
+
+
+def _apart_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that may be similar enough."""
+    rare = stored(_rare_shingles(sets, percent).join(apart, "node"), "rare")
+    parts = rare.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("in_root"))
+    largest = parts.groupBy("shingle").agg(
+        F.max(F.struct("in_root", "root")).alias("most"), F.count(F.lit(1)).alias("roots")
+    )
+    largest = largest.where("roots > 1").select("shingle", F.col("most.root").alias("most_root"))
+    met = rare.join(largest, "shingle")
+    size_class = lambda n: F.floor(F.log(n.cast("double")) / _SIZE_STEP)
+    few = met.where("root <> most_root").select(
+        "shingle",
+        F.explode(F.sequence(size_class(F.col("low")), size_class(F.col("high")))).alias("class"),
+        *(F.col(c).alias(f"{c}x") for c in ("node", "root", "n", "low", "high")),
+    )
+    many = met.select(
+        "shingle",
+        size_class(F.col("n")).alias("class"),
+        "most_root",
+        *(F.col(c).alias(f"{c}y") for c in ("node", "root", "n", "low", "high")),
+    )
+    once = (F.col("rootx") != F.col("rooty")) & ((F.col("rooty") == F.col("most_root")) | (F.col("nodex") < F.col("nodey")))
+    fits = F.col("ny").between(F.col("lowx"), F.col("highx")) & F.col("nx").between(F.col("lowy"), F.col("highy"))
+    cross = few.join(many, ["shingle", "class"]).where(once & fits)
+    return cross.select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -209,33 +266,14 @@ def near_duplicates(
     pairs = stored(pairs, "pairs")
     links = search.linked(pairs)
 
-    # Buckets whose members are not yet in one component.
+    # Members of buckets that are not yet in one component.
     roots = components(links)
     placed = buckets.join(roots.withColumnRenamed("id", "node"), "node", "left").select(
-        "key", "node", "size", F.coalesce("root", "node").alias("root")
-    )
-    parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("in_root"), F.first("size").alias("size"))
-    split = stored(parts.where("in_root < size"), "split")
-    largest = split.groupBy("key").agg(F.max(F.struct("in_root", "root")).alias("most")).select(
-        "key", F.col("most.root").alias("most_root")
-    )
-    apart = stored(placed.drop("size").join(split.select("key", "root"), ["key", "root"], "left_semi").join(largest, "key"), "apart")
-    # Similar sets differ in size by a factor of 100 / percent at most: by one class at most.
-    log_step = math.log(100 / percent) if percent < 100 else 1.0
-    size_class = F.floor(F.log(F.col("n").cast("double")) / log_step)
-    sized = apart.join(nodes.select("node", "n"), "node").withColumn("class", size_class)
-    few = sized.where("root <> most_root").select(
-        "key",
-        F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"),
-        F.col("node").alias("x"),
-        F.col("root").alias("rx"),
-        F.col("n").alias("nx"),
+        "key", "node", F.coalesce("root", "node").alias("root")
     )
-    many = sized.select("key", "class", F.col("node").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), "most_root")
-    once = (F.col("rx") != F.col("ry")) & ((F.col("ry") == F.col("most_root")) | (F.col("x") < F.col("y")))
-    close = 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
-    cross = few.join(many, ["key", "class"]).where(once & close)
-    left = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    split = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    apart = stored(placed.join(split.select("key"), "key", "left_semi").select("node", "root").distinct(), "apart")
+    left = _apart_pairs(apart, search.sets_of(apart.select("node")), percent)
     tested = stored(left.join(pairs, ["a", "b"], "left_anti"), "cross")
     more = search.linked(tested)
     if more.limit(1).count():
