@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayrate.config import DEFAULT
@@ -66,55 +66,50 @@ def _coded_types(rows: DataFrame, names: Sequence[str]) -> DataFrame:
     # At most MAX_CODED_ITEMS rows. A missing item sets no bit but keeps its basket.
     coded = rows.join(F.broadcast(codes), "item", "left")
     words = _words(names)
+    unknown = F.raise_error(F.concat(F.lit("item is not among the names: "), "item")).cast("bigint")
+    bit = F.when(F.col("item").isNotNull() & F.col("word").isNull(), unknown).otherwise(F.col("bit"))
     bits = [
-        F.coalesce(F.bit_or(F.when(F.col("word") == w, F.col("bit"))), F.lit(0)).alias(word)
+        F.coalesce(F.bit_or(F.when(F.coalesce("word", F.lit(w)) == w, bit)), F.lit(0)).alias(word)
         for w, word in enumerate(words)
     ]
     sets = coded.groupBy(*_BASKET).agg(*bits)
     return sets.groupBy(*words).agg(n_rows().alias("n"))
 
 
-def _held(names: Sequence[str], position: str) -> Column:
-    """Whether the item at ``position`` of ``names`` is in the set."""
-    i, words = F.col(position), _words(names)
-    found = F.getbit(words[-1], i - (len(words) - 1) * _WORD_BITS)
-    for w in range(len(words) - 2, -1, -1):
-        in_word = F.getbit(words[w], i - w * _WORD_BITS)
-        found = F.when(i < (w + 1) * _WORD_BITS, in_word).otherwise(found)
-    return found == 1
-
-
-def _exploded(types: DataFrame, names: Sequence[str], position: str, item: str) -> DataFrame:
-    """Repeat each set for each of its items, with the item's place in ``names``."""
-    everything = F.array(*(F.lit(name) for name in names)).cast("array<string>")
-    return types.select("*", F.posexplode(everything).alias(position, item)).where(
-        _held(names, position)
+def _decoded(types: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``items`` (sorted) and ``n`` of coded sets."""
+    words = F.array(*_words(names))
+    held = lambda _, i: (
+        F.getbit(F.get(words, F.floor(i / _WORD_BITS).cast("int")), i % _WORD_BITS) == 1
     )
+    everything = F.array(*(F.lit(name) for name in names)).cast("array<string>")
+    return types.select(F.filter(everything, held).alias("items"), "n")
 
 
-def basket_types(rows: DataFrame, names: Sequence[str]) -> DataFrame:
+def basket_types(rows: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """Different item sets, sorted, and the number of baskets that hold exactly that set.
 
     Most baskets repeat a small set, so this is far smaller than the baskets, and all
-    counts follow from it. ``names`` lists the items that can occur, sorted.
+    counts follow from it. ``names`` lists the items that can occur, sorted; an item that is
+    not among them is an error. With None or more than MAX_CODED_ITEMS of them, the items of a
+    basket are gathered instead, at most one of each name.
     """
-    words = F.array(*_words(names))
-    held = lambda _, i: (
-        F.getbit(F.get(words, F.floor(i / _WORD_BITS).cast("int")), i % _WORD_BITS) == 1
-    )
-    everything = F.array(*(F.lit(name) for name in names)).cast("array<string>")
-    return _coded_types(rows, names).select(F.filter(everything, held).alias("items"), "n")
+    if names is None or len(names) > MAX_CODED_ITEMS:
+        sets = rows.groupBy(*_BASKET).agg(F.sort_array(F.collect_set("item")).alias("items"))
+        return sets.groupBy("items").agg(n_rows().alias("n"))
+    return _decoded(_coded_types(rows, names), names)
 
 
-def _counts_of_types(types: DataFrame, names: Sequence[str]) -> DataFrame:
-    items = _exploded(types, names, "i", "item")
+def _counts_of_types(types: DataFrame) -> DataFrame:
+    items = types.select("n", F.explode("items").alias("item"))
     return items.groupBy("item").agg(F.sum("n").alias("n_baskets"))
 
 
-def _pairs_of_types(types: DataFrame, names: Sequence[str]) -> DataFrame:
+def _pairs_of_types(types: DataFrame) -> DataFrame:
     """Each item is combined with those after it; counts are summed before any shuffle."""
-    first = _exploded(types, names, "i", "item_a")
-    pairs = _exploded(first, names, "j", "item_b").where(F.col("i") < F.col("j"))
+    first = types.select("n", "items", F.posexplode("items").alias("i", "item_a"))
+    after = F.slice("items", F.col("i") + 2, F.size("items"))
+    pairs = first.select("n", "item_a", F.explode(after).alias("item_b"))
     return pairs.groupBy("item_a", "item_b").agg(F.sum("n").alias("pair_count"))
 
 
@@ -153,7 +148,7 @@ def pair_counts(rows: DataFrame, names: Sequence[str] | None = None) -> DataFram
     names = item_names(rows) if names is None else names
     if names is None or len(names) > MAX_CODED_ITEMS:
         return _pairs_by_join(rows)
-    return _pairs_of_types(_coded_types(rows, names), names)
+    return _pairs_of_types(_decoded(_coded_types(rows, names), names))
 
 
 def affinity_pairs(
@@ -173,7 +168,7 @@ def affinity_pairs(
     if coded:
         types = materialise(_coded_types(rows, names))
         total = types.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        counts = _counts_of_types(types, names).collect()  # one row per name
+        counts = _counts_of_types(_decoded(types, names)).collect()  # one row per name
     else:
         rows = materialise(rows.select(*_BASKET, "item").distinct())
         total = n_baskets(rows).first()[0]
@@ -190,7 +185,7 @@ def affinity_pairs(
             *(F.col(w).bitwiseAND(F.lit(m)).alias(w) for w, m in zip(_words(names), masks)), "n"
         )
         merged = pruned.groupBy(*_words(names)).agg(F.sum("n").alias("n"))
-        pairs = _pairs_of_types(merged, names)
+        pairs = _pairs_of_types(_decoded(merged, names))
     else:
         frequent = item_counts(rows).where(F.col("n_baskets") >= least)
         pairs = _pairs_by_join(rows.join(frequent.select("item"), "item", "left_semi"))

@@ -7,14 +7,16 @@ scored once.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterable, Mapping, Sequence
 from typing import Any, NamedTuple
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -64,13 +66,19 @@ def recency_baseline(snap: DataFrame, output: str = "score") -> DataFrame:
 
 
 def fit_standardiser(train: DataFrame) -> PipelineModel:
-    """Centre and scale ``features`` to ``scaled`` by the train means and deviations.
+    """Centre and scale ``features`` to ``scaled`` by the train means and population deviations.
 
-    Spark divides by the sample deviation, which exceeds the population deviation by
-    sqrt(n / (n - 1)); at snapshot sizes the difference does not show.
+    Spark divides by the sample deviation; the second stage makes up for the difference.
+    ``sample_scaled`` holds the values between the two.
     """
-    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
-    return Pipeline(stages=[scaler]).fit(train)
+    scaler = StandardScaler(
+        inputCol="features", outputCol="sample_scaled", withMean=True, withStd=True
+    ).fit(train)
+    n = train.count()
+    factor = math.sqrt(n / max(n - 1, 1))
+    weights = Vectors.dense([factor] * scaler.mean.size)
+    product = ElementwiseProduct(scalingVec=weights, inputCol="sample_scaled", outputCol="scaled")
+    return PipelineModel(stages=[scaler, product])
 
 
 def standardise(train: DataFrame, *others: DataFrame) -> tuple[DataFrame, ...]:

@@ -738,7 +738,7 @@ _SCALED = ", ".join(
     f"""round(CASE WHEN s.dev_{n} = 0 THEN 0 ELSE (f.{n} - s.mean_{n}) / s.dev_{n} END, 6) AS {n}"""
     for n in _FEATURE_NAMES
 )
-_MOMENTS = ", ".join(f"avg({n}) AS mean_{n}, stddev_samp({n}) AS dev_{n}" for n in _FEATURE_NAMES)
+_MOMENTS = ", ".join(f"avg({n}) AS mean_{n}, stddev_pop({n}) AS dev_{n}" for n in _FEATURE_NAMES)
 # Isotonic regression by its min-max formula over all intervals of different scores, then
 # linear interpolation between neighbouring scores and the end values beyond them.
 _ISOTONIC = (

@@ -120,3 +120,16 @@ def test_lookup_join_in_both_forms(spark, confs, how):
 def test_lookup_join_rejects_other_joins(spark):
     with pytest.raises(ValueError):
         lookup_join(spark.range(1), spark.range(1), "id", "full")
+
+
+def test_basket_types_with_more_names_than_bits(spark):
+    names = [f"i{k:04d}" for k in range(1500)]
+    rows = baskets(spark, [names, names[:2], names[:2], [None]])
+    found = {tuple(r["items"]): r.n for r in aff.basket_types(rows, aff.item_names(rows)).collect()}
+    assert found == {tuple(names): 1, tuple(names[:2]): 2, (): 1}
+
+
+def test_items_that_are_not_among_the_names_are_an_error(spark):
+    rows = baskets(spark, [["a", "b", "c"]])
+    with pytest.raises(Exception, match="not among the names"):
+        aff.pair_counts(rows, ["a", "b"]).collect()
