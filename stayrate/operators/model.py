@@ -133,7 +133,7 @@ def logistic_select(
                 standardization=False,
                 maxIter=1000,
             )
-            yield {"C": c}, Pipeline(stages=[scaler.stages[0], regression]), train
+            yield {"C": c}, Pipeline(stages=[scaler, regression]), train
 
     return _best(candidates(), val)
 
