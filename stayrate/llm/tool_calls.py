@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from stayrate.functions.ranking import distributed_rank
 from stayrate.llm.native import stored
+from stayrate.sources import scratch_path
 
 _TYPES = {
     "object": dict, "array": list, "string": str, "boolean": bool, "null": type(None),
@@ -94,23 +95,35 @@ def _checker(schemas: dict[str, dict]):
     return run
 
 
-def topological_levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """(conv, call, level) of the calls that no cycle holds up; ``edges`` are (conv, call, dep).
+def topological_waves(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """(conv, call, wave) of the calls (conv, call, at) that no cycle holds up; ``edges`` are (conv, call, dep).
 
-    A call's level is one more than the highest of what it depends on. Each round settles the
-    calls that depend on settled ones only, so there are as many rounds as levels.
+    By wave, then by place (``at``, then identifier), is a topological order of a conversation. A
+    wave takes every call that waits for nothing, and the calls of each conversation up to the
+    first that depends on a later one: what those wait for comes before them in the wave. So
+    conversations in which calls depend on earlier ones take one wave, however long they are, and
+    others no more than they have levels. Each wave is added to one table.
     """
     key = ["conv", "call"]
-    edges = stored(edges, "edges")
-    ready = stored(calls.select(*key).join(edges.select(*key).distinct(), key, "left_anti"), "ready")
-    settled, level = ready.withColumn("level", F.lit(0).cast("long")), 0
-    while ready.limit(1).count():
-        level += 1
-        rest = stored(edges.join(ready.withColumnRenamed("call", "dep"), ["conv", "dep"], "left_anti"), "edges")
-        free = edges.select(*key).distinct().join(rest.select(*key).distinct(), key, "left_anti")
-        ready, edges = stored(free, "ready"), rest
-        settled = settled.unionByName(ready.withColumn("level", F.lit(level).cast("long")))
-    return settled
+    place, dep_place = F.struct("at", "call"), F.struct("dep_at", "dep")
+    placed = calls.select("conv", F.col("call").alias("dep"), F.col("at").alias("dep_at"))
+    edges = stored(edges.join(calls.select(*key, "at"), key).join(placed, ["conv", "dep"]), "edges")
+    target = scratch_path(calls.sparkSession, "waves")
+    todo, wave, schema = calls.select(*key, "at"), 0, "conv string, call string, wave long"
+    while True:
+        stops = edges.where(dep_place > place).groupBy("conv").agg(F.min(place).alias("stop"))
+        waits = edges.select(*key).distinct().withColumn("waits", F.lit(True))
+        judged = todo.join(stops, "conv", "left").join(waits, key, "left")
+        goes = F.col("waits").isNull() | F.col("stop").isNull() | (place < F.col("stop"))
+        judged.where(goes).select(*key, F.lit(wave).cast("long").alias("wave")).write.mode("append").parquet(target)
+        settled = calls.sparkSession.read.schema(schema).parquet(target)
+        now = settled.where(F.col("wave") == wave).select(*key)
+        todo = stored(todo.join(now, key, "left_anti"), "todo")
+        if not now.limit(1).count() or not todo.limit(1).count():
+            return settled
+        gone = now.withColumnRenamed("call", "dep")
+        edges = stored(edges.join(now, key, "left_anti").join(gone, ["conv", "dep"], "left_anti"), "edges")
+        wave += 1
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -120,8 +133,8 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     conversation), at (place in the conversation); ``results``: conv_id, call_id, content, at.
     Identifiers hold within a conversation; of calls or results with one identifier the first
     by ``at`` (then by content) counts. Dependencies on unknown calls or on the call itself are
-    left out. Returns conv_id, call_id, name, level, position (from 0, a topological order of
-    the conversation: by level, then by place), status (``answered``, ``unanswered``, ``orphan``
+    left out. Returns conv_id, call_id, name, wave, position (from 0, a topological order of
+    the conversation, which is that of the places wherever it can be: by wave, then by place), status (``answered``, ``unanswered``, ``orphan``
     for a result without a call, ``cycle`` for calls that cannot be ordered), valid, errors, and
     ``message``: canonical JSON of the call and its result. Calls without a conversation or
     identifier are linked with nothing and left unordered (``unlinked``). Null arguments are not
@@ -129,11 +142,10 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     """
     rest = ["name", "arguments", "depends_on"]
     named = calls.select(F.col("conv_id").cast("string").alias("conv"), F.col("call_id").cast("string").alias("call"), "at", *rest)
-    checked = named.mapInArrow(
-        _checker(schemas), "conv string, call string, at long, name string, arguments string, depends_on array<string>, errors array<string>"
-    )
     with_id = F.col("conv").isNotNull() & F.col("call").isNotNull()
-    first = checked.where(with_id).groupBy("conv", "call").agg(
+    fields = "conv string, call string, at long, name string, arguments string, depends_on array<string>, errors array<string>"
+    checked = lambda rows: rows.mapInArrow(_checker(schemas), fields)
+    first = checked(named.where(with_id)).groupBy("conv", "call").agg(
         F.min(F.struct("at", "name", "arguments", "depends_on", "errors")).alias("c")
     )
     known = stored(first.select("conv", "call", "c.*"), "calls")
@@ -142,25 +154,25 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
 
     wanted = known.select("conv", "call", F.explode(F.array_distinct("depends_on")).alias("dep")).where("dep <> call")
     edges = wanted.join(known.select("conv", F.col("call").alias("dep")), ["conv", "dep"], "left_semi")
-    levels = topological_levels(known, edges.select("conv", "call", "dep"))
-    ordered = stored(known.select("conv", "call", "at").join(levels, ["conv", "call"]), "levels")
-    ranked = stored(distributed_rank(ordered, ["conv", "level", "at", "call"]), "ranked")
+    waves = topological_waves(known, edges.select("conv", "call", "dep"))
+    ordered = stored(known.select("conv", "call", "at").join(waves, ["conv", "call"]), "ordered")
+    ranked = stored(distributed_rank(ordered, ["conv", "wave", "at", "call"]), "ranked")
     starts = ranked.groupBy("conv").agg(F.min("rank").alias("start"))
-    places = ranked.join(starts, "conv").select("conv", "call", "level", (F.col("rank") - F.col("start")).alias("position"))
+    places = ranked.join(starts, "conv").select("conv", "call", "wave", (F.col("rank") - F.col("start")).alias("position"))
 
     linked = known.withColumn("is_call", F.lit(True)).join(found, ["conv", "call"], "full").join(places, ["conv", "call"], "left")
     status = (
         F.when(F.col("is_call").isNull(), "orphan")
-        .when(F.col("level").isNull(), "cycle")
+        .when(F.col("wave").isNull(), "cycle")
         .when(F.col("r").isNull(), "unanswered")
         .otherwise("answered")
     )
-    lost = checked.where(~with_id).select(
-        "conv", "call", "name", "arguments", "errors", F.lit(None).cast("long").alias("level"),
+    lost = checked(named.where(~with_id)).select(
+        "conv", "call", "name", "arguments", "errors", F.lit(None).cast("long").alias("wave"),
         F.lit(None).cast("long").alias("position"), F.lit("unlinked").alias("status"), F.lit(None).cast("string").alias("content"),
     )
     everything = linked.select(
-        "conv", "call", "name", "arguments", "errors", "level", "position", status.alias("status"), F.col("r.content").alias("content")
+        "conv", "call", "name", "arguments", "errors", "wave", "position", status.alias("status"), F.col("r.content").alias("content")
     ).unionByName(lost)
     quoted = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v"))), '(?s)^\\{"v":(.*)\\}$', 1), F.lit(""))
     value = lambda c: F.when(F.col(c).isNull(), "null").otherwise(quoted(c))
@@ -169,7 +181,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
         F.lit(',"name":'), value("name"), F.lit(',"result":'), value("content"), F.lit("}"),
     )
     return everything.select(
-        F.col("conv").alias("conv_id"), F.col("call").alias("call_id"), "name", "level", "position", "status",
+        F.col("conv").alias("conv_id"), F.col("call").alias("call_id"), "name", "wave", "position", "status",
         F.when(F.col("status") != "orphan", F.size("errors") == 0).alias("valid"), "errors", message.alias("message"),
     )
 

@@ -2,6 +2,7 @@
 
 import collections
 import json
+from random import Random
 
 import pytest
 
@@ -67,6 +68,31 @@ def test_tool_calls(spark):
     assert all(json.loads(r.message) for r in rows.values())
 
 
+def test_topological_positions(spark):
+    """Cycles, dependencies on later places, ties and null places, against rounds in Python; a long chain is one wave."""
+    random, calls = Random(3), []
+    for c in range(40):
+        n = random.randint(1, 9)
+        for i in range(n):
+            deps = [str(random.randrange(n)) for _ in range(random.choice([0, 0, 1, 2]))]
+            calls.append((f"c{c}", str(i), "f", "{}", deps, random.choice([None, i, n - i, 3])))
+    calls += [("long", str(i), "f", "{}", [str(i - 1), str(i - 2)], i) for i in range(300)]
+    none = spark.createDataFrame([], "conv_id string, call_id string, content string, at long")
+    rows = tool_calls.link_calls(spark.createDataFrame(calls, CALLS), none, {"f": {}}).collect()
+    found = {(r.conv_id, r.call_id): r for r in rows}
+    assert len(rows) == len(found) == len(calls)
+    for conv in {c[0] for c in calls}:
+        deps = {c[1]: set(c[4]) - {c[1]} for c in calls if c[0] == conv}
+        deps = {call: of & deps.keys() for call, of in deps.items()}
+        done = set()
+        while ready := {call for call, of in deps.items() if call not in done and of <= done}:
+            done |= ready
+        assert {call for call in deps if found[conv, call].status == "cycle"} == deps.keys() - done
+        assert sorted(found[conv, call].position for call in done) == list(range(len(done)))
+        assert all(found[conv, d].position < found[conv, call].position for call in done for d in deps[call])
+    assert all(found["long", str(i)].position == i and found["long", str(i)].wave == 0 for i in range(300))
+
+
 def test_token_histogram(spark):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     texts = [None, "", "one two three", "one two three", "é" * 300, "x " * 5000]
