@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stayrate.config import DEFAULT
 from stayrate.functions import lookup_join
+from stayrate.sources.checkpoints import materialise
 
 _COPY_SLOTS = 1024
 
@@ -124,10 +125,11 @@ def write_clustered(
 
     Rows are range partitioned by date, then by ``spread`` and a running number, so a day,
     a customer or even copies of one row with a large share of all rows are cut over
-    several files. Readers skip files and row groups by their date statistics.
+    several files. Readers skip files and row groups by their date statistics. The numbers are
+    stored before rows are placed by them, so a task that runs again finds the same ones.
     """
     order = [date_col, *spread]
-    numbered = df.withColumn("_copy", F.monotonically_increasing_id() % _COPY_SLOTS)
+    numbered = materialise(df.withColumn("_copy", F.monotonically_increasing_id() % _COPY_SLOTS))
     placed = numbered.repartitionByRange(*order, "_copy").drop("_copy")
     placed.sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
 

@@ -296,18 +296,48 @@ def recency_and_label(
     return history.select("customer_id", "recency_days", "lapsed")
 
 
-def leakage_guard(snaps: DataFrame) -> DataFrame:
-    """Per snapshot: the last day its features used, by its smallest recency, and whether it is past."""
-    latest = snaps.groupBy("snapshot_date").agg(F.min("recency_days").alias("_least"))
+def _recounted(days: DataFrame, dates: Sequence[datetime.date], counts: dict[str, int | None]) -> DataFrame:
+    """Per snapshot date and customer: the last day before it, and the items of every count."""
+    earlier = days.where(F.col("t_dat") < _date(max(dates))).withColumn(
+        "snapshot_date", F.explode(F.array(*(_date(d) for d in dates)))
+    )
+    age = F.datediff("snapshot_date", "t_dat")
+    recent = lambda weeks: F.lit(True) if weeks is None else age <= 7 * weeks
+    return earlier.where(age > 0).groupBy("customer_id", "snapshot_date").agg(
+        F.min(age).cast("bigint").alias("_age"),
+        *(F.coalesce(F.sum(F.when(recent(w), F.col("n_items"))), F.lit(0)).alias(f"_{n}") for n, w in counts.items()),
+    )
+
+
+def leakage_guard(snaps: DataFrame, txn: DataFrame | None = None) -> DataFrame:
+    """Per snapshot: the last day its features used, by its smallest recency, and whether it is past.
+
+    With the transactions (or their purchase days), recency and item counts are taken once more
+    from the days before each snapshot; a snapshot with other values is not safe either.
+    """
+    differs = F.lit(False)
+    if txn is not None:
+        dates = [row[0] for row in snaps.select("snapshot_date").distinct().collect() if row[0] is not None]
+        weeks = {c: int(c[10:-1]) for c in snaps.columns if c.startswith("txn_count_") and c[10:-1].isdigit()}
+        counts = {"txn_count_all": None} | weeks
+        if dates:
+            found = _recounted(purchase_days(txn), dates, counts)
+            snaps = snaps.join(found, ["customer_id", "snapshot_date"], "left")
+            differs = ~F.col("recency_days").eqNullSafe(F.col("_age"))
+            for name in counts:
+                differs = differs | ~F.col(name).eqNullSafe(F.col(f"_{name}"))
+    latest = snaps.groupBy("snapshot_date").agg(F.min("recency_days").alias("_least"), F.max(differs).alias("_differs"))
     used = F.date_sub("snapshot_date", F.col("_least").cast("int"))
     return latest.select(
-        "snapshot_date", used.alias("max_source_date"), (used < F.col("snapshot_date")).alias("is_safe")
+        "snapshot_date",
+        used.alias("max_source_date"),
+        ((used < F.col("snapshot_date")) & ~F.col("_differs")).alias("is_safe"),
     )
 
 
-def check_leakage(snaps: DataFrame) -> None:
-    """Raise if features of a snapshot used its own date or later ones."""
-    leaking = leakage_guard(snaps).where(~F.col("is_safe")).collect()  # one row per snapshot
+def check_leakage(snaps: DataFrame, txn: DataFrame | None = None) -> None:
+    """Raise if features of a snapshot used its own date or later ones; ``txn`` as in ``leakage_guard``."""
+    leaking = leakage_guard(snaps, txn).where(~F.col("is_safe")).collect()  # one row per snapshot
     if leaking:
         raise ValueError(f"features use data from the label window: {leaking}")
 

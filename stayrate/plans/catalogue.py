@@ -19,6 +19,7 @@ from stayrate.operators import affinity as aff
 from stayrate.operators import audits, cohorts, descriptives, ingest, kpis, metrics, model
 from stayrate.operators import quality, rfm, sizing
 from stayrate.operators import snapshots as snap
+from stayrate.operators.purchases import purchase_days
 from stayrate.sources import (
     SCHEMAS,
     export_csv,
@@ -59,6 +60,15 @@ class _Tables:
     def test_date(self) -> datetime.date:
         return self.windows[-1].date
 
+    @cached_property
+    def days(self) -> DataFrame:
+        """The transactions per customer and day, stored for queries that read them several times."""
+        return materialise(purchase_days(self.txn, CFG.online_channel))
+
+    @cached_property
+    def days_test_date(self) -> datetime.date:
+        return snap.snapshot_windows(self.days, CFG)[-1].date
+
     def snapshots(self, *columns: str) -> DataFrame:
         """The three snapshots; with ``columns``, what only other columns need is not computed."""
         articles = not columns or "n_distinct_articles" in columns
@@ -70,18 +80,18 @@ class _Tables:
         return aff.item_names(self.art, "product_type_name")
 
     def segments(self) -> DataFrame:
-        return rfm.rfm_segment(rfm.rfm_scores(rfm.rfm_metrics(self.txn), CFG.n_quantiles))
+        return rfm.rfm_segment(rfm.rfm_scores(rfm.rfm_metrics(self.days), CFG.n_quantiles))
 
     def baseline(self, date: datetime.date | None = None) -> DataFrame:
         """The test population scored by recency."""
-        history = snap.recency_and_label(self.txn, date or self.test_date, CFG)
+        history = snap.recency_and_label(self.days, date or self.days_test_date, CFG)
         return model.recency_baseline(materialise(history))
 
     def baseline_risk(self) -> DataFrame:
         return model.risk_scores(self.baseline(), "score", bounded=True)
 
     def value(self) -> DataFrame:
-        spend = sizing.window_spend(self.txn, self.test_date, CFG.label_window_weeks)
+        spend = sizing.window_spend(self.days, self.days_test_date, CFG.label_window_weeks)
         return sizing.cohort_value(self.baseline_risk(), self.segments(), spend)
 
 
@@ -530,7 +540,8 @@ def snapshots(spark, path):
 @_query
 def leakage_guard(spark, path):
     t = _Tables(spark, path)
-    return snap.leakage_guard(snap.snapshots(t.txn, t.cust, t.windows, CFG))
+    windows = snap.snapshot_windows(t.days, CFG)
+    return snap.leakage_guard(materialise(snap.snapshots(t.days, t.cust, windows, CFG, articles=False)), t.days)
 
 
 @_query
@@ -806,7 +817,7 @@ def headline_kpis(spark, path):
     segments = materialise(t.segments())
     baseline = t.baseline()
     risk = model.risk_scores(baseline, "score", bounded=True)
-    spend = sizing.window_spend(t.txn, t.test_date, CFG.label_window_weeks)
+    spend = sizing.window_spend(t.days, t.days_test_date, CFG.label_window_weeks)
     value = materialise(sizing.cohort_value(risk, segments, spend))
     rows = aff.basket_rows(t.txn, t.art)
     pairs = aff.affinity_pairs(rows, PAIR_SUPPORT, names=t.item_names)
@@ -828,7 +839,7 @@ def headline_kpis(spark, path):
 @_query
 def audit_unique(spark, path):
     t = _Tables(spark, path)
-    return audits.audit_unique(snap.snapshots(t.txn, t.cust, t.windows, CFG))
+    return audits.audit_unique(snap.snapshots(t.txn, t.cust, t.windows, CFG, articles=False))
 
 
 @_query

@@ -139,7 +139,7 @@ def snapshots_stage(store: Store, cfg: RetentionConfig = DEFAULT) -> DataFrame:
     path = store.data_path("snapshots")
     built.write.mode("overwrite").partitionBy("snapshot").parquet(path)
     stored = store.data("snapshots")
-    snapshots.check_leakage(stored)
+    snapshots.check_leakage(stored, days)
     store.save_result("snapshots", snapshots.snapshot_summary(stored))
     store.save_result("gap_distribution", snapshots.gap_distribution(days))
     return stored
@@ -217,10 +217,13 @@ def kpis_stage(store: Store, cfg: RetentionConfig = DEFAULT) -> DataFrame:
     """The headline numbers, from the stored results."""
     probabilities = store.data("test_predictions").withColumn("score", F.col("prob_lapse"))
     value = store.data("cohort_value")
+    retention = store.result("avg_retention")
+    if "avg_m6" not in retention.columns:  # JSON leaves out what is NULL in all rows
+        retention = retention.withColumn("avg_m6", F.lit(None).cast("double"))
     pairs = store.result("affinity_top_pairs", "csv").withColumn("lift", F.col("lift").cast("double"))
     found = kpis.headline_kpis(
         rfm.segment_summary(store.data("rfm_segments")),
-        store.result("avg_retention"),
+        retention,
         metrics.lift_by_decile(probabilities),
         sizing.value_at_risk(value, cfg, digits=2),
         sizing.uplift_scenarios(value, cfg=cfg),

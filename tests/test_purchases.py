@@ -391,6 +391,15 @@ def test_audits_find_planted_errors(tables):
     with pytest.raises(ValueError, match="label window"):
         snap.check_leakage(leaked)
     snap.check_leakage(snaps)
+    snap.check_leakage(snaps, txn)
+    # Features that saw two months more, under the snapshot's own date and with a harmless recency.
+    windows = snap.snapshot_windows(txn)
+    later = snap.window_at(windows[0].date + datetime.timedelta(days=60))
+    built = snap.snapshots(txn, cust, [later]).withColumn("snapshot_date", F.lit(windows[0].date).cast("date"))
+    assert snap.leakage_guard(built).first().is_safe
+    assert not snap.leakage_guard(built, txn).first().is_safe
+    assert not snap.leakage_guard(snaps.withColumn("txn_count_12w", F.col("txn_count_12w") + 1), txn).where("is_safe").count()
+    assert snap.leakage_guard(snaps.limit(0), txn).count() == 0
     assert {r.n_duplicated > 0 for r in audits.audit_unique(snaps.unionByName(snaps)).collect()} == {True}
 
 
