@@ -6,7 +6,9 @@ equal windows have equal anchors, so windows can only be equal within the group
 hash. Windows whose anchor stands once in the corpus are out. The others go to shards by their
 anchor, as contexts: the bytes that the windows of one anchor cover. Equal contexts are sent
 once, with a mark. Each shard sorts its suffixes by external induction (``suffix_sort``), and
-the windows with a common prefix of LENGTH with a neighbour are repeated.
+the windows with a common prefix of LENGTH with a neighbour are repeated. An anchor that stands in
+so many different contexts that one shard could not hold them is not sorted: its windows are
+hashed whole, 128 bits each, and counted by hash, which deals them out evenly.
 """
 
 from __future__ import annotations
@@ -17,10 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stayrate.functions import lookup_join
 from stayrate.llm import suffix_sort
 from stayrate.llm.kernels import pieces, prefix_hashes, span_hashes, text_bytes
 from stayrate.llm.native import stored
@@ -28,6 +33,8 @@ from stayrate.llm.native import stored
 LENGTH, GRAM = suffix_sort.LIMIT, 24
 #: Bytes of contexts that a shard should have; a frequent anchor may make it larger.
 SHARD_BYTES = 6_000_000
+#: Anchors with more bytes of contexts are hashed window by window and not sorted.
+HEAVY_BYTES = SHARD_BYTES // 4
 
 
 def anchors(body: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -89,8 +96,8 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["gram", "context", "number", "many", "body"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+    names = ["gram", "context", "number", "many", "heavy", "body"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
     for batch in batches:
         unpack = zstandard.ZstdDecompressor()
         rows: list[tuple] = []
@@ -98,7 +105,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = unpack.decompress(packed.as_py())
             for x in wanted.as_py():
                 end = x["first"] + x["number"] + LENGTH - 1
-                rows.append((x["gram"], x["context"], x["number"], x["many"], text[x["first"] : end]))
+                rows.append((x["gram"], x["context"], x["number"], x["many"], x["heavy"], text[x["first"] : end]))
             if len(rows) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
                 rows = []
@@ -106,13 +113,43 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
 
+def _hashed_windows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """All windows of the contexts of a batch, each with its hash."""
+    rows: list[tuple] = []
+
+    def made() -> pa.RecordBatch:
+        gram, context, offset, many, digest = (pa.array(c, t) for c, t in zip(zip(*rows), types))
+        return pa.RecordBatch.from_arrays([gram, context, offset, pa.array([1] * len(rows), pa.int32()), many, digest], _FOUND)
+
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+    for x in batch.to_pylist():
+        body = x["body"]
+        for offset in range(x["number"]):
+            digest = hashlib.blake2b(body[offset : offset + LENGTH], digest_size=16).digest()
+            rows.append((x["gram"], x["context"], offset, x["many"], digest))
+        if len(rows) > 50_000:
+            yield made()
+            rows = []
+    if rows:
+        yield made()
+
+
+_FOUND = ["gram", "context", "offset", "run", "many", "digest"]
+
+
 def _sorted_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of a shard's contexts that are repeated, as stretches of starts."""
+    """The windows of a shard's contexts that are repeated, as stretches of starts; those of heavy
+    anchors one by one, with their hashes and unjudged."""
     with tempfile.TemporaryDirectory() as folder:  # this task's queues; gone with it
         parts, grams, contexts, numbers, many, sizes = [], [], [], [], [], []
         n_bytes, path = 0, f"{folder}/text.bin"
         with open(path, "wb") as file:
             for batch in batches:
+                if pc.any(batch.column("heavy")).as_py():
+                    yield from _hashed_windows(batch.filter(batch.column("heavy")))
+                    batch = batch.filter(pc.invert(batch.column("heavy")))
+                if not batch.num_rows:
+                    continue
                 body, starts = text_bytes(batch.column("body"))
                 size = np.diff(starts)
                 ended = np.full(len(body) + len(size), suffix_sort.END, np.uint8)
@@ -141,11 +178,23 @@ def _sorted_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             [
                 pa.array(np.concatenate(grams)[owner[at]]), pa.array(np.concatenate(contexts)[owner[at]]),
                 pa.array(offset[at].astype(np.int32)), pa.array(run.astype(np.int32)),
+                pa.nulls(len(at), pa.bool_()), pa.nulls(len(at), pa.binary()),
             ],
-            ["gram", "context", "offset", "run"],
+            _FOUND,
         )
 
 
+def _repeated_windows(windows: DataFrame) -> DataFrame:
+    """Of hashed windows those that are repeated, as stretches of starts."""
+    counted = windows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("many").alias("many"))
+    # A window of a very common passage is a hash with very many rows.
+    hit = lookup_join(windows, stored(counted.where("n > 1 OR many").select("digest"), "digests"), "digest", "left_semi")
+    nr = F.row_number().over(W.partitionBy("gram", "context").orderBy("offset"))
+    stretches = hit.withColumn("stretch", F.col("offset") - nr).groupBy("gram", "context", "stretch")
+    made = stretches.agg(F.min("offset").alias("offset"), F.count(F.lit(1)).cast("int").alias("run"))
+    return made.select("gram", "context", "offset", "run")
+
+
 def _cut(keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,16 +249,29 @@ def remove_repeats(docs: DataFrame, keep: bool = False, id_column: str = "doc_id
     sent = stored(
         alike.select("gram", "context", "number", (F.col("n") > 1).alias("many"), "at.id", "at.crc", "at.first"), "sent"
     )
-    size = sent.agg(F.sum(F.col("number") + LENGTH).alias("bytes")).first()["bytes"] or 0
-    wanted = sent.groupBy("id", "crc").agg(F.collect_list(F.struct("gram", "context", "number", "many", "first")).alias("wanted"))
+    weight = F.sum(F.col("number") + LENGTH)
+    size = sent.agg(weight.alias("bytes")).first()["bytes"] or 0
+    # No more of them than bytes of contexts / HEAVY_BYTES.
+    heavy = stored(sent.groupBy("gram").agg(weight.alias("bytes")).where(F.col("bytes") > HEAVY_BYTES).select("gram"), "heavy")
+    marked = sent.join(F.broadcast(heavy.withColumn("heavy", F.lit(True))), "gram", "left").fillna(False, ["heavy"])
+    wanted = marked.groupBy("id", "crc").agg(
+        F.collect_list(F.struct("gram", "context", "number", "many", "heavy", "first")).alias("wanted")
+    )
     packed = plain.mapInArrow(_packed, "id long, crc long, packed binary")
     same = lambda other: F.col("id").eqNullSafe(F.col(f"{other}_id")) & (F.col("crc") == F.col(f"{other}_crc"))
     named = lambda df, other: df.withColumnsRenamed({"id": f"{other}_id", "crc": f"{other}_crc"})
     bodies = packed.join(named(wanted, "w"), same("w")).mapInArrow(
-        _contexts, "gram long, context long, number int, many boolean, body binary"
+        _contexts, "gram long, context long, number int, many boolean, heavy boolean, body binary"
+    )
+    # Windows of heavy anchors are counted after this and may go anywhere.
+    route = F.when(F.col("heavy"), F.xxhash64("gram", "context")).otherwise(F.col("gram"))
+    sharded = bodies.withColumn("route", route).repartition(max(1, size // SHARD_BYTES), "route").drop("route")
+    judged = stored(
+        sharded.mapInArrow(_sorted_shard, "gram long, context long, offset int, run int, many boolean, digest binary"), "found"
     )
-    sharded = bodies.repartition(max(1, size // SHARD_BYTES), "gram")
-    found = stored(sharded.mapInArrow(_sorted_shard, "gram long, context long, offset int, run int"), "found")
+    found = judged.where("digest IS NULL").select("gram", "context", "offset", "run")
+    if heavy.limit(1).count():
+        found = found.unionByName(_repeated_windows(judged.where("digest IS NOT NULL")))
     placed = shared.join(found, ["gram", "context"]).select(
         "id", "crc", (F.col("first") + F.col("offset")).alias("from"),
         (F.col("first") + F.col("offset") + F.col("run") + (LENGTH - 1)).alias("to"),

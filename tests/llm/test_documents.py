@@ -87,6 +87,34 @@ def test_suffix_dedup(docs, rows, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def test_suffix_dedup_of_a_passage_in_many_contexts(spark, monkeypatch):
+    """One anchor's contexts never meet in one shard, and the result is that of brute force."""
+    random.seed(11)
+    passage = "".join(random.choice("abcdefgh ") for _ in range(230))
+    texts = []
+    for i in range(400):
+        before = "".join(random.choice("xyz") for _ in range(random.choice([1, 2, 150])))
+        texts.append(before + passage + "".join(random.choice("uvw") for _ in range(random.choice([0, 1, 150]))))
+    texts += texts[:3]
+    seen = collections.Counter(t[p : p + 200] for t in texts for p in range(len(t) - 199))
+    expected = []
+    for i, t in enumerate(texts):
+        gone = np.zeros(len(t), bool)
+        for p in range(len(t) - 199):
+            if seen[t[p : p + 200]] > 1:
+                gone[p : p + 200] = True
+        expected.append((i, int(gone.sum())))
+    monkeypatch.setattr(suffix_dedup, "HEAVY_BYTES", 5000)
+    hashed = []
+    plain = suffix_dedup._repeated_windows
+    monkeypatch.setattr(suffix_dedup, "_repeated_windows", lambda w: hashed.append(w) or plain(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    found = suffix_dedup.remove_repeats(docs).select("doc_id", "n_removed").collect()
+    assert sorted(tuple(r) for r in found) == expected
+    heavy = hashed[0].groupBy("gram").agg({"context": "count"}).collect()
+    assert len(heavy) > 0 and all(r[1] > 0 for r in heavy)
+
+
 def test_suffix_sort_on_disk(monkeypatch):
     for trial in range(150):
         random.seed(trial)
