@@ -9,10 +9,12 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterable, Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 from typing import Any, NamedTuple
 
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -28,6 +30,10 @@ from stayrate.operators.metrics import classification_metrics, risk_deciles, sco
 from stayrate.operators.snapshots import feature_names
 
 
+#: Fits of the boosted-tree grid that run at a time.
+FITS_AT_A_TIME = 3
+
+
 class Selected(NamedTuple):
     """The best model, its parameters and its score on the validation snapshot."""
 
@@ -156,25 +162,64 @@ def gbt_grid(
 ) -> Selected:
     """Gradient-boosted trees, best parameters of ``grid`` (by default ``tree_grid(cfg)``).
 
-    The weight of the positive class multiplies the rows with label 1.
+    The weight of the positive class multiplies the rows with label 1. Combinations that differ only
+    in ``n_trees`` take one fit of the most trees, of which the fewer are the first: boosting draws
+    each tree's seed from its number. A few fits run at a time; of equal AUCs the first of ``grid``
+    is kept. The frames are read several times per fit, so pass stored or cached ones.
     """
-    def candidates():
-        for params in tree_grid(cfg) if grid is None else grid:
-            trees = GBTClassifier(
-                featuresCol="features",
-                labelCol="lapsed",
-                weightCol="_weight",
-                maxDepth=params["max_depth"],
-                stepSize=params["learning_rate"],
-                maxIter=params["n_trees"],
-                subsamplingRate=cfg.row_subsample,
-                featureSubsetStrategy=str(cfg.feature_subsample),
-                seed=cfg.random_seed,
-            )
-            row_weight = F.when(F.col("lapsed") == 1, float(params["positive_weight"]))
-            yield dict(params), trees, train.withColumn("_weight", row_weight.otherwise(1.0))
-
-    return _best(candidates(), val)
+    wanted = [dict(params) for params in (tree_grid(cfg) if grid is None else grid)]
+    fits: dict[tuple, list[int]] = {}
+    for i, params in enumerate(wanted):
+        fits.setdefault((params["max_depth"], params["learning_rate"], params["positive_weight"]), []).append(i)
+
+    def judged(members: list[int]) -> tuple[float, int, Model]:
+        longest = wanted[max(members, key=lambda i: wanted[i]["n_trees"])]
+        trees = GBTClassifier(
+            featuresCol="features",
+            labelCol="lapsed",
+            weightCol="_weight",
+            maxDepth=longest["max_depth"],
+            stepSize=longest["learning_rate"],
+            maxIter=longest["n_trees"],
+            subsamplingRate=cfg.row_subsample,
+            featureSubsetStrategy=str(cfg.feature_subsample),
+            seed=cfg.random_seed,
+        )
+        row_weight = F.when(F.col("lapsed") == 1, float(longest["positive_weight"]))
+        whole = trees.fit(train.withColumn("_weight", row_weight.otherwise(1.0)))
+        found = []
+        for i in members:
+            model = first_trees(whole, wanted[i]["n_trees"])
+            found.append((_auc(model.transform(val)), -i, model))
+        return max(found, key=lambda f: f[:2])
+
+    if not wanted:
+        raise ValueError("no candidate parameters given")
+    with ThreadPool(min(FITS_AT_A_TIME, len(fits))) as pool:
+        found = pool.map(inheritable_thread_target(train.sparkSession)(judged), fits.values())
+    auc, minus, best = max(found, key=lambda f: f[:2])
+    return Selected(best, wanted[-minus], auc)
+
+
+def first_trees(model: GBTClassificationModel, n_trees: int) -> GBTClassificationModel:
+    """The model of the first ``n_trees`` trees of ``model``, as a fit of so many gives."""
+    java = model._java_obj
+    if java.getNumTrees() == n_trees:
+        return model
+    context = SparkContext._active_spark_context
+    jvm, gateway = context._jvm, context._gateway
+    trees = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n_trees)
+    weights = gateway.new_array(jvm.double, n_trees)
+    every, weight = java.trees(), java.treeWeights()
+    for i in range(n_trees):
+        trees[i], weights[i] = every[i], weight[i]
+    cut = jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+        java.uid(), trees, weights, java.numFeatures(), java.numClasses()
+    )
+    made = GBTClassificationModel(cut)
+    model._copyValues(made)
+    made._transfer_params_to_java()
+    return made
 
 
 def score(model: Model, vectors: DataFrame, output: str = "score") -> DataFrame:

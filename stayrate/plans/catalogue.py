@@ -603,24 +603,18 @@ def logistic_select(spark, path):
     return _selection(spark, model.logistic_select(train, val, CFG.logistic_c))
 
 
-# A small part of the grid; fitting all of it takes hours on one machine.
-SMALL_GRID = [
-    {"max_depth": 3, "learning_rate": 0.1, "n_trees": 10, "positive_weight": 1.0},
-    {"max_depth": 3, "learning_rate": 0.1, "n_trees": 10, "positive_weight": 3.0},
-]
-
-
 def _boosted(t: _Tables):
-    train, val, test = _vectors(t)
-    chosen = model.gbt_grid(train, val, SMALL_GRID, CFG)
+    train, val, test = _split(materialise(model.feature_vector(t.snapshots(), snap.feature_names(CFG))))
+    chosen = model.gbt_grid(train, val, cfg=CFG)
     calibration = model.isotonic_calibrate(model.score(chosen.model, val))
     return chosen, calibration, test
 
 
 @_query
 def gbt_grid(spark, path):
-    train, val, _ = _vectors(_Tables(spark, path))
-    return _selection(spark, model.gbt_grid(train, val, SMALL_GRID, CFG))
+    snaps = _Tables(spark, path).snapshots()
+    train, val, _ = _split(materialise(model.feature_vector(snaps, snap.feature_names(CFG))))
+    return _selection(spark, model.gbt_grid(train, val, cfg=CFG))
 
 
 @_query
@@ -651,9 +645,9 @@ def metric_brier(spark, path):
 def model_comparison(spark, path):
     t = _Tables(spark, path)
     snaps = t.snapshots()
-    train, val, test = _split(model.feature_vector(snaps, snap.feature_names(CFG)))
+    train, val, test = _split(materialise(model.feature_vector(snaps, snap.feature_names(CFG))))
     logistic = model.logistic_select(train, val, CFG.logistic_c)
-    boosted = model.gbt_grid(train, val, SMALL_GRID, CFG)
+    boosted = model.gbt_grid(train, val, cfg=CFG)
     calibration = model.isotonic_calibrate(model.score(boosted.model, val))
     raw = model.score(boosted.model, test)
     calibrated = model.calibrate(calibration, raw).select(

@@ -7,6 +7,8 @@ from pyspark.ml.functions import vector_to_array
 
 from stayrate.config import RetentionConfig
 from stayrate.operators import metrics, model
+from stayrate.plans import catalogue
+from tests.conftest import TEST_DATA
 
 FEATURES = ["recency_days", "signal", "bend", "noise"]
 GRID = [
@@ -105,6 +107,36 @@ def test_grid_covers_every_combination():
     assert len(grid) == 36 and len({tuple(g.values()) for g in grid}) == 36
 
 
+def test_fewer_trees_are_the_first_of_more(vectors, monkeypatch):
+    """One fit per depth, rate and weight serves all numbers of trees, with the models that single fits give."""
+    cfg, fits = RetentionConfig(), []
+    plain = model.GBTClassifier.fit
+    monkeypatch.setattr(model.GBTClassifier, "fit", lambda self, df: fits.append(1) or plain(self, df))
+    grid = [{"max_depth": 3, "learning_rate": 0.1, "n_trees": n, "positive_weight": 3.0} for n in (2, 5)]
+    both = model.gbt_grid(vectors[0], vectors[1], grid, cfg)
+    assert len(fits) == 1
+    alone = [model.gbt_grid(vectors[0], vectors[1], [g], cfg) for g in grid]
+    best = max(alone, key=lambda s: s.val_auc)
+    assert (both.params, both.val_auc) == (best.params, best.val_auc)
+    cut = model.first_trees(alone[1].model, 2)
+    rows = lambda m: sorted((r.customer_id, r.score) for r in model.score(m, vectors[1]).collect())
+    assert rows(cut) == rows(alone[0].model)
+
+
+def test_registered_queries_fit_the_whole_grid(spark, monkeypatch):
+    seen = []
+
+    def stop(train, val, grid=None, cfg=None):
+        seen.append(len(model.tree_grid(cfg) if grid is None else grid))
+        raise InterruptedError
+
+    monkeypatch.setattr(model, "gbt_grid", stop)
+    for name in ("gbt_grid", "risk_scores_boosted", "model_comparison"):
+        with pytest.raises(InterruptedError):
+            catalogue.QUERIES[name](spark, TEST_DATA)
+    assert seen == [36] * 3
+
+
 def test_no_candidates(vectors):
     with pytest.raises(ValueError):
         model.gbt_grid(vectors[0], vectors[1], [])
