@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,6 +79,21 @@ def packed_bits(lows: np.ndarray) -> np.ndarray:
     return np.packbits(padded.reshape(len(lows), -1), axis=1).view(">u8").astype(np.int64)
 
 
+def _digests(sets: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Two hashes of every set; 0 for empty ones."""
+    some = np.flatnonzero(np.diff(cuts))
+    digest = np.zeros((len(cuts) - 1, 2), np.uint64)
+    if len(some):
+        digest[some, 0] = np.add.reduceat(mixed(sets + np.uint64(7)), cuts[:-1][some])
+        digest[some, 1] = np.bitwise_xor.reduceat(mixed(sets ^ np.uint64(0x55)), cuts[:-1][some])
+    return digest
+
+
+def node_names(sizes: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """A number per set that equal sets share, whatever the documents they come from."""
+    return mixed(mixed(digest[:, 0] + sizes.astype(np.uint64)) * np.uint64(3) + digest[:, 1]).view(np.int64)
+
+
 def _signatures(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,22 +104,20 @@ def _signatures(k: int):
                 some = np.flatnonzero(sizes)
                 found = cuts[:-1][some]
                 low = minima(sets, np.append(found, len(sets)))
-                digest = np.zeros((b - a, 2), np.uint64)
-                if len(some):
-                    digest[some, 0] = np.add.reduceat(mixed(sets + np.uint64(7)), found)
-                    digest[some, 1] = np.bitwise_xor.reduceat(mixed(sets ^ np.uint64(0x55)), found)
+                digest = _digests(sets, cuts)
                 keys, bits = np.zeros((b - a, BANDS), np.int64), np.zeros((b - a, PLANES), np.int64)
                 keys[some], bits[some] = band_keys(low).view(np.int64), packed_bits(low)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("id").slice(a, b - a),
+                        pa.array(node_names(sizes, digest)),
                         pa.array(sizes),
                         pa.array(digest[:, 0].view(np.int64)),
                         pa.array(digest[:, 1].view(np.int64)),
                         _lists(keys),
                         _lists(bits),
                     ],
-                    ["id", "n", "digest", "digest2", "keys", "bits"],
+                    ["id", "node", "n", "digest", "digest2", "keys", "bits"],
                 )
 
     return run
@@ -121,7 +135,10 @@ def _sets(k: int):
             for a, b in pieces(starts):
                 sets, cuts = shingle_sets(body[starts[a] : starts[b]], starts[a : b + 1] - starts[a], k)
                 rows = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(sets.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), rows], ["node", "set"])
+                names = node_names(np.diff(cuts), _digests(sets, cuts))
+                wanted = batch.column("node").slice(a, b - a)
+                kept = pc.equal(pa.array(names), wanted)  # a repeated id brings other texts too
+                yield pa.RecordBatch.from_arrays([wanted.filter(kept), rows.filter(kept)], ["node", "set"])
 
     return run
 
@@ -153,7 +170,7 @@ class _Search:
 
     def sets_of(self, wanted: DataFrame) -> DataFrame:
         """The full shingle sets of nodes."""
-        found = self.texts.join(wanted, self.texts["id"] == F.col("node")).select("node", "text")
+        found = self.texts.join(wanted.join(self.nodes.select("node", "id"), "node"), "id").select("node", "text")
         return stored(found.mapInArrow(_sets(self.k), "node long, set array<long>").dropDuplicates(["node"]), "sets")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
@@ -241,17 +258,18 @@ def near_duplicates(
     """
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     made = texts.mapInArrow(
-        _signatures(k), "id long, n long, digest long, digest2 long, keys array<long>, bits array<long>"
+        _signatures(k), "id long, node long, n long, digest long, digest2 long, keys array<long>, bits array<long>"
     )
     signed = stored(made, "signatures")
-    same = ["n", "digest", "digest2"]
     usable = signed.where("n > 0 AND id IS NOT NULL")
-    nodes_of = stored(usable.groupBy(*same).agg(F.min("id").alias("node")), "nodes")
-    member = signed.select("id", *same).join(nodes_of, same, "left")
-    own = usable.select("id", *same, "keys", "bits").join(
-        nodes_of.withColumnRenamed("node", "id"), ["id", *same], "left_semi"
-    )
-    nodes = stored(own.dropDuplicates(["id"]).select(F.col("id").alias("node"), "n", "keys", "bits"), "own")
+    # Of each node the document with the smallest id stands for it.
+    smallest = stored(usable.groupBy("node").agg(F.min("id").alias("id")), "nodes")
+    own = usable.select("id", "node", "n", "keys", "bits").join(smallest, ["node", "id"], "left_semi")
+    nodes = stored(own.dropDuplicates(["node"]).select("node", "id", "n", "keys", "bits"), "own")
+    # Different texts of one id are one document: their nodes are linked.
+    ids = usable.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most")
+    alike = usable.select("id", F.col("node").alias("b")).join(ids, "id").where("a <> b").select("a", "b").distinct()
+    alike = stored(alike, "alike")
 
     banded = nodes.select("node", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -264,7 +282,7 @@ def near_duplicates(
     pairs = stars.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     search = _Search(texts, nodes, k, percent)
     pairs = stored(pairs, "pairs")
-    links = search.linked(pairs)
+    links = search.linked(pairs).unionByName(alike)
 
     # Members of buckets that are not yet in one component.
     roots = components(links)
@@ -279,11 +297,18 @@ def near_duplicates(
     if more.limit(1).count():
         roots = components(links.unionByName(more))
 
-    found = member.join(roots.withColumnRenamed("id", "node"), "node", "left")
-    component = F.coalesce("root", "node", "id")
+    # A component is named by the smallest id in it.
+    reached = smallest.join(roots.withColumnRenamed("id", "node"), "node", "left").select(
+        "node", "id", F.coalesce("root", "node").alias("root")
+    )
+    first = reached.groupBy("root").agg(F.min("id").alias("first"))
+    named = reached.join(first, "root").select("node", "first")
+    known = signed.where("n > 0 AND id IS NOT NULL").select("id", "n", "node").join(named, "node")
+    rest = signed.where("NOT (n > 0 AND id IS NOT NULL)").select("id", "n", F.col("id").alias("first"))
+    found = known.select("id", "n", "first").unionByName(rest)
     return found.select(
         F.col("id").alias(id_column),
         F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        F.col("id").eqNullSafe(component).alias("kept"),
+        F.col("first").alias("component_id"),
+        F.col("id").eqNullSafe(F.col("first")).alias("kept"),
     )

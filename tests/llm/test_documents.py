@@ -169,6 +169,25 @@ def test_near_duplicates(docs, rows, empty, k):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    """Copies and near copies of both texts are linked, whichever text is read first; null ids are not."""
+    random.seed(2)
+    text = lambda: [f"w{random.randrange(10**6)}" for _ in range(60)]
+    for trial in range(3):
+        a, b, c, d, e = text(), text(), text(), text(), text()
+        near = lambda t: " ".join([*t, "more"])
+        rows = [
+            (7, " ".join(a)), (7, " ".join(b)), (30, " ".join(b)), (20, near(b)), (40, " ".join(a)), (10, near(a)),
+            (5, " ".join(c)), (6, " ".join(d)), (None, near(d)), (8, near(d)), (9, " ".join(e)), (9, ""), (7, " ".join(b)),
+        ]
+        random.shuffle(rows)
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        found = near_dedup.near_duplicates(frame).collect()
+        assert len(found) == len(rows)
+        expected = {7: 7, 30: 7, 20: 7, 40: 7, 10: 7, 5: 5, 6: 6, 8: 6, 9: 9, None: None}
+        assert all(r.component_id == expected[r.doc_id] for r in found)
+
+
 def test_contained_items(spark, docs, rows, empty):
     items = [(1, rows[11][1]), (2, " ".join(rows[11][1].split()[20:50]).upper() + "!"), (3, None), (4, "zz yy"), (4, "one"), (2, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
