@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stayrate.llm import decontaminate, mixing, near_dedup, sharding, toxicity
-from stayrate.llm.native import stored, table
+from stayrate.llm.native import row_key, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,10 +18,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; all that have no words."""
-    found = near_dedup.near_duplicates(docs)
-    gone = found.where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates; all that have no words.
+
+    Rows count by id and text, so other texts of an id and rows without one have groups of their
+    own. A group keeps its smallest id, and one of exactly repeated rows.
+    """
+    keyed = docs.withColumn("_row", row_key(F.col("doc_id"), F.col("text")))
+    found = near_dedup.near_duplicates(keyed, id_column="_row")
+    counted = found.groupBy("_row", "component_id", (F.col("n_shingles") == 0).alias("blank")).agg(F.count(F.lit(1)).alias("n"))
+    ids = keyed.select("_row", "doc_id").distinct()
+    rows = stored(counted.join(ids, "_row"), "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row", "n")
+    first = rows.where("not blank").groupBy("component_id").agg(F.min(order).alias("first"))
+    wanted = first.select("first._row", (F.col("first.n") > 1).alias("_again"))
+    blank = rows.where("blank").select("_row", F.lit(False).alias("_again"))
+    taken = stored(keyed.join(wanted.unionByName(blank), "_row"), "taken")
+    again = taken.where("_again").groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("it"))
+    return taken.where("not _again").select(*docs.columns).unionByName(again.select("it.*"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,11 +45,19 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     quality = mixing.quality_weights(table(spark, sf_dir, "labels"))
-    mixed = mixing.mix(docs, quality).where("times > 0").select(F.col("doc_id").alias("_id"), "times")
-    times = stored(mixed.groupBy("_id").agg(F.max("times").alias("times")), "times")
-    taken = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_id")))
+    keyed = docs.withColumn("_row", row_key(F.col("doc_id"), F.col("source"), F.col("text")))
+    mixed = mixing.mix(keyed, quality, carry=["_row"])
+    by_row = stored(mixed.groupBy("_row", "times").agg(F.count(F.lit(1)).alias("n")), "times")
+    # Of equal rows some may be taken once more than the others, where a source's target ends.
+    least = by_row.groupBy("_row").agg(F.min("times").alias("times"), F.max(F.struct("times", "n")).alias("most"))
+    taken = keyed.join(least.where("most.times > 0"), "_row")
+    even = taken.where("times = most.times").drop("most")
+    nr = F.row_number().over(W.partitionBy("_row").orderBy(F.lit(0)))
+    uneven = taken.where("times < most.times").withColumn("_nr", nr)
+    dealt = uneven.withColumn("times", F.when(F.col("_nr") <= F.col("most.n"), F.col("most.times")).otherwise(F.col("times")))
+    both = even.unionByName(dealt.drop("most", "_nr")).where("times > 0")
     copies = F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))
-    return taken.withColumn("_copy", copies).select(*docs.columns)
+    return both.withColumn("_copy", copies).select(*docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stayrate.llm.native import shingles, stored
+from stayrate.llm.native import row_key, shingles, stored
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 
@@ -111,7 +111,11 @@ def contained_items(
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that contain no item; ``options`` as for ``contained_items``."""
-    id_column = options.get("id_column", "doc_id")
-    found = contained_items(docs, items, **options).select(F.col(id_column).alias("_dirty")).distinct()
-    return docs.join(found, F.col(id_column).eqNullSafe(F.col("_dirty")), "left_anti")
+    """The rows of ``docs`` that contain no item; ``options`` as for ``contained_items``.
+
+    Rows are judged by id and text: other texts of an id, and other rows without one, stay.
+    """
+    id_column, text_column = options.pop("id_column", "doc_id"), options.get("text_column", "text")
+    keyed = docs.withColumn("_row", row_key(F.col(id_column), F.col(text_column)))
+    found = contained_items(keyed, items, id_column="_row", **options).select("_row").distinct()
+    return keyed.join(found, "_row", "left_anti").select(*docs.columns)

@@ -78,6 +78,7 @@ def mix(
     id_column: str = "doc_id",
     text_column: str = "text",
     source_column: str = "source",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row per row of ``docs``: id, source, size, source_size, target, times, taken.
 
@@ -88,17 +89,19 @@ def mix(
     taken in complete epochs, and in the sample when they fit. A null source is a source.
     Repeated rows count as documents of their own with the same key; rows that agree in
     everything are taken alike or differ only in which of them is taken. Empty tables give
-    an empty result.
+    an empty result. ``carry`` names whole-number columns that are returned too; they break ties.
     """
+    carried = [f"carry_{i}" for i in range(len(carry))]
     plain = docs.select(
         F.col(id_column).alias("id"),
         F.col(source_column).cast("string").alias("source"),
         n_words(F.col(text_column)).alias("size"),
+        *(F.col(c).alias(name) for c, name in zip(carry, carried)),
     )
     weighed = plain.join(weights_by_id, "id", "left")
     slim = stored(
         weighed.select(
-            "id", "source", "size", exponential_key(F.col("id"), F.coalesce("w", F.lit(UNKNOWN))).alias("key")
+            "id", "source", "size", *carried, exponential_key(F.col("id"), F.coalesce("w", F.lit(UNKNOWN))).alias("key")
         ),
         "sized",
     )
@@ -106,8 +109,8 @@ def mix(
     targets = stored(source_targets(sizes, weights, max_epochs), "targets")
     rank = targets.select("source", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())).alias("nr"))
     # Order by the source's number: a null source then needs no case of its own.
-    numbered = slim.join(rank, slim["source"].eqNullSafe(rank["source"])).select("id", "size", "key", "nr")
-    totals = stored(running_totals(numbered, ["nr", "key", "id", "size"], ["size"]), "running")
+    numbered = slim.join(rank, slim["source"].eqNullSafe(rank["source"])).select("id", "size", *carried, "key", "nr")
+    totals = stored(running_totals(numbered, ["nr", "key", "id", "size", *carried], ["size"]), "running")
     nr = W.orderBy(F.col("source").asc_nulls_last())
     plan = targets.withColumns(
         {
@@ -131,4 +134,5 @@ def mix(
         "target",
         times.cast("long").alias("times"),
         (times * F.col("size")).cast("long").alias("taken"),
+        *(F.col(name).alias(c) for c, name in zip(carry, carried)),
     )

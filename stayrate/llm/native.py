@@ -40,6 +40,11 @@ def shingles(found: Column, k: int) -> Column:
     )
 
 
+def row_key(*columns: Column) -> Column:
+    """A 64-bit number that rows with equal values share; null differs from every value."""
+    return F.xxhash64(*(x for c in columns for x in (c.isNull(), c)))
+
+
 def table(spark, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 
