@@ -37,11 +37,12 @@ def _hashes(found: Column, k: int) -> Column:
 
 
 def item_shingles(items: DataFrame, id_column: str, text_column: str, k: int) -> DataFrame:
-    """item, key, item_shingles, n_item: one row per different (id, text) that has words."""
+    """item, key, item_shingles, n_item, n_words: one row per different (id, text) that has words."""
     found = items.select(F.col(id_column).alias("item"), match_words(F.col(text_column)).alias("found"))
     sets = found.withColumn("item_shingles", F.array_distinct(shingles(F.col("found"), k)))
     keyed = sets.where(F.size("found") > 0).select(
-        "item", F.sha2(F.to_json(F.struct("item", "item_shingles")), 256).alias("key"), "item_shingles"
+        "item", F.sha2(F.to_json(F.struct("item", "item_shingles")), 256).alias("key"), "item_shingles",
+        F.size("found").alias("n_words"),
     )
     return keyed.dropDuplicates(["key"]).withColumn("n_item", F.size("item_shingles"))
 
@@ -75,14 +76,17 @@ def contained_items(
     """One row per document and item it contains: doc_id, item_id, n_shared, n_item, containment.
 
     Words are runs of letters and digits in lower case. Items with fewer than ``k`` words are
-    one shingle, which is found only in documents that have the same words and no more. Null
+    one shingle of all their words, which is looked for in documents of any length. Null
     or blank texts and items match nothing. Rows that repeat an id are searched one by one and
     reported once, with their best containment, also if the id is null. Empty tables give an
     empty result; other columns are ignored.
     """
     known = stored(item_shingles(items, item_id_column, item_text_column, k), "items")
+    # Documents are also cut at the lengths of the items that have fewer than k words.
+    short = sorted(r[0] for r in known.where(F.col("n_words") < k).select("n_words").distinct().collect())
     found = docs.select(F.col(id_column).alias("doc"), match_words(F.col(text_column)).alias("found"))
-    probes = found.select("doc", F.size("found").alias("n"), F.explode(_hashes(F.col("found"), k)).alias("h"))
+    hashes = [_hashes(F.col("found"), n) for n in (k, *short)]
+    probes = found.select("doc", F.size("found").alias("n"), F.explode(F.concat(*hashes) if short else hashes[0]).alias("h"))
     # No hint: the sketches are broadcast if Spark finds them small, shuffled otherwise.
     hits = probes.join(sketches(known, threshold), "h").where(F.greatest(F.lit(1), F.col("n") - (k - 1)) >= F.col("needed"))
     per_doc = stored(
@@ -93,9 +97,9 @@ def contained_items(
         per_doc.withColumnRenamed("doc", "candidate"), same
     )
     sets = again.select("doc", "keys", match_words(F.col("text")).alias("found")).select(
-        "doc", "keys", F.array_distinct(shingles(F.col("found"), k)).alias("doc_shingles")
+        "doc", "keys", F.array_distinct(F.concat(*(shingles(F.col("found"), n) for n in (k, *short)))).alias("doc_shingles")
     )
-    pairs = sets.select("doc", "doc_shingles", F.explode("keys").alias("key")).join(known, "key")
+    pairs = sets.select("doc", "doc_shingles", F.explode("keys").alias("key")).join(known.drop("n_words"), "key")
     shared = pairs.withColumn("n_shared", F.size(F.array_intersect("doc_shingles", "item_shingles")))
     kept = shared.where(F.col("n_shared") >= F.ceil(F.col("n_item") * F.lit(threshold) - 1e-9))
     best = kept.groupBy("doc", "item").agg(

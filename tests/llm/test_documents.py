@@ -208,6 +208,15 @@ def test_contained_items(spark, docs, rows, empty):
     assert decontaminate.contained_items(docs, bench.limit(0)).count() == 0
 
 
+def test_short_items_inside_longer_documents(spark):
+    texts = {1: "a b c d e f g", 2: "B, c", 3: "x b c", 4: "c b", 5: "p q r s t", 6: "q", 7: "a bc d", 8: None}
+    items = {10: "b c", 11: "Q!", 12: "c d e f", 13: "q r s", 14: "zz", 15: "a b c d e f"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contained_items(docs, bench).collect()}
+    assert found == {(1, 10), (2, 10), (3, 10), (5, 11), (6, 11), (1, 12), (5, 13), (1, 15)}
+
+
 def test_sharding(docs, rows, empty):
     found = sharding.shard_documents(docs, 4).collect()
     assert len(found) == len(rows)
