@@ -26,8 +26,10 @@ __all__ = ["ORACLES", "QUERIES"]
 
 
 def _op1(spark: SparkSession, path: str) -> DataFrame:
-    calls, results = tool_calls.calls_of_turns(table(spark, path, "conversations"))
-    return tool_calls.link_calls(calls, results, tool_calls.TURN_TOOLS)
+    turns = table(spark, path, "conversations")
+    calls, results = tool_calls.calls_of_turns(turns)
+    linked = tool_calls.link_calls(calls, results, tool_calls.TURN_TOOLS)
+    return linked.unionByName(tool_calls.turns_without_part(turns))
 
 
 def _op2(spark: SparkSession, path: str) -> DataFrame:

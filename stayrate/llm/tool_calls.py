@@ -126,17 +126,27 @@ def topological_waves(calls: DataFrame, edges: DataFrame) -> DataFrame:
         wave += 1
 
 
+def _others(rows: DataFrame, firsts: DataFrame, fields: list[str]) -> DataFrame:
+    """The rows of repeated identifiers without the first of each, equal rows as often as they occur."""
+    key = ["conv", "call"]
+    counted = rows.groupBy(*key, *fields).agg(F.count(F.lit(1)).alias("n"))
+    first = firsts.select(*key, F.struct(*fields).alias("first"))
+    left = F.col("n") - F.struct(*fields).eqNullSafe(F.col("first")).cast("long")
+    others = counted.join(first, key).select(*key, *fields, left.alias("n")).where("n > 0")
+    return others.withColumn("_copy", F.explode(F.expr("array_repeat(0, int(n))"))).drop("_copy", "n")
+
+
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """One row per call and per result without a call.
+    """One row per call, per result without a call and per further row of an identifier.
 
     ``calls``: conv_id, call_id, name, arguments (JSON), depends_on (array of call ids of the
     conversation), at (place in the conversation); ``results``: conv_id, call_id, content, at.
     Identifiers hold within a conversation; of calls or results with one identifier the first
-    by ``at`` (then by content) counts. Dependencies on unknown calls or on the call itself are
+    by ``at`` (then by content) counts and the others are rows of their own (``duplicate``). Dependencies on unknown calls or on the call itself are
     left out. Returns conv_id, call_id, name, wave, position (from 0, a topological order of
     the conversation, which is that of the places wherever it can be: by wave, then by place), status (``answered``, ``unanswered``, ``orphan``
     for a result without a call, ``cycle`` for calls that cannot be ordered), valid, errors, and
-    ``message``: canonical JSON of the call and its result. Calls without a conversation or
+    ``message``: canonical JSON of the call and its result. Calls and results without a conversation or
     identifier are linked with nothing and left unordered (``unlinked``). Null arguments are not
     JSON, null contents are null. Empty tables give an empty result; other columns are ignored.
     """
@@ -146,11 +156,14 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     fields = "conv string, call string, at long, name string, arguments string, depends_on array<string>, errors array<string>"
     checked = lambda rows: rows.mapInArrow(_checker(schemas), fields)
     first = checked(named.where(with_id)).groupBy("conv", "call").agg(
-        F.min(F.struct("at", "name", "arguments", "depends_on", "errors")).alias("c")
+        F.min(F.struct("at", "name", "arguments", "depends_on", "errors")).alias("c"), F.count(F.lit(1)).alias("n")
     )
-    known = stored(first.select("conv", "call", "c.*"), "calls")
+    counted = stored(first.select("conv", "call", "c.*", "n"), "calls")
+    known = counted.drop("n")
     answers = results.select(F.col("conv_id").cast("string").alias("conv"), F.col("call_id").cast("string").alias("call"), "at", "content")
-    found = answers.where(with_id).groupBy("conv", "call").agg(F.min(F.struct("at", "content")).alias("r"))
+    found = answers.where(with_id).groupBy("conv", "call").agg(
+        F.min(F.struct("at", "content")).alias("r"), F.count(F.lit(1)).alias("n")
+    )
 
     wanted = known.select("conv", "call", F.explode(F.array_distinct("depends_on")).alias("dep")).where("dep <> call")
     edges = wanted.join(known.select("conv", F.col("call").alias("dep")), ["conv", "dep"], "left_semi")
@@ -160,20 +173,35 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     starts = ranked.groupBy("conv").agg(F.min("rank").alias("start"))
     places = ranked.join(starts, "conv").select("conv", "call", "wave", (F.col("rank") - F.col("start")).alias("position"))
 
-    linked = known.withColumn("is_call", F.lit(True)).join(found, ["conv", "call"], "full").join(places, ["conv", "call"], "left")
+    linked = known.withColumn("is_call", F.lit(True)).join(found.drop("n"), ["conv", "call"], "full").join(places, ["conv", "call"], "left")
     status = (
         F.when(F.col("is_call").isNull(), "orphan")
         .when(F.col("wave").isNull(), "cycle")
         .when(F.col("r").isNull(), "unanswered")
         .otherwise("answered")
     )
-    lost = checked(named.where(~with_id)).select(
-        "conv", "call", "name", "arguments", "errors", F.lit(None).cast("long").alias("wave"),
-        F.lit(None).cast("long").alias("position"), F.lit("unlinked").alias("status"), F.lit(None).cast("string").alias("content"),
+    unplaced = lambda rows, status: rows.select(
+        "conv", "call",
+        *(F.col(c) if c in rows.columns else F.lit(None).cast(kind).alias(c)
+          for c, kind in (("name", "string"), ("arguments", "string"), ("errors", "array<string>"))),
+        F.lit(None).cast("long").alias("wave"), F.lit(None).cast("long").alias("position"), F.lit(status).alias("status"),
+        F.col("content") if "content" in rows.columns else F.lit(None).cast("string").alias("content"),
+    )
+    more_calls = checked(named.where(with_id).join(counted.where("n > 1").select("conv", "call"), ["conv", "call"]).select(*named.columns))
+    more_answers = answers.where(with_id).join(found.where("n > 1").select("conv", "call"), ["conv", "call"])
+    firsts = found.where("n > 1").select("conv", "call", "r.*")
+    everything = (
+        unplaced(checked(named.where(~with_id)), "unlinked")
+        .unionByName(unplaced(answers.where(~with_id), "unlinked"))
+        .unionByName(unplaced(_others(more_calls, counted.where("n > 1").drop("n"), ["at", *rest, "errors"]), "duplicate"))
+        .unionByName(unplaced(_others(more_answers, firsts, ["at", "content"]), "duplicate"))
+        .unionByName(
+            linked.select(
+                "conv", "call", "name", "arguments", "errors", "wave", "position", status.alias("status"),
+                F.col("r.content").alias("content"),
+            )
+        )
     )
-    everything = linked.select(
-        "conv", "call", "name", "arguments", "errors", "wave", "position", status.alias("status"), F.col("r.content").alias("content")
-    ).unionByName(lost)
     quoted = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v"))), '(?s)^\\{"v":(.*)\\}$', 1), F.lit(""))
     value = lambda c: F.when(F.col(c).isNull(), "null").otherwise(quoted(c))
     message = F.concat(
@@ -182,7 +210,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -
     )
     return everything.select(
         F.col("conv").alias("conv_id"), F.col("call").alias("call_id"), "name", "wave", "position", "status",
-        F.when(F.col("status") != "orphan", F.size("errors") == 0).alias("valid"), "errors", message.alias("message"),
+        F.when(F.col("errors").isNotNull(), F.size("errors") == 0).alias("valid"), "errors", message.alias("message"),
     )
 
 
@@ -225,3 +253,23 @@ def calls_of_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
         "conv_id", nr(1).alias("call_id"), F.col("turn").alias("at"), F.col("text").alias("content")
     )
     return calls, results
+
+
+def turns_without_part(turns: DataFrame) -> DataFrame:
+    """A row of ``link_calls`` for every turn that is neither call nor result: its role is null or another.
+
+    Its status is ``other_role`` and its name the role; the message is the turn as JSON.
+    """
+    other = turns.where(F.col("role").isNull() | ~F.col("role").isin("user", "system", "assistant"))
+    null = lambda kind: F.lit(None).cast(kind)
+    return other.select(
+        F.col("conv_id").cast("string").alias("conv_id"),
+        F.concat(F.lit("call_"), F.col("turn").cast("string")).alias("call_id"),
+        F.col("role").alias("name"),
+        null("long").alias("wave"),
+        null("long").alias("position"),
+        F.lit("other_role").alias("status"),
+        null("boolean").alias("valid"),
+        null("array<string>").alias("errors"),
+        F.to_json(F.struct("role", "text", "turn"), {"ignoreNullFields": "false"}).alias("message"),
+    )

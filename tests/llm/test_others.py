@@ -68,6 +68,33 @@ def test_tool_calls(spark):
     assert all(json.loads(r.message) for r in rows.values())
 
 
+def test_every_input_row_is_accounted_for(spark, tmp_path):
+    from stayrate.llm import catalogue
+
+    calls = [
+        ("c", "1", "f", "{}", None, 0), ("c", "1", "f", '{"a":1}', None, 1), ("c", "1", "f", '{"a":1}', None, 1),
+        ("c", "1", "f", "{}", None, 0), ("c", None, "f", "[", None, 2), (None, "3", "f", "{}", None, 0),
+    ]
+    results = [("c", "1", "x", 3), ("c", "1", "y", 4), ("c", "1", "y", 4), (None, "1", "p", 5), ("c", None, "q", 6), ("c", "8", "o", 1), ("c", "8", "o2", 2)]
+    found = tool_calls.link_calls(
+        spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, "conv_id string, call_id string, content string, at long"), {"f": {}}
+    ).collect()
+    status = collections.Counter(r.status for r in found)
+    assert status == {"answered": 1, "duplicate": 6, "unlinked": 4, "orphan": 1}
+    messages = [json.loads(r.message) for r in found if r.status == "duplicate"]
+    assert sorted(str((m["arguments"], m["result"])) for m in messages) == sorted(
+        str(x) for x in [({}, None), ({"a": 1}, None), ({"a": 1}, None), (None, "y"), (None, "y"), (None, "o2")]
+    )
+    turns = [
+        ("k", 0, "system", "s"), ("k", 1, "user", "u"), ("k", 2, "assistant", "a"), ("k", 3, "tool", "t"), ("k", 4, None, "n"),
+        ("k", None, "assistant", "lost"), (None, 5, "assistant", "gone"), (None, 1, "user", "u"), ("k", 1, "user", "again"),
+    ]
+    spark.createDataFrame(turns, "conv_id string, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = catalogue.QUERIES["op1_tool_call_linking"](spark, str(tmp_path)).collect()
+    status = collections.Counter(r.status for r in rows)
+    assert status == {"unanswered": 1, "answered": 1, "duplicate": 1, "other_role": 2, "unlinked": 3}
+
+
 def test_topological_positions(spark):
     """Cycles, dependencies on later places, ties and null places, against rounds in Python; a long chain is one wave."""
     random, calls = Random(3), []
