@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayrate.llm import (
+    alignment,
     decontaminate,
     exact_dedup,
     mixing,
     near_dedup,
+    piece_codec,
+    ranked_search,
     sharding,
     suffix_dedup,
     token_counts,
@@ -74,6 +77,33 @@ def _op10(spark: SparkSession, path: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", F.round("target", 6).alias("target"), "times", "taken")
 
 
+def _op11(spark: SparkSession, path: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = piece_codec.decode_ids(piece_codec.encode_texts(table(spark, path, "documents"), model), model)
+    ids = F.array_join("ids", ",")
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def _op12(spark: SparkSession, path: str) -> DataFrame:
+    import public_tokenizers
+
+    models = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    found = alignment.align(table(spark, path, "documents"), *models)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return found.withColumn("groups_sha256", digest).drop("groups")
+
+
+def _op13(spark: SparkSession, path: str) -> DataFrame:
+    return ranked_search.search(table(spark, path, "documents"), table(spark, path, "benchmark"), 50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tool_call_linking": _op1,
     "op2_benchmark_decontamination": _op2,
@@ -85,4 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": _op8,
     "op9_toxicity": _op9,
     "op10_source_mixing": _op10,
+    "op11_piece_codec": _op11,
+    "op12_token_alignment": _op12,
+    "op13_ranked_search": _op13,
 }

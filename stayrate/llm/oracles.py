@@ -51,8 +51,26 @@ m AS (SELECT *, epochs + (before + size / 2 <= target - epochs * source_size AND
 SELECT doc_id, source, size, source_size, round(target, 6) AS target, times, (times * size)::BIGINT AS taken FROM m
 """
 
+_TERMS = r"""unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"""
+
+_OP13 = f"""
+WITH i AS (SELECT DISTINCT item_id, {_TERMS} AS t FROM benchmark),
+d AS (SELECT doc_id, {_TERMS} AS t FROM documents),
+size AS (SELECT doc_id, count(*) AS n FROM d GROUP BY 1),
+whole AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM size),
+p AS (SELECT doc_id, t, count(*) AS tf FROM d WHERE t IN (SELECT t FROM i) GROUP BY 1, 2),
+w AS (SELECT t, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS weight
+  FROM p, whole GROUP BY t, docs),
+s AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // terms))))::BIGINT AS score
+  FROM p JOIN w USING (t) JOIN size USING (doc_id) JOIN i USING (t), whole GROUP BY 1, 2),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
 ORACLES: dict[str, str] = {
     "op2_benchmark_decontamination": _OP2,
     "op4_exact_dedup": _OP4,
     "op10_source_mixing": _OP10,
+    "op13_ranked_search": _OP13,
 }
