@@ -23,7 +23,7 @@ from stayrate.llm.kernels import pieces, text_bytes
 #: The mark that stands for a space inside pieces, and what an unknown id decodes to.
 MARK, UNKNOWN = "▁", " ⁇ "
 #: A worker forgets its chunks, and its tested pairs, beyond so many.
-KEPT_CHUNKS, KEPT_PAIRS, KEPT_LENGTH = 400_000, 1_000_000, 64
+KEPT_CHUNKS, KEPT_PAIRS, KEPT_LENGTH = 250_000, 500_000, 64
 _ROWS = 2000
 _codecs: dict[int, Codec] = {}
 
