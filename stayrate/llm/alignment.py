@@ -38,7 +38,7 @@ FAN_IN = 256
 #: Counts of so many pairs (16 bytes each) are sent to tasks at a time; more take more passes.
 SENT_PAIRS = 4_000_000
 #: A worker forgets its cells, and reports its counts, beyond so many cells or pairs.
-KEPT_CELLS = 400_000
+KEPT_CELLS = 500_000
 _A_BITS = 32
 _LETTER, _DIGIT, _OTHER, _SPACE = 1, 2, 3, 4  # in the order of the probes in kinds()
 #: The endings that the words of A split off, each a word by itself.
@@ -84,6 +84,8 @@ class Aligner:
         self.n_ids = max(n_a, len(self.b.pieces))
         self.shown = pa.array([f"{i}{end}" for end in ",|;" for i in range(self.n_ids)] + list(map(str, range(self.n_ids))), pa.string())
         self.kind = np.zeros(0x110000, np.uint8)
+        self.block: int | None = None
+        self.counts: Known | None = None
         self.forget()
 
     def forget(self) -> None:
@@ -257,6 +259,7 @@ class Counts:
 def _counted(shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ours = aligner(*shipped.value)
+        ours.block = None
         counts, flushes, part = Counts(), 0, TaskContext.get().partitionId()
         for batch in batches:
             for _, _, codes, different, _ in ours.cut(batch.column(0)):
@@ -384,8 +387,10 @@ def _looked_up(shipped, block, last: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ours = aligner(*shipped.value)
-        known = Known(*block.value)
-        ours.forget()  # cells keep what a block knows of them
+        if ours.block != block.id:  # cells keep what a block knows of them
+            ours.forget()
+            ours.block, ours.counts = block.id, Known(*block.value)
+        known = ours.counts
         for batch in batches:
             for a, b, codes, different, first in ours.cut(batch.column(1)):
                 sums = np.zeros((6, b - a), np.int64)
