@@ -1,26 +1,30 @@
 """Ranked lexical search without random access (NRA).
 
 A document's score for an item is a sum over the item's terms, so every term has a list of
-(document, impact), read from the highest impact down. Lists are cut into blocks by impact: a round
-reads the next block of all lists at once. What has been read of a document is the lower end of its
+(document, impact), read from the highest impact down. Lists are cut into blocks by impact, and a
+round reads one more block of all lists. What has been read of a document is the lower end of its
 score; with the next impact of every list that it was not met in yet, it is the upper end.
 
 An item stays open while a document that was not met could still reach the k-th best lower end.
 When it closes, documents whose upper end is below that go, and its lists are read on to their ends
 for the few that remain. Then both ends agree: members, ties and scores are settled.
+
+Lists are stored per shard of documents, each block in a column of its own, so a round reads the
+columns up to its block, and all that is read of a document is in one task. Only the k best lower
+ends of every shard and item are shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stayrate.functions.joins import lookup_join
 from stayrate.llm.kernels import _LOWER, _WORD, pieces, prefix_hashes, span_hashes, text_bytes, word_spans
 from stayrate.llm.native import ascii_lower, stored
 from stayrate.llm.piece_codec import ragged
@@ -28,20 +32,43 @@ from stayrate.llm.piece_codec import ragged
 #: Fixed value: what a term is.
 TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 #: The first block of a list has so many documents for each that is asked for, later ones so many times more.
-DEPTH, GROWTH = 20, 4
+DEPTH, GROWTH, MOST_BLOCKS = 20, 4, 20
 #: Impacts are cut into blocks between so many levels.
 LEVELS = 1000
 #: Items are searched in blocks of about so many terms, which are sent to all tasks.
-TERMS_AT_A_TIME = 250_000
+TERMS_AT_A_TIME = 100_000
 #: The k-th best lower end is taken from so many steps of an item's highest score.
 STEPS = 4096
-_BITS = 62
+#: A shard has so many documents at most, and a task adds up so many items at a time.
+SHARD_DOCS, ITEMS_AT_A_TIME = 4096, 256
+_POSTING = np.dtype([("doc", np.int32), ("term", np.int32), ("part", np.int32)])
+
+
+class Shard(NamedTuple):
+    """Documents in order, with the vocabulary's terms that each has and how often."""
+
+    ids: pa.Array
+    sizes: np.ndarray
+    n_terms: np.ndarray
+    terms: np.ndarray
+    times: np.ndarray
 
+    def row(self, number: int) -> pa.RecordBatch:
+        own = [pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in self[1:]]
+        ids = pa.ListArray.from_arrays(pa.array([0, len(self.ids)], pa.int32()), self.ids)
+        totals = [number, int((self.sizes > 0).sum()), int(self.sizes.sum())]
+        return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in totals), ids, *own], _SHARD)
 
-def _terms_of(vocabulary):
-    """Per text the number of its terms, and which of the vocabulary it has how often."""
+
+_SHARD = ["shard", "docs", "words", "ids", "sizes", "n_terms", "terms", "times"]
+
+
+def _shards(vocabulary):
+    """Count the vocabulary's terms in every text, in shards of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         words = vocabulary.value
         ends = np.cumsum([len(w) for w in words], dtype=np.int64)
         own = np.frombuffer(b"".join(words), np.uint8)
@@ -49,121 +76,240 @@ def _terms_of(vocabulary):
         hashes = span_hashes(prefix_hashes(own), begins, ends)
         order = np.argsort(hashes)
         hashes, begins, sizes = hashes[order], begins[order], (ends - begins)[order]
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            body, starts = text_bytes(batch.column("text"))
-            for a, b in pieces(starts):
-                low = _LOWER[body[starts[a] : starts[b]]]
-                first, last, text = word_spans(low, starts[a : b + 1] - starts[a], _WORD)
-                found = span_hashes(prefix_hashes(low), first, last)
-                place = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
-                hit = np.flatnonzero((hashes[place] == found) & (sizes[place] == last - first))
-                place = place[hit]
-                if len(hit):  # equal hashes are not trusted
-                    same = ragged(low, first[hit], sizes[place]) == ragged(own, begins[place], sizes[place])
-                    good = np.logical_and.reduceat(same, np.cumsum(sizes[place]) - sizes[place])
-                    hit, place = hit[good], place[good]
-                both, times = np.unique(text[hit] * len(words) + order[place], return_counts=True)
-                inside = np.searchsorted(both // len(words), np.arange(b - a + 1)).astype(np.int32)
-                lists = [both % len(words), times]
-                columns = [batch.column(c).slice(a, b - a) for c in ("row", "id")]
-                columns.append(pa.array(np.bincount(text, minlength=b - a).astype(np.int64)))
-                columns += [pa.ListArray.from_arrays(pa.array(inside), pa.array(x.astype(np.int32))) for x in lists]
-                yield pa.RecordBatch.from_arrays(columns, ["row", "id", "n", "terms", "times"])
+            for at in range(0, batch.num_rows, SHARD_DOCS):
+                part = batch.slice(at, SHARD_DOCS)
+                body, starts = text_bytes(part.column("text"))
+                found = []
+                for a, b in pieces(starts):
+                    low = _LOWER[body[starts[a] : starts[b]]]
+                    first, last, text = word_spans(low, starts[a : b + 1] - starts[a], _WORD)
+                    spans = span_hashes(prefix_hashes(low), first, last)
+                    place = np.minimum(np.searchsorted(hashes, spans), len(hashes) - 1)
+                    hit = np.flatnonzero((hashes[place] == spans) & (sizes[place] == last - first))
+                    place = place[hit]
+                    if len(hit):  # equal hashes are not trusted
+                        same = ragged(low, first[hit], sizes[place]) == ragged(own, begins[place], sizes[place])
+                        good = np.logical_and.reduceat(same, np.cumsum(sizes[place]) - sizes[place])
+                        hit, place = hit[good], place[good]
+                    both, times = np.unique(text[hit] * len(words) + order[place], return_counts=True)
+                    counts = np.bincount(both // len(words), minlength=b - a)
+                    found.append((np.bincount(text, minlength=b - a), counts, both % len(words), times))
+                if found:
+                    yield Shard(part.column("id"), *map(np.concatenate, zip(*found, strict=True))).row(number)
+                    number += 1
 
     return run
 
 
-def _lists(matched: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """All lists: ``postings`` (block, term, row, impact), and per block of a term its highest impact."""
-    whole = matched.agg(F.count(F.when(F.col("n") > 0, 1)).alias("docs"), F.sum("n").alias("terms")).first()
-    n_docs, n_terms = whole["docs"], max(whole["terms"] or 0, 1)
-    # 64-bit integers; div rounds down
-    length = F.expr(f"100 - 50 + ((50 * n * {n_docs}L) div {n_terms}L)")
-    each = matched.select("row", length.alias("m"), F.explode(F.arrays_zip("terms", "times")).alias("t"))
-    times = F.col("t.times").cast("long")
-    found = each.select("row", F.col("t.terms").alias("term"), times.alias("tf"), "m")
-    found = found.withColumn("part", F.expr("(1000000000L * tf) div (1000L * tf + 20L * m)"))
-    found = found.select("row", "term", "part", F.expr(f"part div (1000000 div {LEVELS})").cast("int").alias("level"))
-    levels = found.groupBy("term", "level").agg(F.count(F.lit(1)).alias("n"), F.max("part").alias("top"))
+def _postings(batch: pa.RecordBatch, i: int, docs: int, words: int) -> np.ndarray:
+    """Per document and term of a shard the saturated count, which the term's weight multiplies."""
+    sizes, n_terms, terms, times = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in _SHARD[4:])
+    found = np.empty(len(terms), _POSTING)
+    found["doc"], found["term"] = np.repeat(np.arange(len(sizes)), n_terms), terms
+    # 64-bit integers, rounding down
+    length = 100 - 50 + (50 * sizes * docs) // max(words, 1)
+    found["part"] = (1000000000 * times) // (1000 * times + 20 * length[found["doc"]])
+    return found
+
+
+def _levels(docs: int, words: int):
+    """Per term and level of impact: postings, and the highest impact."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = _postings(batch, i, docs, words)
+                level = found["part"] // (1000000 // LEVELS)
+                both, place, n = np.unique(found["term"].astype(np.int64) * (LEVELS + 1) + level, return_inverse=True, return_counts=True)
+                top = np.zeros(len(both), np.int64)
+                np.maximum.at(top, place, found["part"])
+                columns = [both // (LEVELS + 1), both % (LEVELS + 1), n, top]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["term", "level", "n", "top"])
+
+    return run
+
+
+class Lists(NamedTuple):
+    """Per term its weight, and per block the lowest level (one above all if it has none) and the highest impact."""
+
+    weight: np.ndarray
+    low: np.ndarray
+    top: np.ndarray
+
+    @property
+    def n_blocks(self) -> int:
+        return self.low.shape[1]
+
+    def ahead(self, block: int) -> np.ndarray:
+        """Per term the highest impact beyond ``block``."""
+        rest = self.top[:, block + 1 :]
+        return rest.max(axis=1) if rest.shape[1] else np.zeros(len(self.top), np.int64)
+
+
+def _lists(shards: DataFrame, n_words: int, docs: int, words: int, k: int) -> Lists:
+    """Cut every list into blocks between levels of impact."""
+    fields = "term long, level long, n long, top long"
+    levels = shards.mapInArrow(_levels(docs, words), fields).groupBy("term", "level").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
     above = W.partitionBy("term").orderBy(F.desc("level")).rowsBetween(W.unboundedPreceding, -1)
     read = F.coalesce(F.sum("n").over(above), F.lit(0))
-    depths = [DEPTH * k * GROWTH**i for i in range(20)]
-    block = sum((F.when(read >= d, 1).otherwise(0) for d in depths), F.lit(0))
+    block = sum((F.when(read >= DEPTH * k * GROWTH**i, 1).otherwise(0) for i in range(MOST_BLOCKS)), F.lit(0))
     frequency = F.sum("n").over(W.partitionBy("term"))
-    weight = F.floor(1000 * F.log((2 * F.lit(n_docs).cast("double") + 2) / (2 * frequency.cast("double") + 1)))
+    weight = F.floor(1000 * F.log((2 * F.lit(docs).cast("double") + 2) / (2 * frequency.cast("double") + 1)))
     cut = levels.select("term", "level", "top", block.alias("block"), weight.alias("weight"))
-    cut = cut.groupBy("term", "block").agg(
-        F.min("level").alias("low"), F.max("level").alias("high"), F.max("top").alias("top"), F.first("weight").alias("weight")
-    )
-    cut = stored(cut, "lists")
-    # bounded: a row per block of a term, and terms come in blocks of items
-    placed = found.join(
-        F.broadcast(cut.drop("top").withColumnRenamed("term", "t")),
-        (F.col("term") == F.col("t")) & (F.col("level") >= F.col("low")) & (F.col("level") <= F.col("high")),
-    )
-    postings = placed.select("block", "term", "row", (F.col("weight") * F.col("part")).alias("impact"))
-    return stored(postings, "postings"), cut.select("term", "block", (F.col("weight") * F.col("top")).alias("top"))
-
-
-def _seen(words: int) -> list[Column]:
-    """Bits of an item's terms, by their number."""
-    bit = F.expr(f"shiftleft(1L, cast(nr % {_BITS} as int))")
-    return [F.bit_or(F.when(F.expr(f"nr div {_BITS}") == j, bit).otherwise(0)).alias(f"seen{j}") for j in range(words)]
-
-
-def _read_all(postings: DataFrame, lists: DataFrame, terms: DataFrame, k: int) -> DataFrame:
-    """(item, row, score) of at least the best ``k`` rows of every item, with exact scores."""
-    words = (terms.agg(F.max("nr")).first()[0] or 0) // _BITS + 1
-    last = lists.agg(F.max("block")).first()[0]
-    if last is None:
-        return postings.select(F.lit(0).cast("long").alias("item"), "row", F.col("impact").alias("score"))
-    highest = lists.groupBy("term").agg(F.max("top").alias("top"))
-    open_items = terms.join(highest, "term").groupBy("item").agg((F.sum("top") / STEPS + 1).cast("long").alias("step"))
-    open_items = stored(open_items, "open")
-    state, settled = None, []
-    bits = [f"seen{j}" for j in range(words)]
-    for block in range(last + 1):
-        wanted = terms.join(open_items, "item", "left_semi")
-        met = postings.where(F.col("block") == block).join(F.broadcast(wanted), "term")
-        met = met.groupBy("item", "row").agg(F.sum("impact").alias("lower"), *_seen(words))
-        if state is not None:
-            both = state.join(F.broadcast(open_items.select("item")), "item", "left_semi").unionByName(met)
-            met = both.groupBy("item", "row").agg(F.sum("lower").alias("lower"), *(F.bit_or(c).alias(c) for c in bits))
-        state = stored(met, "met")
-        # the highest impact that is left in every list, and the k-th best lower end, rounded down
-        ahead = lists.where(F.col("block") > block).groupBy("term").agg(F.max("top").alias("next"))
-        nexts = terms.join(open_items, "item").join(ahead, "term", "left").select("item", "step", "nr", F.coalesce("next", F.lit(0)).alias("next"))
-        nexts = nexts.groupBy("item", "step").agg(F.array_sort(F.collect_list(F.struct("nr", "next")))["next"].alias("nexts"))
-        nexts = nexts.withColumn("unmet", F.aggregate("nexts", F.lit(0).cast("long"), lambda a, b: a + b))
-        steps = state.join(F.broadcast(open_items), "item").groupBy("item", F.expr("lower div step").alias("at"), "step").agg(F.count(F.lit(1)).alias("n"))
-        better = W.partitionBy("item").orderBy(F.desc("at"))
+    cut = cut.groupBy("term", "block").agg(F.min("level").alias("low"), F.max("top").alias("top"), F.first("weight").alias("weight"))
+    found = cut.toPandas()  # bounded: the blocks of the terms of one block of items
+    n_blocks = int(found["block"].max()) + 1 if len(found) else 1
+    weight, term, at = np.zeros(n_words, np.int64), found["term"].to_numpy(), found["block"].to_numpy()
+    low, top = np.full((n_words, n_blocks), LEVELS + 1, np.int64), np.zeros((n_words, n_blocks), np.int64)
+    weight[term] = found["weight"].to_numpy()
+    low[term, at], top[term, at] = found["low"].to_numpy(), found["top"].to_numpy() * weight[term]
+    return Lists(weight, low, top)
+
+
+def _by_block(docs: int, words: int, low):
+    """The lists of a shard, each block in a column of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lowest = np.minimum.accumulate(low.value, axis=1)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = _postings(batch, i, docs, words)
+                level = found["part"] // (1000000 // LEVELS)
+                block = (level[:, None] < lowest[found["term"]]).sum(axis=1)
+                found = found[np.lexsort((-found["part"], found["term"], block))]
+                ends = np.cumsum(np.bincount(block, minlength=lowest.shape[1]))
+                own = [pa.array([x.tobytes()], pa.binary()) for x in np.split(found, ends[:-1])]
+                names = ["ids", *(f"block{b}" for b in range(lowest.shape[1]))]
+                yield pa.RecordBatch.from_arrays([batch.column("ids").slice(i, 1), *own], names)
+
+    return run
+
+
+class Asked(NamedTuple):
+    """Items by number: their terms (item after item), and where each item's begin."""
+
+    terms: np.ndarray
+    begins: np.ndarray
+
+    @property
+    def n(self) -> int:
+        return len(self.begins) - 1
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Per item the sum of what ``values`` has for its terms."""
+        running = np.concatenate(([0], np.cumsum(values[self.terms])))
+        return running[self.begins[1:]] - running[self.begins[:-1]]
+
+    def holders(self, chosen: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Per term the ``chosen`` items that have it, by their place in ``chosen``, and where each term's begin."""
+        sizes = np.diff(self.begins)[chosen]
+        own = ragged(self.terms, self.begins[:-1][chosen], sizes)
+        order = np.argsort(own, kind="stable")
+        items = np.repeat(np.arange(len(chosen)), sizes)[order]
+        return items, np.searchsorted(own[order], np.arange(n_words + 1))
+
+
+def interval_ends(found: np.ndarray, n_docs: int, asked: Asked, chosen: np.ndarray, weight: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ``chosen`` items x documents: the sum of impacts read, and of what is ahead in the lists read from."""
+    items, first = asked.holders(chosen, len(weight))
+    times = (first[1:] - first[:-1])[found["term"]]
+    item = ragged(items, first[:-1][found["term"]], times)
+    cell = item * n_docs + np.repeat(found["doc"], times)
+    size = len(chosen) * n_docs
+    # sums stay below 2 ** 53, so doubles are exact
+    sums = [np.bincount(cell, np.repeat(x, times), size).astype(np.int64) for x in (weight[found["term"]] * found["part"], ahead[found["term"]])]
+    return sums[0].reshape(len(chosen), n_docs), sums[1].reshape(len(chosen), n_docs)
+
+
+def _blocks_of(batch: pa.RecordBatch, i: int, blocks: range) -> np.ndarray:
+    own = [np.frombuffer(batch.column(f"block{b}")[i].as_buffer(), _POSTING) for b in blocks]
+    return np.concatenate([np.zeros(0, _POSTING), *own])
+
+
+def _in_parts(numbers: np.ndarray) -> list[np.ndarray]:
+    return [numbers[i : i + ITEMS_AT_A_TIME] for i in range(0, len(numbers), ITEMS_AT_A_TIME)]
+
+
+def _round(block: int, opened: np.ndarray, step: np.ndarray, k: int, shipped):
+    """Per open item the steps of its ``k`` best lower ends in each shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        *own, weight, _ = shipped.value
+        asked = Asked(*own)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                n_docs = len(batch.column("ids")[i])
+                found = _blocks_of(batch, i, range(block + 1))
+                for chosen in _in_parts(opened):
+                    lower, _ = interval_ends(found, n_docs, asked, chosen, weight, weight * 0)
+                    if n_docs > k:
+                        lower = np.partition(lower, n_docs - k, axis=1)[:, n_docs - k :]
+                    item, at = np.nonzero(lower)
+                    both = np.stack((chosen[item], lower[item, at] // step[chosen[item]]), axis=1)
+                    both, n = np.unique(both, axis=0, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (both[:, 0], both[:, 1], n)], ["item", "at", "n"])
+
+    return run
+
+
+def _settled(until: np.ndarray, least: np.ndarray, last: int, shipped):
+    """Close every item where it was closed, and read on for the documents that remain."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        *own, weight, top = shipped.value
+        asked, lists = Asked(*own), Lists(weight, top, top)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids = batch.column("ids")[i].values
+                for block in np.unique(until).tolist():
+                    ahead = lists.ahead(block)
+                    for chosen in _in_parts(np.flatnonzero(until == block)):
+                        found = _blocks_of(batch, i, range(block + 1))
+                        lower, met = interval_ends(found, len(ids), asked, chosen, weight, ahead)
+                        upper = lower + asked.sums(ahead)[chosen][:, None] - met
+                        near = (lower > 0) & (upper >= least[chosen][:, None])
+                        some = np.zeros(len(ids), bool)
+                        some[np.flatnonzero(near.any(axis=0))] = True
+                        rest = _blocks_of(batch, i, range(block + 1, last + 1))
+                        rest = rest[some[rest["doc"]]]
+                        more, _ = interval_ends(rest, len(ids), asked, chosen, weight, ahead)
+                        item, doc = np.nonzero(near)
+                        score = (lower + more)[item, doc]
+                        columns = [pa.array(chosen[item]), ids.take(pa.array(doc)), pa.array(score)]
+                        yield pa.RecordBatch.from_arrays(columns, ["item", "id", "score"])
+
+    return run
+
+
+def _best(shards: DataFrame, id_type: str, asked: Asked, n_words: int, k: int) -> DataFrame:
+    """(item, id, score) of at least the best ``k`` documents of every item, with exact scores."""
+    context = shards.sparkSession.sparkContext
+    whole = shards.agg(F.sum("docs").alias("docs"), F.sum("words").alias("words")).first()
+    sizes = whole["docs"] or 0, whole["words"] or 0
+    lists = _lists(shards, n_words, *sizes, k)
+    last = lists.n_blocks - 1
+    fields = ", ".join(f"block{b} binary" for b in range(last + 1))
+    blocks = shards.mapInArrow(_by_block(*sizes, context.broadcast(lists.low)), f"ids array<{id_type}>, {fields}")
+    blocks = stored(blocks, "blocks")
+    shipped = context.broadcast((*asked, lists.weight, lists.top))
+    step = asked.sums(lists.top.max(axis=1)) // STEPS + 1
+    opened, until, least = np.arange(asked.n), np.full(asked.n, last), np.zeros(asked.n, np.int64)
+    for block in range(last):
+        unmet = asked.sums(lists.ahead(block))
+        read = blocks.select("ids", *(f"block{b}" for b in range(block + 1)))
+        steps = read.mapInArrow(_round(block, opened, step, k, shipped), "item long, at long, n long").groupBy("item", "at").agg(F.sum("n").alias("n"))
+        better = W.partitionBy("item").orderBy(F.desc("at"))  # at most STEPS rows an item
         enough = steps.withColumn("n", F.sum("n").over(better)).where(F.col("n") >= k)
-        least = enough.groupBy("item").agg(F.max(F.col("at") * F.col("step")).alias("least"))
-        judged = nexts.join(least, "item", "left").withColumn("least", F.coalesce("least", F.lit(0)))
-        judged = stored(judged.withColumn("closed", (F.col("unmet") < F.col("least")) | (F.col("unmet") == 0)), "judged")
-        closed = F.broadcast(judged.where("closed").select("item", "nexts", "unmet", "least"))
-        near = state.join(closed, "item").where(F.col("lower") + F.col("unmet") >= F.col("least"))
-        has = F.array(*bits)
-        of_met = F.aggregate(
-            F.transform("nexts", lambda x, i: F.when(F.getbit(has[F.floor(i / _BITS).cast("int")], i % _BITS) == 1, x).otherwise(0)),
-            F.lit(0).cast("long"),
-            lambda a, b: a + b,
-        )
-        near = near.where(F.col("lower") + F.col("unmet") - of_met >= F.col("least"))
-        settled.append(near.select("item", "row", "lower", F.lit(block).alias("until")))
-        open_items = judged.where(~F.col("closed")).select("item", "step")
-        if open_items.isEmpty():
+        for row in enough.groupBy("item").agg(F.max("at").alias("at")).collect():
+            least[row["item"]] = row["at"] * step[row["item"]]
+        closed = (unmet[opened] < least[opened]) | (unmet[opened] == 0)
+        until[opened[closed]] = block
+        opened = opened[~closed]
+        if not len(opened):
             break
-    near = settled[0]
-    for more in settled[1:]:
-        near = near.unionByName(more)
-    near = stored(near, "near")
-    # the lists are read on to their ends, for the rows that remain
-    rest = postings.where(F.col("block") > near.agg(F.min("until")).first()[0]) if near.take(1) else postings.limit(0)
-    rest = lookup_join(rest, near.select("row").distinct(), "row", "left_semi").join(F.broadcast(terms.drop("nr")), "term")
-    rest = rest.join(near.select("item", "row", "until"), ["item", "row"]).where(F.col("block") > F.col("until"))
-    known = near.select("item", "row", F.col("lower").alias("score"))
-    return known.unionByName(rest.select("item", "row", F.col("impact").alias("score"))).groupBy("item", "row").agg(F.sum("score").alias("score"))
+    return blocks.mapInArrow(_settled(until, least, last, shipped), f"item long, id {id_type}, score long")
 
 
 def item_terms(items: DataFrame, id_column: str = "item_id", text_column: str = "text") -> DataFrame:
@@ -196,25 +342,25 @@ def search(
     spark = docs.sparkSession
     asked = stored(item_terms(items, item_column), "items")
     n_blocks = -(-asked.count() // TERMS_AT_A_TIME) or 1
-    types = dict(docs.dtypes)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    id_type = dict(docs.dtypes)[id_column]
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    fields = f"shard long, docs long, words long, ids array<{id_type}>, sizes binary, n_terms binary, terms binary, times binary"
     result = None
     for block in range(n_blocks):
         mine = asked.where(F.pmod("item", F.lit(n_blocks)) == block)
-        words = sorted(r["term"].encode() for r in mine.select("term").distinct().collect())  # bounded by the block
-        number = spark.createDataFrame([(w.decode(), i) for i, w in enumerate(words)], "term string, nr int")
-        order = F.row_number().over(W.partitionBy("item").orderBy("term")) - 1
-        terms = mine.join(F.broadcast(number.withColumnRenamed("nr", "t")), "term")
-        terms = stored(terms.select("item_id", "item", order.alias("nr"), F.col("t").alias("term")), "terms")
-        fields = f"row long, id {types[id_column]}, n long, terms array<int>, times array<int>"
-        shipped = spark.sparkContext.broadcast(words or [b"\x00"])  # NUL is in no term
-        matched = stored(rows.mapInArrow(_terms_of(shipped), fields), "matched")
-        postings, lists = _lists(matched, k)
-        scored = _read_all(postings, lists, terms.select("item", "nr", "term"), k)
-        named = lookup_join(matched.select("row", "id"), scored.where(F.col("score") > 0), "row")
-        best = W.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("id"), "row")
-        ranked = named.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        ids = terms.select("item_id", "item").distinct()
-        ranked = ranked.join(F.broadcast(ids), "item").select(F.col("item_id").alias(item_column), "rank", F.col("id").alias(id_column), "score")
+        numbered = mine.select("item", "term").toPandas()  # bounded by the block
+        words, term = np.unique(numbered["term"].to_numpy(dtype=object), return_inverse=True)
+        items_here, item = np.unique(numbered["item"].to_numpy(np.int64), return_inverse=True)
+        order = np.lexsort((term, item))
+        own = Asked(term[order].astype(np.int64), np.searchsorted(item[order], np.arange(len(items_here) + 1)))
+        shipped = spark.sparkContext.broadcast([w.encode() for w in words] or [b"\x00"])  # NUL is in no term
+        shards = stored(rows.mapInArrow(_shards(shipped), fields), "shards")
+        scored = _best(shards, id_type, own, max(len(words), 1), k)
+        best = W.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("id"))
+        ranked = scored.where(F.col("score") > 0).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        names = spark.createDataFrame([(i, int(x)) for i, x in enumerate(items_here)], "item long, name long")
+        ids = mine.select("item_id", F.col("item").alias("name")).distinct()
+        ranked = ranked.join(F.broadcast(names), "item").join(F.broadcast(ids), "name")
+        ranked = ranked.select(F.col("item_id").alias(item_column), "rank", F.col("id").alias(id_column), "score")
         result = ranked if result is None else result.unionByName(ranked)
     return result
