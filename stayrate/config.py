@@ -57,8 +57,8 @@ class RetentionConfig:
     tree_rates: tuple[float, ...] = (0.05, 0.1)
     tree_counts: tuple[int, ...] = (200, 400)
     positive_weights: tuple[float, ...] = (1.0, 3.0, 5.0)
-    row_subsample: float = 0.8
-    feature_subsample: float = 0.8
+    row_subsamples: tuple[float, ...] = (0.8,)
+    feature_subsamples: tuple[float, ...] = (0.8,)
 
     target_deciles: tuple[int, ...] = (1,)
     target_segments: tuple[str, ...] = ("Champions", "Loyal", "Promising")
@@ -126,11 +126,9 @@ def config_from_mapping(settings: Mapping[str, Any]) -> RetentionConfig:
     ):
         if key in grid:
             values[field] = tuple(grid[key])
-    for key, field in (("subsample", "row_subsample"), ("colsample_bytree", "feature_subsample")):
+    for key, field in (("subsample", "row_subsamples"), ("colsample_bytree", "feature_subsamples")):
         if key in grid:
-            if len(grid[key]) != 1:
-                raise ValueError(f"{key} takes one value; the grid does not run over it")
-            values[field] = float(grid[key][0])
+            values[field] = tuple(float(v) for v in grid[key])
 
     sizing = settings.get("sizing", {})
     for key, field in (

@@ -7,37 +7,40 @@ scored once.
 from __future__ import annotations
 
 import itertools
+import json
 import math
 from collections.abc import Iterable, Mapping, Sequence
-from multiprocessing.pool import ThreadPool
 from typing import Any, NamedTuple
 
-from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stayrate.config import DEFAULT, RetentionConfig
-from stayrate.functions import as_double, distributed_rank, ratio
+from stayrate.functions import as_double
+from stayrate.operators import boosting
+from stayrate.operators.boosting import BoostedTrees
+from stayrate.operators.isotonic import IsotonicCurve, pooled_blocks
 from stayrate.operators.metrics import classification_metrics, risk_deciles, score_histogram
 from stayrate.operators.snapshots import feature_names
 
 
-#: Fits of the boosted-tree grid that run at a time.
-FITS_AT_A_TIME = 3
+#: Rows of about so many customers swap values when a feature is permuted.
+SWAPPED_TOGETHER = 50_000
+#: Scores are counted between so many edges for importance.
+SCORE_EDGES = 1 << 14
 
 
 class Selected(NamedTuple):
     """The best model, its parameters and its score on the validation snapshot."""
 
-    model: Model
+    model: Model | BoostedTrees
     params: dict[str, Any]
     val_auc: float
 
@@ -145,13 +148,13 @@ def logistic_select(
 
 
 def tree_grid(cfg: RetentionConfig = DEFAULT) -> list[dict[str, Any]]:
-    """Every combination of depth, rate, number of trees and weight of the positive class."""
-    return [
-        {"max_depth": depth, "learning_rate": rate, "n_trees": trees, "positive_weight": weight}
-        for depth, rate, trees, weight in itertools.product(
-            cfg.tree_depths, cfg.tree_rates, cfg.tree_counts, cfg.positive_weights
-        )
-    ]
+    """Every combination of depth, rate, number of trees, weight of the positive class, and the
+    shares of rows and of features that each tree sees."""
+    names = ("max_depth", "learning_rate", "n_trees", "positive_weight", "row_share", "feature_share")
+    axes = (
+        cfg.tree_depths, cfg.tree_rates, cfg.tree_counts, cfg.positive_weights, cfg.row_subsamples, cfg.feature_subsamples
+    )
+    return [dict(zip(names, values, strict=True)) for values in itertools.product(*axes)]
 
 
 def gbt_grid(
@@ -162,67 +165,32 @@ def gbt_grid(
 ) -> Selected:
     """Gradient-boosted trees, best parameters of ``grid`` (by default ``tree_grid(cfg)``).
 
-    The weight of the positive class multiplies the rows with label 1. Combinations that differ only
-    in ``n_trees`` take one fit of the most trees, of which the fewer are the first: boosting draws
-    each tree's seed from its number. A few fits run at a time; of equal AUCs the first of ``grid``
-    is kept. The frames are read several times per fit, so pass stored or cached ones.
+    All models grow together, see ``boosting``. The weight of the positive class multiplies the rows with
+    label 1. Combinations that differ only in ``n_trees`` take one fit of the most trees, of which
+    the fewer are the first. All are judged in one pass over ``val``; of equal AUCs the first of ``grid`` is
+    kept. ``train`` is read three times, so pass a stored or cached frame.
     """
     wanted = [dict(params) for params in (tree_grid(cfg) if grid is None else grid)]
-    fits: dict[tuple, list[int]] = {}
-    for i, params in enumerate(wanted):
-        fits.setdefault((params["max_depth"], params["learning_rate"], params["positive_weight"]), []).append(i)
-
-    def judged(members: list[int]) -> tuple[float, int, Model]:
-        longest = wanted[max(members, key=lambda i: wanted[i]["n_trees"])]
-        trees = GBTClassifier(
-            featuresCol="features",
-            labelCol="lapsed",
-            weightCol="_weight",
-            maxDepth=longest["max_depth"],
-            stepSize=longest["learning_rate"],
-            maxIter=longest["n_trees"],
-            subsamplingRate=cfg.row_subsample,
-            featureSubsetStrategy=str(cfg.feature_subsample),
-            seed=cfg.random_seed,
-        )
-        row_weight = F.when(F.col("lapsed") == 1, float(longest["positive_weight"]))
-        whole = trees.fit(train.withColumn("_weight", row_weight.otherwise(1.0)))
-        found = []
-        for i in members:
-            model = first_trees(whole, wanted[i]["n_trees"])
-            found.append((_auc(model.transform(val)), -i, model))
-        return max(found, key=lambda f: f[:2])
-
     if not wanted:
         raise ValueError("no candidate parameters given")
-    with ThreadPool(min(FITS_AT_A_TIME, len(fits))) as pool:
-        found = pool.map(inheritable_thread_target(train.sparkSession)(judged), fits.values())
-    auc, minus, best = max(found, key=lambda f: f[:2])
-    return Selected(best, wanted[-minus], auc)
-
-
-def first_trees(model: GBTClassificationModel, n_trees: int) -> GBTClassificationModel:
-    """The model of the first ``n_trees`` trees of ``model``, as a fit of so many gives."""
-    java = model._java_obj
-    if java.getNumTrees() == n_trees:
-        return model
-    context = SparkContext._active_spark_context
-    jvm, gateway = context._jvm, context._gateway
-    trees = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n_trees)
-    weights = gateway.new_array(jvm.double, n_trees)
-    every, weight = java.trees(), java.treeWeights()
-    for i in range(n_trees):
-        trees[i], weights[i] = every[i], weight[i]
-    cut = jvm.org.apache.spark.ml.classification.GBTClassificationModel(
-        java.uid(), trees, weights, java.numFeatures(), java.numClasses()
-    )
-    made = GBTClassificationModel(cut)
-    model._copyValues(made)
-    made._transfer_params_to_java()
-    return made
-
-
-def score(model: Model, vectors: DataFrame, output: str = "score") -> DataFrame:
+    params = [boosting.grid_params(p) for p in wanted]
+    longest: dict[tuple, boosting.Params] = {}
+    for p in params:
+        key = p._replace(n_trees=0)
+        longest[key] = max(longest.get(key, p), p, key=lambda q: q.n_trees)
+    models = dict(zip(longest, boosting.fit_grid(train, list(longest.values()), cfg.random_seed), strict=True))
+    stages = {key: sorted({p.n_trees for p in params if p._replace(n_trees=0) == key}) for key in models}
+    places = [(key, n) for key in models for n in stages[key]]
+    scores = boosting.staged([(models[key], stages[key]) for key in models], val)
+    judged = val.select("lapsed", F.posexplode(scores).alias("place", "score"))
+    aucs = {r["place"]: r["roc_auc"] for r in classification_metrics(judged, by=["place"]).collect()}
+    found = [aucs.get(places.index((p._replace(n_trees=0), p.n_trees))) for p in params]
+    best = max(range(len(found)), key=lambda i: (-1.0 if found[i] is None else found[i], -i))
+    model = models[params[best]._replace(n_trees=0)].first_trees(params[best].n_trees)
+    return Selected(model, wanted[best], found[best])
+
+
+def score(model: Model | BoostedTrees, vectors: DataFrame, output: str = "score") -> DataFrame:
     """Identifiers, label and the probability of a lapse."""
     scored = model.transform(vectors)
     ids = [c for c in ("customer_id", "snapshot", "snapshot_date", "lapsed") if c in vectors.columns]
@@ -231,26 +199,17 @@ def score(model: Model, vectors: DataFrame, output: str = "score") -> DataFrame:
 
 def isotonic_calibrate(
     val_scores: DataFrame, score: str = "score", label: str = "lapsed"
-) -> IsotonicRegressionModel:
-    """Non-decreasing step from score to observed rate, fitted on validation scores.
+) -> IsotonicCurve:
+    """Non-decreasing curve from score to observed rate, fitted on validation scores.
 
-    Rows are counted per different score first: the fit sees the mean label with the
-    number of rows as weight, which gives the same curve.
+    Rows are counted per different score first; the counts are pooled in ranges of scores.
     """
-    counts = score_histogram(val_scores, score, label)
-    rows = F.col("pos") + F.col("neg")
-    weighted = counts.where(rows > 0).select(
-        "score", ratio("pos", rows).alias("rate"), as_double(rows).alias("weight")
-    )
-    regression = IsotonicRegression(
-        featuresCol="score", labelCol="rate", weightCol="weight", predictionCol="calibrated"
-    )
-    return regression.fit(weighted)
+    return IsotonicCurve(pooled_blocks(score_histogram(val_scores, score, label)))
 
 
-def calibrate(model: IsotonicRegressionModel, scored: DataFrame, score: str = "score") -> DataFrame:
+def calibrate(curve: IsotonicCurve, scored: DataFrame, score: str = "score") -> DataFrame:
     """Add ``calibrated``; scores beyond the fitted range take its ends."""
-    return model.transform(scored, {model.featuresCol: score})
+    return scored.withColumn("calibrated", curve.calibrated(F.col(score)))
 
 
 def risk_scores(scored: DataFrame, prob: str = "calibrated", bounded: bool = False) -> DataFrame:
@@ -259,10 +218,15 @@ def risk_scores(scored: DataFrame, prob: str = "calibrated", bounded: bool = Fal
     return risk_deciles(probabilities, "prob_lapse", bounded=bounded)
 
 
-def model_comparison(scored: Mapping[str, DataFrame], digits: int | None = 4) -> DataFrame:
+def model_comparison(
+    scored: Mapping[str, DataFrame],
+    digits: int | None = 4,
+    params: Mapping[str, Mapping[str, Any]] | None = None,
+) -> DataFrame:
     """One row per model: ROC-AUC, average precision, Brier score; the best AUC is marked.
 
-    Every frame needs ``lapsed`` and ``score``. All models are evaluated in one pass.
+    Every frame needs ``lapsed`` and ``score``. All models are evaluated in one pass. With ``params``
+    a column of that name has the chosen parameters of each model as JSON, NULL if it has none.
     """
     stacked = None
     for name, df in scored.items():
@@ -272,57 +236,70 @@ def model_comparison(scored: Mapping[str, DataFrame], digits: int | None = 4) ->
         raise ValueError("no scored frames given")
     found = classification_metrics(stacked, by=["model"], digits=digits)
     best = F.max_by("model", F.struct("roc_auc", "pr_auc")).over(W.partitionBy())  # few models
-    return found.withColumn("is_best", F.col("model") == best)
+    found = found.withColumn("is_best", F.col("model") == best)
+    if params is None:
+        return found
+    chosen = F.lit(None).cast("string")
+    for name, values in params.items():
+        chosen = F.when(F.col("model") == name, json.dumps(dict(values), sort_keys=True)).otherwise(chosen)
+    return found.withColumn("params", chosen)
 
 
 def feature_importance(
-    model: Model,
+    model: Model | BoostedTrees,
     vectors: DataFrame,
     features: Sequence[str] | None = None,
     n_repeats: int = 1,
     seed: int = DEFAULT.random_seed,
+    n_top: int = 5,
 ) -> DataFrame:
-    """Permutation importance: the loss of AUC when one feature takes another row's value.
-
-    Rows are put in a random order and each is paired with the next one around, so one
-    join serves all features. Then every feature is replaced in turn, all replaced rows
-    are scored in one pass, and the AUC is taken per feature.
+    """Per feature ``auc_drop``, what the AUC loses when the feature takes another row's value.
+
+    Rows lie in random groups of about SWAPPED_TOGETHER and in random order in them; each takes the
+    values of the next one around. Every feature is replaced in turn and the replaced rows are scored in
+    one pass. Scores are counted between SCORE_EDGES common edges, so nothing is sorted; scores
+    between the same edges count as ties, which moves a drop by at most ``auc_error``. A feature that
+    the model does not use drops exactly 0. ``gain`` is the share of boosted trees' own mean gains
+    (NULL for other models), ``is_top`` marks the ``n_top`` largest drops, of equals the first name.
     """
     names = list(features or feature_names())
+    n_groups = max(1, vectors.count() // SWAPPED_TOGETHER)
     rows = vectors.select("customer_id", "lapsed", vector_to_array("features").alias("own"))
-    repeats = []
+    stacked = None
     for repeat in range(n_repeats):
-        shuffled = rows.withColumn(
-            "_draw", F.xxhash64("customer_id", F.lit(seed), F.lit(repeat))
-        )
-        ranked = distributed_rank(shuffled, ["_draw", "customer_id"])
-        partner = ranked.select(
-            (F.col("rank") % F.col("n_ranked") + 1).alias("rank"), F.col("own").alias("other")
-        )
-        paired = ranked.join(partner, "rank")
-        variants = F.explode(F.sequence(F.lit(-1), F.lit(len(names) - 1)))  # -1 changes nothing
-        replaced = paired.select("lapsed", "own", "other", variants.alias("_f")).select(
-            "lapsed",
-            "_f",
-            F.when(F.col("_f") < 0, F.col("own"))
-            .otherwise(
-                F.transform(
-                    "own", lambda x, i: F.when(i == F.col("_f"), F.col("other")[i]).otherwise(x)
-                )
-            )
-            .alias("changed"),
-        )
-        inputs = replaced.select("lapsed", "_f", array_to_vector("changed").alias("features"))
-        probability = vector_to_array("probability")[1]
-        scored = model.transform(inputs).select("_f", "lapsed", probability.alias("score"))
-        repeats.append(scored.withColumn("_repeat", F.lit(repeat)))
-    stacked = repeats[0]
-    for more in repeats[1:]:
-        stacked = stacked.unionByName(more)
-    aucs = classification_metrics(stacked, by=["_repeat", "_f"])
-    base = aucs.where(F.col("_f") < 0).select("_repeat", F.col("roc_auc").alias("_base"))
+        drawn = rows.withColumn("_draw", F.xxhash64("customer_id", F.lit(seed), F.lit(repeat)))
+        group = W.partitionBy(F.pmod("_draw", F.lit(n_groups))).orderBy("_draw", "customer_id")
+        whole = group.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        other = F.coalesce(F.lead("own").over(group), F.first("own").over(whole))
+        part = drawn.select(F.lit(repeat).alias("_repeat"), "lapsed", "own", other.alias("other"))
+        stacked = part if stacked is None else stacked.unionByName(part)
+    variants = F.explode(F.sequence(F.lit(-1), F.lit(len(names) - 1)))  # -1 changes nothing
+    swapped = F.transform("own", lambda x, i: F.when(i == F.col("_f"), F.col("other")[i]).otherwise(x))
+    inputs = stacked.select("_repeat", "lapsed", "own", "other", variants.alias("_f")).select(
+        "_repeat", "lapsed", "_f", array_to_vector(swapped).alias("features")
+    )
+    probability = vector_to_array("probability")[1]
+    scored = model.transform(inputs).select("_repeat", "_f", "lapsed", probability.alias("score"))
+    counts = score_histogram(
+        scored.withColumn("score", F.floor(F.col("score") * SCORE_EDGES)), by=["_repeat", "_f"]
+    )  # at most SCORE_EDGES + 1 rows per variant
+    below = W.partitionBy("_repeat", "_f").orderBy("score").rowsBetween(W.unboundedPreceding, -1)
+    ranked = counts.withColumn("_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
+    pairs = F.nullif(F.sum(pos) * F.sum(neg), F.lit(0.0))
+    aucs = ranked.groupBy("_repeat", "_f").agg(
+        (F.sum(pos * (F.col("_below") + neg / 2)) / pairs).alias("_auc"), (F.sum(pos * neg) / 2 / pairs).alias("_error")
+    )
+    base = aucs.where(F.col("_f") < 0).select("_repeat", F.col("_auc").alias("_base"), F.col("_error").alias("_base_error"))
     drops = aucs.where(F.col("_f") >= 0).join(base, "_repeat")
     lookup = F.array(*(F.lit(name) for name in names))
-    return drops.groupBy(F.element_at(lookup, F.col("_f") + 1).alias("feature")).agg(
-        F.avg(F.col("_base") - F.col("roc_auc")).alias("auc_drop")
+    gains = model.gains() if isinstance(model, BoostedTrees) else [None] * len(names)
+    gain = F.array(*(F.lit(None if g is None else float(g)).cast("double") for g in gains))
+    found = drops.groupBy("_f").agg(
+        F.avg(F.col("_base") - F.col("_auc")).alias("auc_drop"), F.avg(F.col("_error") + F.col("_base_error")).alias("auc_error")
+    )
+    found = found.select(
+        F.element_at(lookup, F.col("_f") + 1).alias("feature"), "auc_drop", "auc_error", F.element_at(gain, F.col("_f") + 1).alias("gain")
     )
+    place = F.row_number().over(W.orderBy(F.desc_nulls_last("auc_drop"), "feature"))  # a row per feature
+    return found.withColumn("is_top", place <= n_top)

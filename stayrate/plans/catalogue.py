@@ -659,7 +659,8 @@ def model_comparison(spark, path):
             "logistic": model.score(logistic.model, test),
             "boosted": raw,
             "boosted_calibrated": calibrated,
-        }
+        },
+        params={"logistic": logistic.params, "boosted": boosted.params, "boosted_calibrated": boosted.params},
     )
 
 
@@ -692,8 +693,7 @@ def calibration_bins(spark, path):
 
 @_query
 def feature_importance(spark, path):
-    train, val, test = _vectors(_Tables(spark, path))
-    chosen = model.logistic_select(train, val, CFG.logistic_c)
+    chosen, _, test = _boosted(_Tables(spark, path))
     return model.feature_importance(chosen.model, test, snap.feature_names(CFG))
 
 

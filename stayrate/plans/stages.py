@@ -173,7 +173,8 @@ def model_stage(
             "logistic": model.score(logistic.model, test),
             "boosted": raw,
             "boosted_calibrated": probabilities,
-        }
+        },
+        params={"logistic": logistic.params, "boosted": boosted.params, "boosted_calibrated": boosted.params},
     )
     results = {
         "model_comparison": comparison,

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _shared_dir(spark: SparkSession) -> str:
+def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints; a local folder only in local mode."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -29,10 +29,10 @@ def materialise(df: DataFrame) -> DataFrame:
     For frames that several later steps read and that must not change between them:
     rows placed by range partitioning, whose sampled bounds differ from run to run.
     """
-    _shared_dir(df.sparkSession)
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a working table beside the checkpoints."""
-    return f"{_shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -123,12 +123,12 @@ def test_settings_mapping():
                 },
             },
             "affinity": {"min_support": 0.1, "min_pair_count": 50},
-            "model": {"logistic_C": [1], "xgb_param_grid": {"max_depth": [2], "subsample": [0.5]}},
+            "model": {"logistic_C": [1], "xgb_param_grid": {"max_depth": [2], "subsample": [0.5, 1]}},
             "sizing": {"target_deciles": [1, 2], "revenue_index_base": 10},
         }
     )
     assert [r.name for r in cfg.segment_rules] == ["Champions", "Lapsed"]
     assert (cfg.random_seed, cfg.n_quantiles, cfg.feature_windows_weeks) == (7, 4, (2, 6))
-    assert (cfg.min_support, cfg.min_pair_count, cfg.row_subsample) == (0.1, None, 0.5)
+    assert (cfg.min_support, cfg.min_pair_count, cfg.row_subsamples) == (0.1, None, (0.5, 1.0))
     assert (cfg.target_deciles, cfg.revenue_index_base) == ((1, 2), 10.0)
     assert config_from_mapping({}) == DEFAULT
