@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,12 +13,8 @@ from stayrate.sources.checkpoints import materialise
 
 _BASKET = ["customer_id", "t_dat"]
 
-# Up to this many different items, a basket is a set of bits in a few whole numbers.
-MAX_CODED_ITEMS = 1008
-# With more items, pairs come from a join, in which larger baskets are cut into blocks.
-MAX_BLOCK_ITEMS = 1000
-
-_WORD_BITS = 63
+#: Pairs are formed between blocks of at most so many items of a basket.
+BLOCK_ITEMS = 1000
 
 
 def basket_rows(txn: DataFrame, art: DataFrame, item_col: str = "product_type_name") -> DataFrame:
@@ -44,152 +40,95 @@ def item_counts(rows: DataFrame) -> DataFrame:
     return distinct.groupBy("item").agg(n_rows().alias("n_baskets"))
 
 
-def item_names(df: DataFrame, column: str = "item") -> list[str] | None:
-    """The different names in ``column``, sorted; None if there are too many to code as bits."""
-    different = df.where(F.col(column).isNotNull()).select(column).distinct()
-    names = sorted(row[0] for row in different.limit(MAX_CODED_ITEMS + 1).collect())
-    return names if len(names) <= MAX_CODED_ITEMS else None
-
+def item_names(df: DataFrame, column: str = "item") -> DataFrame:
+    """The different names in ``column``."""
+    return df.where(F.col(column).isNotNull()).select(F.col(column).alias("item")).distinct()
 
-def _words(names: Sequence[str]) -> list[str]:
-    return [f"word{w}" for w in range(max(1, -(-len(names) // _WORD_BITS)))]
 
+def basket_types(rows: DataFrame) -> DataFrame:
+    """Different item sets, sorted, and the number of baskets that hold exactly that set.
 
-def _coded_types(rows: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Different item sets as bits, ``word0, word1, ...``, and how many baskets hold them.
-
-    Bits are combined before the shuffle, in buffers of fixed size, so repeated items and
-    baskets of any number of rows cost nothing extra.
+    Items of a basket are gathered once each, so repeated rows cost nothing beyond the map
+    side. Small sets are repeated by many baskets, so all counts follow from far fewer rows.
     """
-    places = [(name, i // _WORD_BITS, 1 << (i % _WORD_BITS)) for i, name in enumerate(names)]
-    codes = rows.sparkSession.createDataFrame(places, "item string, word int, bit bigint")
-    # At most MAX_CODED_ITEMS rows. A missing item sets no bit but keeps its basket.
-    coded = rows.join(F.broadcast(codes), "item", "left")
-    words = _words(names)
-    unknown = F.raise_error(F.concat(F.lit("item is not among the names: "), "item")).cast("bigint")
-    bit = F.when(F.col("item").isNotNull() & F.col("word").isNull(), unknown).otherwise(F.col("bit"))
-    bits = [
-        F.coalesce(F.bit_or(F.when(F.coalesce("word", F.lit(w)) == w, bit)), F.lit(0)).alias(word)
-        for w, word in enumerate(words)
-    ]
-    sets = coded.groupBy(*_BASKET).agg(*bits)
-    return sets.groupBy(*words).agg(n_rows().alias("n"))
-
-
-def _decoded(types: DataFrame, names: Sequence[str]) -> DataFrame:
-    """``items`` (sorted) and ``n`` of coded sets."""
-    words = F.array(*_words(names))
-    held = lambda _, i: (
-        F.getbit(F.get(words, F.floor(i / _WORD_BITS).cast("int")), i % _WORD_BITS) == 1
-    )
-    everything = F.array(*(F.lit(name) for name in names)).cast("array<string>")
-    return types.select(F.filter(everything, held).alias("items"), "n")
+    sets = rows.groupBy(*_BASKET).agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return sets.groupBy("items").agg(n_rows().alias("n"))
 
 
-def basket_types(rows: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
-    """Different item sets, sorted, and the number of baskets that hold exactly that set.
+def _spread(df: DataFrame) -> DataFrame:
+    """Deal rows out evenly: they are small in bytes, but each stands for many pairs."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    Most baskets repeat a small set, so this is far smaller than the baskets, and all
-    counts follow from it. ``names`` lists the items that can occur, sorted; an item that is
-    not among them is an error. With None or more than MAX_CODED_ITEMS of them, the items of a
-    basket are gathered instead, at most one of each name.
-    """
-    if names is None or len(names) > MAX_CODED_ITEMS:
-        sets = rows.groupBy(*_BASKET).agg(F.sort_array(F.collect_set("item")).alias("items"))
-        return sets.groupBy("items").agg(n_rows().alias("n"))
-    return _decoded(_coded_types(rows, names), names)
 
+def _items_of_types(types: DataFrame) -> DataFrame:
+    """Baskets per item, and under a NULL item the number of all baskets."""
+    marked = F.concat(F.array(F.lit(None).cast("string")), "items")
+    return types.select("n", F.explode(marked).alias("item")).groupBy("item").agg(F.sum("n").alias("n_baskets"))
 
-def _counts_of_types(types: DataFrame) -> DataFrame:
-    items = types.select("n", F.explode("items").alias("item"))
-    return items.groupBy("item").agg(F.sum("n").alias("n_baskets"))
 
+def _blocks(types: DataFrame) -> DataFrame:
+    """Every two blocks of a set once: ``left`` and ``right``, which are the same for ``own``.
 
-def _pairs_of_types(types: DataFrame) -> DataFrame:
-    """Each item is combined with those after it; counts are summed before any shuffle."""
-    first = types.select("n", "items", F.posexplode("items").alias("i", "item_a"))
-    after = F.slice("items", F.col("i") + 2, F.size("items"))
-    pairs = first.select("n", "item_a", F.explode(after).alias("item_b"))
-    return pairs.groupBy("item_a", "item_b").agg(F.sum("n").alias("pair_count"))
+    Sets up to BLOCK_ITEMS have one block. Blocks of a larger set are dealt out, so no task
+    has all its pairs, and are as long as any.
+    """
+    n_blocks = F.greatest(F.ceil(F.size("items") / BLOCK_ITEMS).cast("int"), F.lit(1))
+    block = lambda i: F.slice("items", F.col(i) * BLOCK_ITEMS + 1, BLOCK_ITEMS)
+    left = types.select("n", "items", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("i"))
+    both = left.select("n", "items", "i", F.explode(F.sequence(F.col("i"), n_blocks - 1)).alias("j"))
+    cut = both.select("n", (F.col("i") == F.col("j")).alias("own"), block("i").alias("left"), block("j").alias("right"))
+    return _spread(cut)
 
 
-def _pairs_by_join(rows: DataFrame) -> DataFrame:
-    """Pairs by a join of the baskets with themselves.
+def _pairs_of_types(types: DataFrame, frequent: DataFrame | None = None) -> DataFrame:
+    """Each item is combined with those after it; counts are summed before any shuffle.
 
-    A basket with more than MAX_BLOCK_ITEMS items is cut into blocks of items, and every
-    two blocks meet under a key of their own, so that no task sees all of its pairs.
+    Only items of ``frequent`` take part, if it is given.
     """
-    items = rows.where(F.col("item").isNotNull()).select(*_BASKET, "item").distinct()
-    sizes = items.groupBy(*_BASKET).agg(n_rows().alias("size"))
-    blocks = F.ceil(F.col("size") / MAX_BLOCK_ITEMS).cast("int").alias("blocks")
-    large = sizes.where(F.col("size") > MAX_BLOCK_ITEMS).select(*_BASKET, blocks)
-    n_blocks = F.coalesce("blocks", F.lit(1))
-    cut = items.join(large, _BASKET, "left").select(
-        *_BASKET,
-        "item",
-        F.pmod(F.xxhash64("item"), n_blocks).cast("int").alias("own"),
-        F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("other"),
+    kept = lambda df, side: df if frequent is None else df.join(
+        frequent.select(F.col("item").alias(side)), side, "left_semi"
     )
-    left = cut.select(*_BASKET, F.col("item").alias("item_a"), F.col("own").alias("block_a"),
-                      F.col("other").alias("block_b"))
-    right = cut.select(*_BASKET, F.col("item").alias("item_b"), F.col("own").alias("block_b"),
-                       F.col("other").alias("block_a"))
-    paired = left.join(right, [*_BASKET, "block_a", "block_b"])
-    pairs = paired.where(F.col("item_a") < F.col("item_b")).groupBy("item_a", "item_b")
-    return pairs.agg(n_rows().alias("pair_count"))
+    first = _blocks(types).select("n", "own", "right", F.posexplode("left").alias("i", "item_a"))
+    rest = F.when(F.col("own"), F.slice("right", F.col("i") + 2, F.size("right"))).otherwise(F.col("right"))
+    pairs = kept(first, "item_a").select("n", "item_a", F.explode(rest).alias("item_b"))
+    return kept(pairs, "item_b").groupBy("item_a", "item_b").agg(F.sum("n").alias("pair_count"))
 
 
-def pair_counts(rows: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
-    """Baskets per pair of different items, ``item_a`` before ``item_b`` bytewise.
+def pair_counts(rows: DataFrame) -> DataFrame:
+    """Baskets per pair of different items, ``item_a`` before ``item_b`` bytewise."""
+    return _pairs_of_types(basket_types(rows))
 
-    ``names`` lists the items that can occur, best taken from the articles; by default
-    they are collected from ``rows``, if they are few.
-    """
-    names = item_names(rows) if names is None else names
-    if names is None or len(names) > MAX_CODED_ITEMS:
-        return _pairs_by_join(rows)
-    return _pairs_of_types(_decoded(_coded_types(rows, names), names))
+
+class _Counted(NamedTuple):
+    """What thresholds need: item sets, baskets in all, the least count, and items that reach it."""
+
+    types: DataFrame
+    total: int
+    least: int
+    frequent: DataFrame
+
+
+def _counted(rows: DataFrame, min_support: float, min_pairs: int | None) -> _Counted:
+    types = materialise(_spread(basket_types(rows)))
+    items = materialise(_items_of_types(types))
+    total = items.where(F.col("item").isNull()).agg(F.coalesce(F.sum("n_baskets"), F.lit(0))).first()[0]
+    least = max(1, int(min_support * total), min_pairs or 0)
+    return _Counted(types, total, least, items.where(F.col("item").isNotNull() & (F.col("n_baskets") >= least)))
 
 
 def affinity_pairs(
     rows: DataFrame,
     min_support: float = DEFAULT.min_support,
     min_pairs: int | None = DEFAULT.min_pair_count,
-    names: Sequence[str] | None = None,
 ) -> DataFrame:
     """Support, confidence both ways and lift of the pairs in enough baskets.
 
     A pair is kept from ``max(1, int(min_support * baskets))`` baskets on, and from
-    ``min_pairs`` if given. Items in fewer baskets cannot be part of such a pair and are
-    removed before pairs are formed. ``names`` is as in ``pair_counts``.
+    ``min_pairs`` if given. Items in fewer baskets cannot be part of such a pair and leave before
+    pairs are formed. One plan serves any number of items.
     """
-    names = item_names(rows) if names is None else names
-    coded = names is not None and len(names) <= MAX_CODED_ITEMS
-    if coded:
-        types = materialise(_coded_types(rows, names))
-        total = types.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        counts = _counts_of_types(_decoded(types, names)).collect()  # one row per name
-    else:
-        rows = materialise(rows.select(*_BASKET, "item").distinct())
-        total = n_baskets(rows).first()[0]
-    least = max(1, int(min_support * total), min_pairs or 0)
-    if coded:
-        kept = {row["item"]: row["n_baskets"] for row in counts if row["n_baskets"] >= least}
-        frequent = rows.sparkSession.createDataFrame(
-            sorted(kept.items()), "item string, n_baskets bigint"
-        )
-        masks = [0] * len(_words(names))
-        for i, name in enumerate(names):
-            masks[i // _WORD_BITS] |= (name in kept) << (i % _WORD_BITS)
-        pruned = types.select(
-            *(F.col(w).bitwiseAND(F.lit(m)).alias(w) for w, m in zip(_words(names), masks)), "n"
-        )
-        merged = pruned.groupBy(*_words(names)).agg(F.sum("n").alias("n"))
-        pairs = _pairs_of_types(_decoded(merged, names))
-    else:
-        frequent = item_counts(rows).where(F.col("n_baskets") >= least)
-        pairs = _pairs_by_join(rows.join(frequent.select("item"), "item", "left_semi"))
-
+    types, total, least, frequent = _counted(rows, min_support, min_pairs)
+    pairs = _pairs_of_types(types, frequent)
     item = lambda side: frequent.select(
         F.col("item").alias(f"item_{side}"), F.col("n_baskets").alias(f"_n_{side}")
     )
@@ -207,6 +146,44 @@ def affinity_pairs(
     )
 
 
+def affinity_triples(
+    rows: DataFrame,
+    min_support: float = DEFAULT.min_support,
+    min_pairs: int | None = DEFAULT.min_pair_count,
+) -> DataFrame:
+    """Sets of three items in enough baskets, with their support and lift.
+
+    Every two items of such a set are in as many baskets, so sets are grown from frequent
+    pairs only: a pair of a basket, then each item after it that makes frequent pairs with both.
+    Thresholds are those of ``affinity_pairs``; lift is against three independent items.
+    """
+    types, total, least, frequent = _counted(rows, min_support, min_pairs)
+    pairs = materialise(_pairs_of_types(types, frequent).where(F.col("pair_count") >= least).select("item_a", "item_b"))
+    side = lambda a, b: pairs.select(F.col("item_a").alias(a), F.col("item_b").alias(b))
+    first = types.where(F.size("items") > 2).select("n", "items", F.posexplode("items").alias("i", "item_a"))
+    first = _spread(first.join(frequent.select(F.col("item").alias("item_a")), "item_a", "left_semi"))
+    rest = F.slice("items", F.col("i") + 2, F.size("items"))
+    second = first.select("n", "item_a", rest.alias("items")).select("n", "item_a", "items", F.posexplode("items").alias("j", "item_b"))
+    second = second.join(side("item_a", "item_b"), ["item_a", "item_b"], "left_semi")
+    third = second.select("n", "item_a", "item_b", F.explode(F.slice("items", F.col("j") + 2, F.size("items"))).alias("item_c"))
+    third = third.join(side("item_a", "item_c"), ["item_a", "item_c"], "left_semi")
+    third = third.join(side("item_b", "item_c"), ["item_b", "item_c"], "left_semi")
+    counted = third.groupBy("item_a", "item_b", "item_c").agg(F.sum("n").alias("set_count")).where(F.col("set_count") >= least)
+    share = lambda column: ratio(column, F.lit(total))
+    expected = F.lit(1.0)
+    for name in ("item_a", "item_b", "item_c"):
+        counted = counted.join(frequent.select(F.col("item").alias(name), F.col("n_baskets").alias(f"_n_{name}")), name)
+        expected = expected * share(f"_n_{name}")
+    return counted.select(
+        F.col("item_a").alias("item_A"),
+        F.col("item_b").alias("item_B"),
+        F.col("item_c").alias("item_C"),
+        "set_count",
+        (share("set_count") * 100.0).alias("support_pct"),
+        ratio(share("set_count"), expected).alias("lift"),
+    )
+
+
 def affinity_top(pairs: DataFrame, n: int = DEFAULT.top_n_pairs) -> DataFrame:
     """The ``n`` pairs with the highest lift; equal lifts in the order of their names."""
     return pairs.orderBy(F.desc("lift"), "item_A", "item_B").limit(n)

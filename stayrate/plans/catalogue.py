@@ -33,6 +33,7 @@ CFG = RetentionConfig()
 # The product names of the test tables are spread so evenly that no pair reaches the
 # default support at every scale.
 PAIR_SUPPORT = 0.004
+TRIPLE_SUPPORT = 0.002
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -75,10 +76,6 @@ class _Tables:
         built = snap.snapshots(self.txn, self.cust, self.windows, CFG, articles)
         return materialise(built.select(*columns) if columns else built)
 
-    @property
-    def item_names(self) -> list[str] | None:
-        return aff.item_names(self.art, "product_type_name")
-
     def segments(self) -> DataFrame:
         return rfm.rfm_segment(rfm.rfm_scores(rfm.rfm_metrics(self.days), CFG.n_quantiles))
 
@@ -733,32 +730,44 @@ def item_counts(spark, path):
 @_query
 def basket_types(spark, path):
     t = _Tables(spark, path, "p_brand")
-    types = aff.basket_types(aff.basket_rows(t.txn, t.art), t.item_names)
+    types = aff.basket_types(aff.basket_rows(t.txn, t.art))
     return types.select(F.array_join("items", "|").alias("items"), "n")
 
 
 @_query
 def pair_counts(spark, path):
     t = _Tables(spark, path, "p_brand")
-    return aff.pair_counts(aff.basket_rows(t.txn, t.art), t.item_names)
+    return aff.pair_counts(aff.basket_rows(t.txn, t.art))
 
 
 @_query
 def affinity_pairs(spark, path):
     t = _Tables(spark, path)
     rows = aff.basket_rows(t.txn, t.art)
-    return aff.affinity_pairs(rows, PAIR_SUPPORT, names=t.item_names)
+    return aff.affinity_pairs(rows, PAIR_SUPPORT)
 
 
 @_query
 def affinity_top(spark, path):
     t = _Tables(spark, path, "p_brand")
-    pairs = aff.affinity_pairs(
-        aff.basket_rows(t.txn, t.art), CFG.min_support, names=t.item_names
-    )
+    pairs = aff.affinity_pairs(aff.basket_rows(t.txn, t.art), CFG.min_support)
     return aff.affinity_top(pairs, CFG.top_n_pairs)
 
 
+@_query
+def affinity_triples(spark, path):
+    t = _Tables(spark, path, "p_brand")
+    return _rounded(aff.affinity_triples(aff.basket_rows(t.txn, t.art), TRIPLE_SUPPORT), 9, "lift")
+
+
+@_query
+def affinity_pairs_articles(spark, path):
+    """Pairs of single articles, of which there are thousands."""
+    t = _Tables(spark, path)
+    rows = aff.basket_rows(t.txn, t.art.withColumn("name", F.col("article_id").cast("string")), "name")
+    return _rounded(aff.affinity_pairs(rows, 0.0, 2), 9, "lift")
+
+
 # Sizing and headline numbers
 
 
@@ -814,7 +823,7 @@ def headline_kpis(spark, path):
     spend = sizing.window_spend(t.days, t.days_test_date, CFG.label_window_weeks)
     value = materialise(sizing.cohort_value(risk, segments, spend))
     rows = aff.basket_rows(t.txn, t.art)
-    pairs = aff.affinity_pairs(rows, PAIR_SUPPORT, names=t.item_names)
+    pairs = aff.affinity_pairs(rows, PAIR_SUPPORT)
     found = kpis.headline_kpis(
         rfm.segment_summary(segments),
         cohorts.avg_retention(cohorts.retention_matrix(_retention(t))),

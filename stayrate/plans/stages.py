@@ -192,9 +192,9 @@ def affinity_stage(
     store: Store, cfg: RetentionConfig = DEFAULT, item_col: str = "product_type_name"
 ) -> DataFrame:
     txn, art = store.data("transactions"), store.data("articles")
-    names = affinity.item_names(art, item_col)
     rows = affinity.basket_rows(txn, art, item_col)
-    pairs = affinity.affinity_pairs(rows, cfg.min_support, cfg.min_pair_count, names)
+    store.save_result("n_baskets", affinity.n_baskets(rows))
+    pairs = affinity.affinity_pairs(rows, cfg.min_support, cfg.min_pair_count)
     return store.save_result("affinity_top_pairs", affinity.affinity_top(pairs, cfg.top_n_pairs), "csv")
 
 

@@ -832,6 +832,18 @@ def _affinity(item: str, support: float) -> tuple[str, ...]:
 
 _TOP = "FROM affinity ORDER BY lift DESC, item_A, item_B LIMIT"
 
+
+def _article_pairs() -> tuple[str, ...]:
+    pairs = _affinity("CAST(p_partkey AS VARCHAR)", 0)
+    return (*pairs[:-1], pairs[-1].replace("greatest(1, ", "greatest(2, "))
+
+
+_TRIPLES = """triples AS (
+  SELECT a.item AS item_A, b.item AS item_B, c.item AS item_C, count(*) AS set_count
+  FROM baskets a JOIN baskets b ON a.customer_id = b.customer_id AND a.t_dat = b.t_dat AND a.item < b.item
+  JOIN baskets c ON a.customer_id = c.customer_id AND a.t_dat = c.t_dat AND b.item < c.item
+  GROUP BY 1, 2, 3)"""
+
 ORACLES.update(
     {
         "baskets": _with(_TXN, _art(), _BASKETS)
@@ -847,6 +859,14 @@ ORACLES.update(
     FROM baskets GROUP BY customer_id, t_dat) GROUP BY items""",
         "pair_counts": _with(_TXN, _art("p_brand"), _BASKETS, _PAIRS) + "SELECT * FROM pairs",
         "affinity_pairs": _with(_TXN, *_affinity("p_name", 0.004)) + "SELECT * FROM affinity",
+        "affinity_pairs_articles": _with(_TXN, *_article_pairs())
+        + "SELECT * REPLACE (round(lift, 9) AS lift) FROM affinity",
+        "affinity_triples": _with(_TXN, _art("p_brand"), _BASKETS, _ITEMS, _TOTAL, _TRIPLES)
+        + """SELECT item_A, item_B, item_C, set_count, CAST(set_count AS DOUBLE) / t.n * 100.0 AS support_pct,
+    round(CAST(set_count AS DOUBLE) / t.n / (CAST(a.n AS DOUBLE) / t.n * (CAST(b.n AS DOUBLE) / t.n)
+      * (CAST(c.n AS DOUBLE) / t.n)), 9) AS lift
+  FROM triples JOIN items a ON a.item = item_A JOIN items b ON b.item = item_B JOIN items c ON c.item = item_C, total t
+  WHERE set_count >= greatest(1, floor(CAST(0.002 AS DOUBLE) * t.n))""",
         "affinity_top": _with(_TXN, *_affinity("p_brand", 0.005)) + f"SELECT * {_TOP} 20",
     }
 )

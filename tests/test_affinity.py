@@ -38,13 +38,11 @@ def random_baskets(request):
     return [*contents, [None], [None, "i000"], names * 3]  # the last one holds every item
 
 
-@pytest.fixture(params=["bits", "join", "blocks"])
+@pytest.fixture(params=["whole", "blocks"])
 def form(request, monkeypatch):
-    """Run a test on each way to count pairs."""
-    if request.param != "bits":
-        monkeypatch.setattr(aff, "MAX_CODED_ITEMS", 2)
+    """Run a test with whole sets and with sets cut into blocks."""
     if request.param == "blocks":
-        monkeypatch.setattr(aff, "MAX_BLOCK_ITEMS", 2)
+        monkeypatch.setattr(aff, "BLOCK_ITEMS", 2)
 
 
 def test_hand_made_example(spark, form):
@@ -122,14 +120,44 @@ def test_lookup_join_rejects_other_joins(spark):
         lookup_join(spark.range(1), spark.range(1), "id", "full")
 
 
-def test_basket_types_with_more_names_than_bits(spark):
+def test_large_and_repeated_sets(spark):
     names = [f"i{k:04d}" for k in range(1500)]
     rows = baskets(spark, [names, names[:2], names[:2], [None]])
-    found = {tuple(r["items"]): r.n for r in aff.basket_types(rows, aff.item_names(rows)).collect()}
+    found = {tuple(r["items"]): r.n for r in aff.basket_types(rows).collect()}
     assert found == {tuple(names): 1, tuple(names[:2]): 2, (): 1}
+    assert aff.pair_counts(rows).agg(F.count("*"), F.max("pair_count")).first()[:] == (1500 * 1499 // 2, 3)
 
 
-def test_items_that_are_not_among_the_names_are_an_error(spark):
-    rows = baskets(spark, [["a", "b", "c"]])
-    with pytest.raises(Exception, match="not among the names"):
-        aff.pair_counts(rows, ["a", "b"]).collect()
+@pytest.mark.parametrize("n_items", [64, 5000])
+def test_one_plan_for_any_number_of_items(spark, n_items):
+    """The same operators, pairs dealt out over all partitions, no interpreted filter per set."""
+    rng = np.random.default_rng(3)
+    rows = baskets(spark, [[f"i{k:04d}" for k in rng.integers(0, n_items, 4)] for _ in range(200)])
+    pairs = aff.affinity_pairs(rows, 0.0, 1)
+    plan = plan_of(pairs)
+    assert "REPARTITION_BY_NUM" in plan and "filter(" not in plan
+    steps = [line.split("[")[0].strip(" +-:*(0123456789)").split(" ")[0] for line in plan.splitlines()]
+    if not hasattr(test_one_plan_for_any_number_of_items, "steps"):
+        test_one_plan_for_any_number_of_items.steps = steps
+    assert steps == test_one_plan_for_any_number_of_items.steps
+
+
+def brute_triples(contents, least):
+    found = Counter()
+    for items in contents:
+        found.update(itertools.combinations(sorted({i for i in items if i is not None}), 3))
+    return {k: n for k, n in found.items() if n >= least}
+
+
+@pytest.mark.parametrize("floor", [None, 3])
+def test_triples_equal_brute_force(spark, random_baskets, floor):
+    contents = [items if len(items) < 50 else items[:20] for items in random_baskets]
+    rows = baskets(spark, contents)
+    least = max(1, int(0.004 * len(contents)), floor or 0)
+    found = aff.affinity_triples(rows, 0.004, floor).collect()
+    assert {(r.item_A, r.item_B, r.item_C): r.set_count for r in found} == brute_triples(contents, least)
+    share = Counter(i for items in contents for i in set(items))
+    some = found[0]
+    expected = some.set_count / len(contents) / np.prod([share[i] / len(contents) for i in some[:3]])
+    assert some.lift == pytest.approx(expected)
+    assert aff.affinity_triples(rows.limit(0)).count() == 0
