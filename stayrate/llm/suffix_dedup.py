@@ -79,10 +79,10 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = pa.array(owner + a)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id").take(rows), batch.column("crc").take(rows), pa.array(gram), pa.array(context),
+                    batch.column("id").take(rows), batch.column("mark").take(rows), pa.array(gram), pa.array(context),
                     pa.array(first.astype(np.int32)), pa.array(number.astype(np.int32)),
                 ],
-                ["id", "crc", "gram", "context", "first", "number"],
+                ["id", "mark", "gram", "context", "first", "number"],
             )
 
 
@@ -91,7 +91,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
         blobs = [pack.compress((text or "").encode()) for text in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("crc"), pa.array(blobs, pa.binary())], ["id", "crc", "packed"]
+            [batch.column("id"), batch.column("mark"), pa.array(blobs, pa.binary())], ["id", "mark", "packed"]
         )
 
 
@@ -230,36 +230,37 @@ def remove_repeats(docs: DataFrame, keep: bool = False, id_column: str = "doc_id
     that starts anywhere else too, in the same document or another, overlapping or not; strings
     do not cross documents and are judged on the input. ``n_spans`` counts the maximal removed
     runs. With ``keep`` the remaining bytes are returned as ``kept``. Rows that repeat an id and a
-    text count as documents of their own, and a null id is an id like others. Ids are whole
+    text count as documents of their own, and a null id is an id like others; texts of one id are told
+    apart by 128 bits of their hash. Ids are whole
     numbers. Empty tables give an empty result; other columns are ignored.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
     plain = docs.select(
-        F.col(id_column).cast("long").alias("id"), F.crc32(F.encode(text, "UTF-8")).alias("crc"), text.alias("text")
+        F.col(id_column).cast("long").alias("id"), F.unhex(F.md5(F.encode(text, "UTF-8"))).alias("mark"), text.alias("text")
     )
     runs = stored(
-        plain.mapInArrow(_anchor_rows, "id long, crc long, gram long, context long, first int, number int"), "anchors"
+        plain.mapInArrow(_anchor_rows, "id long, mark binary, gram long, context long, first int, number int"), "anchors"
     )
     often = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
     shared = stored(runs.join(often, "gram", "left_semi"), "shared")
     # Of equal contexts one is sorted.
     alike = shared.groupBy("gram", "context", "number").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(F.coalesce("id", F.lit(0)), "id", "crc", "first")).alias("at")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct(F.coalesce("id", F.lit(0)), "id", "mark", "first")).alias("at")
     )
     sent = stored(
-        alike.select("gram", "context", "number", (F.col("n") > 1).alias("many"), "at.id", "at.crc", "at.first"), "sent"
+        alike.select("gram", "context", "number", (F.col("n") > 1).alias("many"), "at.id", "at.mark", "at.first"), "sent"
     )
     weight = F.sum(F.col("number") + LENGTH)
     size = sent.agg(weight.alias("bytes")).first()["bytes"] or 0
     # No more of them than bytes of contexts / HEAVY_BYTES.
     heavy = stored(sent.groupBy("gram").agg(weight.alias("bytes")).where(F.col("bytes") > HEAVY_BYTES).select("gram"), "heavy")
     marked = sent.join(F.broadcast(heavy.withColumn("heavy", F.lit(True))), "gram", "left").fillna(False, ["heavy"])
-    wanted = marked.groupBy("id", "crc").agg(
+    wanted = marked.groupBy("id", "mark").agg(
         F.collect_list(F.struct("gram", "context", "number", "many", "heavy", "first")).alias("wanted")
     )
-    packed = plain.mapInArrow(_packed, "id long, crc long, packed binary")
-    same = lambda other: F.col("id").eqNullSafe(F.col(f"{other}_id")) & (F.col("crc") == F.col(f"{other}_crc"))
-    named = lambda df, other: df.withColumnsRenamed({"id": f"{other}_id", "crc": f"{other}_crc"})
+    packed = plain.mapInArrow(_packed, "id long, mark binary, packed binary")
+    same = lambda other: F.col("id").eqNullSafe(F.col(f"{other}_id")) & (F.col("mark") == F.col(f"{other}_mark"))
+    named = lambda df, other: df.withColumnsRenamed({"id": f"{other}_id", "mark": f"{other}_mark"})
     bodies = packed.join(named(wanted, "w"), same("w")).mapInArrow(
         _contexts, "gram long, context long, number int, many boolean, heavy boolean, body binary"
     )
@@ -273,10 +274,10 @@ def remove_repeats(docs: DataFrame, keep: bool = False, id_column: str = "doc_id
     if heavy.limit(1).count():
         found = found.unionByName(_repeated_windows(judged.where("digest IS NOT NULL")))
     placed = shared.join(found, ["gram", "context"]).select(
-        "id", "crc", (F.col("first") + F.col("offset")).alias("from"),
+        "id", "mark", (F.col("first") + F.col("offset")).alias("from"),
         (F.col("first") + F.col("offset") + F.col("run") + (LENGTH - 1)).alias("to"),
     )
-    spans = placed.distinct().groupBy("id", "crc").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    spans = placed.distinct().groupBy("id", "mark").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep
     made = packed.join(named(spans, "s"), same("s"), "left").mapInArrow(_cut(keep), schema)
     return made.withColumnRenamed("id", id_column)

@@ -87,6 +87,32 @@ def test_suffix_dedup(docs, rows, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_suffix_dedup_of_one_id_and_checksum(spark, doc_id):
+    """Two texts with one id (or none) and one CRC-32 are two documents."""
+    random.seed(6)
+    letters = lambda n: bytes(random.choices(b"abcdefghij ", k=n))
+    passage, seen_sums = letters(260), {}
+    while True:  # about 80,000 draws
+        text = letters(9) + passage + letters(9)
+        other = seen_sums.setdefault(zlib.crc32(text), text)
+        if other != text:
+            break
+    first, second = other, text
+    texts = [first, second, passage]
+    rows = [(doc_id, t.decode(), "s", 1, "k", 1, "i") for t in texts]
+    found = suffix_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()
+    seen = collections.Counter(t[1].encode()[p : p + 200] for t in rows for p in range(len(t[1].encode()) - 199))
+    expected = []
+    for t in rows:
+        b, gone = t[1].encode(), set()
+        for p in range(len(b) - 199):
+            if seen[b[p : p + 200]] > 1:
+                gone.update(range(p, p + 200))
+        expected.append((len(b), len(gone)))
+    assert sorted((r.n_bytes, r.n_removed) for r in found) == sorted(expected)
+
+
 def test_suffix_dedup_of_a_passage_in_many_contexts(spark, monkeypatch):
     """One anchor's contexts never meet in one shard, and the result is that of brute force."""
     random.seed(11)
