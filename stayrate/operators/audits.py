@@ -31,7 +31,8 @@ def _purchase_dates(txn: DataFrame) -> DataFrame:
 
 
 def _snapshot_dates(snap: DataFrame) -> list[datetime.date]:
-    return [row[0] for row in snap.select("snapshot_date").distinct().collect()]
+    """The different dates; of an empty snapshot one at which nothing happened."""
+    return [row[0] for row in snap.select("snapshot_date").distinct().collect()] or [datetime.date(1970, 1, 1)]
 
 
 def audit_feature_dates(txn: DataFrame, snap: DataFrame) -> DataFrame:

@@ -67,16 +67,17 @@ class Tree(NamedTuple):
         n = 2 ** (depth + 1) - 1
         return cls(np.full(n, -1, np.int16), np.zeros(n, np.uint8), np.zeros(n, np.float32), np.zeros(n, np.float32))
 
+    def step(self, bins: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Where rows at ``node`` are one level on; those at leaves stay."""
+        feature = self.feature[node]
+        right = bins[np.arange(len(bins)), np.maximum(feature, 0)] > self.split[node]
+        return np.where(feature >= 0, 2 * node + 1 + right, node)
+
     def nodes(self, bins: np.ndarray, levels: int) -> np.ndarray:
         """Where rows are after ``levels`` steps."""
-        node, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
+        node = np.zeros(len(bins), np.int64)
         for _ in range(levels):
-            feature = self.feature[node]
-            inner = feature >= 0
-            if not inner.any():
-                break
-            right = bins[rows, np.maximum(feature, 0)] > self.split[node]
-            node = np.where(inner, 2 * node + 1 + right, node)
+            node = self.step(bins, node)
         return node
 
 
@@ -102,19 +103,33 @@ def gradients(label: np.ndarray, margin: np.ndarray, positive_weight: float) ->
     return weight * (p - label), weight * p * (1 - p)
 
 
-def level_sums(block: Block, margin: np.ndarray, params: Params, tree: Tree, number: int, level: int, opened: np.ndarray, seed: int) -> np.ndarray:
-    """Gradients and curvatures of the ``opened`` nodes of a level: 2 x nodes x features x bins."""
+class Sample(NamedTuple):
+    """What a tree is grown from: rows, their cells (feature and bin), gradients and curvatures."""
+
+    rows: np.ndarray
+    cells: np.ndarray
+    both: tuple[np.ndarray, np.ndarray]
+
+
+def sampled(block: Block, margin: np.ndarray, params: Params, number: int, seed: int) -> Sample:
+    """The sample of tree ``number`` of a model."""
     features = tree_features(block.bins.shape[1], params.feature_share, seed, number)
-    place = np.full(2 ** (params.max_depth + 1), -1, np.int64)
+    rows = np.flatnonzero(tree_rows(block.draw, params.row_share, seed, number))
+    cells = block.bins[np.ix_(rows, features)] + np.arange(len(features), dtype=np.int32) * BINS
+    return Sample(rows, cells, gradients(block.label[rows], margin[rows], params.positive_weight))
+
+
+def level_sums(sample: Sample, node: np.ndarray, opened: np.ndarray) -> np.ndarray:
+    """Gradients and curvatures of the ``opened`` nodes of a level, given each row's node: 2 x nodes x features x bins."""
+    place = np.full(max(int(opened.max()), int(node.max(initial=0))) + 1, -1, np.int64)
     place[opened] = np.arange(len(opened))
-    at = place[tree.nodes(block.bins, level)]
-    at[~tree_rows(block.draw, params.row_share, seed, number)] = -1
+    at = place[node[sample.rows]]
     there = np.flatnonzero(at >= 0)
-    width = len(features) * BINS
-    cell = block.bins[np.ix_(there, features)] + np.arange(len(features)) * BINS + (at[there] * width)[:, None]
-    both = [np.repeat(x[there], len(features)) for x in gradients(block.label, margin, params.positive_weight)]
-    size = len(opened) * width
-    return np.stack([np.bincount(cell.ravel(), x, size) for x in both]).reshape(2, len(opened), len(features), BINS)
+    n_features = sample.cells.shape[1]
+    cell = (sample.cells[there] + (at[there] * (n_features * BINS))[:, None]).ravel()
+    size = len(opened) * n_features * BINS
+    sums = [np.bincount(cell, np.repeat(x[there], n_features), size) for x in sample.both]
+    return np.stack(sums).reshape(2, len(opened), n_features, BINS)
 
 
 def best_splits(sums: np.ndarray) -> np.ndarray:
@@ -153,12 +168,13 @@ def grow_beside(block: Block, params: Params, seed: int) -> list[Tree]:
     for number in range(params.n_trees):
         tree, opened = Tree.of_depth(params.max_depth), np.zeros(1, np.int64)
         features = tree_features(block.bins.shape[1], params.feature_share, seed, number)
-        for level in range(params.max_depth):
-            sums = level_sums(block, margin, params, tree, number, level, opened, seed)
-            opened = split_nodes(tree, opened, best_splits(sums), features, params.learning_rate)
+        sample, node = sampled(block, margin, params, number, seed), np.zeros(len(margin), np.int64)
+        for _ in range(params.max_depth):
+            opened = split_nodes(tree, opened, best_splits(level_sums(sample, node, opened)), features, params.learning_rate)
             if not len(opened):
                 break
-        margin += tree.value[tree.nodes(block.bins, params.max_depth)]
+            node = tree.step(block.bins, node)
+        margin += tree.value[node]
         trees.append(tree)
     return trees
 
@@ -178,7 +194,8 @@ def grow_together(blocks: RDD, n_features: int, grid: Sequence[Params], seed: in
 
             def sums(one, live=live, trees=trees, number=number, level=level):
                 block, margins = one
-                return [(i, level_sums(block, margins[i], grid[i], trees[i], number, level, live[i], seed)) for i in live]
+                samples = {i: sampled(block, margins[i], grid[i], number, seed) for i in live}
+                return [(i, level_sums(samples[i], trees[i].nodes(block.bins, level), live[i])) for i in live]
 
             found = state.flatMap(sums).reduceByKey(np.add).mapValues(best_splits).collect()
             for i, splits in found:

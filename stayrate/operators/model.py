@@ -80,10 +80,12 @@ def fit_standardiser(train: DataFrame) -> PipelineModel:
     Spark divides by the sample deviation; the second stage makes up for the difference.
     ``sample_scaled`` holds the values between the two.
     """
+    n = train.count()
+    if not n:
+        raise ValueError("no rows to fit on")
     scaler = StandardScaler(
         inputCol="features", outputCol="sample_scaled", withMean=True, withStd=True
     ).fit(train)
-    n = train.count()
     factor = math.sqrt(n / max(n - 1, 1))
     weights = Vectors.dense([factor] * scaler.mean.size)
     product = ElementwiseProduct(scalingVec=weights, inputCol="sample_scaled", outputCol="scaled")

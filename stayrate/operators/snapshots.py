@@ -79,9 +79,16 @@ def snapshot_calendar(
 
 
 def snapshot_windows(txn: DataFrame, cfg: RetentionConfig = DEFAULT) -> list[SnapshotWindow]:
-    """The three rows of ``snapshot_calendar``, read so that dates become scan filters."""
-    calendar = snapshot_calendar(txn, cfg.label_window_weeks, cfg.snapshot_spacing_weeks)
-    return sorted((SnapshotWindow(*row) for row in calendar.collect()), key=lambda w: w.date)
+    """The three rows of ``snapshot_calendar``, read so that dates become scan filters.
+
+    Without transactions the dates count back from 1970, so that what is built on them is empty.
+    """
+    weeks = cfg.label_window_weeks, cfg.snapshot_spacing_weeks
+    rows = snapshot_calendar(txn, *weeks).collect()
+    if not rows:
+        day = txn.sparkSession.range(1).select(_date(datetime.date(1970, 1, 1)).alias("t_dat"))
+        rows = snapshot_calendar(day, *weeks).collect()
+    return sorted((SnapshotWindow(*row) for row in rows), key=lambda w: w.date)
 
 
 def window_at(
