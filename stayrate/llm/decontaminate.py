@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stayrate.llm.native import row_key, shingles, stored
+from stayrate.llm.native import row_digest, shingles, stored
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 
@@ -117,9 +117,11 @@ def contained_items(
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that contain no item; ``options`` as for ``contained_items``.
 
-    Rows are judged by id and text: other texts of an id, and other rows without one, stay.
+    Rows are judged by id and text: other texts of an id, and other rows without one, stay. Rows keep
+    all their columns, whatever their names; null and empty texts contain nothing and stay.
     """
-    id_column, text_column = options.pop("id_column", "doc_id"), options.get("text_column", "text")
-    keyed = docs.withColumn("_row", row_key(F.col(id_column), F.col(text_column)))
-    found = contained_items(keyed, items, id_column="_row", **options).select("_row").distinct()
-    return keyed.join(found, "_row", "left_anti").select(*docs.columns)
+    id_column, text_column = options.pop("id_column", "doc_id"), options.pop("text_column", "text")
+    row = row_digest(F.col(id_column), F.col(text_column)).alias("row")
+    found = contained_items(docs.select(row, F.col(text_column).alias("text")), items, id_column="row", **options)
+    whole = docs.select(row, F.expr("struct(*)").alias("doc"))
+    return whole.join(found.select("row").distinct(), "row", "left_anti").select("doc.*")

@@ -45,6 +45,16 @@ def row_key(*columns: Column) -> Column:
     return F.xxhash64(*(x for c in columns for x in (c.isNull(), c)))
 
 
+def _spelled(value: Column) -> Column:
+    return F.when(value.isNull(), "-").otherwise(F.concat(F.octet_length(value).cast("string"), F.lit(":"), value))
+
+
+def row_digest(*columns: Column) -> Column:
+    """128 bits that rows with equal values share; null differs from every value."""
+    parts = [_spelled(c.cast("string")) for c in columns]
+    return F.md5(F.concat(*parts).cast("binary"))
+
+
 def table(spark, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 

@@ -82,8 +82,8 @@ def _scheduler(n_shards: int):
 def assign_shards(groups: DataFrame, n_shards: int, key: str = "key", size: str = "size") -> DataFrame:
     """``key`` and ``shard`` for groups of ``size`` (at least 1); keys must be unique."""
     by_size = groups.groupBy(F.col(size).alias("size")).agg(F.count(F.lit(1)).alias("n"))
-    # One task reads one row per different size: at most sqrt(2 * total size) of them.
-    spans = by_size.coalesce(1).sortWithinPartitions(F.desc("size")).mapInArrow(_scheduler(n_shards), SPANS)
+    # Summed in many tasks; one then reads a row per different size, at most sqrt(2 * total size) of them.
+    spans = by_size.repartition(1).sortWithinPartitions(F.desc("size")).mapInArrow(_scheduler(n_shards), SPANS)
     spans = stored(spans, "spans")
     ranked = distributed_rank(groups.select(F.col(key).alias("key"), F.col(size).alias("size")), ["size", "key"])
     starts = stored(ranked, "ranked")

@@ -5,6 +5,7 @@ import json
 from random import Random
 
 import pytest
+from pyspark.sql import functions as F
 
 from stayrate.llm import token_counts, tool_calls, url_filter
 from tests.conftest import TEST_DATA
@@ -185,3 +186,26 @@ def test_stages_judge_rows(spark, tmp_path):
 
     plan = mixing.mix(docs, mixing.quality_weights(labels)).collect()
     assert all(abs(taken[r.source] - r.target) <= 16 for r in plan)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns with the names that stages use inside come through unharmed, and decide nothing."""
+    import corpus_pipeline
+
+    plain = spark.read.parquet(f"{TEST_DATA}/documents.parquet")
+    names = ["times", "most", "n", "nr", "row", "_row", "_again", "_nr", "score", "score_", "doc", "again", "copy"]
+    docs = plain.select("*", *(F.concat(F.lit(f"{name}:"), "doc_id").alias(name) for name in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        found, expected = stage(spark, docs, TEST_DATA), stage(spark, plain, TEST_DATA)
+        assert found.columns == docs.columns, name
+        rows = [r.asDict() for r in found.collect()]
+        assert all(r[x] == f"{x}:{r['doc_id']}" for r in rows for x in names), name
+        assert sorted(r["doc_id"] for r in rows) == sorted(r.doc_id for r in expected.select("doc_id").collect()), name
+
+
+def test_pipeline_on_empty_documents(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{TEST_DATA}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, TEST_DATA).count() == 0, name
