@@ -18,6 +18,11 @@ def nothing(spark, tmp_path_factory):
     return path
 
 
+@pytest.fixture(autouse=True)
+def one_partition(confs):
+    confs(spark__sql__shuffle__partitions="1")
+
+
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - FITS))
 def test_query_on_empty_tables(spark, nothing, name):
     found = catalogue.QUERIES[name](spark, nothing)
