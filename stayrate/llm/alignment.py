@@ -15,6 +15,7 @@ cells of a batch are aligned once.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable, Iterator
 from itertools import chain
 from typing import NamedTuple
@@ -84,7 +85,7 @@ class Aligner:
         self.n_ids = max(n_a, len(self.b.pieces))
         self.shown = pa.array([f"{i}{end}" for end in ",|;" for i in range(self.n_ids)] + list(map(str, range(self.n_ids))), pa.string())
         self.kind = np.zeros(0x110000, np.uint8)
-        self.block: int | None = None
+        self.block: str | None = None
         self.counts: Known | None = None
         self.forget()
 
@@ -385,11 +386,13 @@ _FACTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 def _looked_up(shipped, block, last: bool):
     """Align again and add what this block of counts has; the last block gives the groups too."""
 
+    token = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ours = aligner(*shipped.value)
-        if ours.block != block.id:  # cells keep what a block knows of them
+        if ours.block != token:  # cells keep what a block knows of them
             ours.forget()
-            ours.block, ours.counts = block.id, Known(*block.value)
+            ours.block, ours.counts = token, Known(*block.value)
         known = ours.counts
         for batch in batches:
             for a, b, codes, different, first in ours.cut(batch.column(1)):
