@@ -125,8 +125,7 @@ def test_uneven_articles_and_baskets(spark, uneven, no_broadcast, monkeypatch):
     found = {(r.item_a, r.item_b): r.pair_count for r in aff.pair_counts(rows).collect()}
     assert found == expected
     assert "_salt" in plan_of(rows)
-    monkeypatch.setattr(aff, "MAX_CODED_ITEMS", 6)
-    monkeypatch.setattr(aff, "MAX_BLOCK_ITEMS", 6)
+    monkeypatch.setattr(aff, "BLOCK_ITEMS", 6)
     assert {(r.item_a, r.item_b): r.pair_count for r in aff.pair_counts(rows).collect()} == expected
     mix = {r.product_group_name: r.revenue for r in descriptives.product_mix(txn, art).collect()}
     groups = pdf.price.groupby(pdf.article_id.map({a: f"g{i % 4}" for i, a in enumerate(names)})).sum()
