@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -79,9 +80,37 @@ def sizes_of(activity: DataFrame, key: str) -> DataFrame:
     return at_first.groupBy(key).agg(F.sum("n_customers").alias("cohort_size"))
 
 
+def at_risk(activity: DataFrame, key: str, last_month: str | datetime.date | None = None) -> DataFrame:
+    """Per value of ``key`` and month: customers whose month lies inside the data, as ``cohort_size``.
+
+    ``last_month`` is any day of the last month that counts, by default the last with activity; give
+    the month before it if the data ends within a month. What is spread over months are
+    the cohorts of each key, not customers.
+    """
+    if last_month is None:
+        last_month = activity.agg(F.max("activity_month")).first()[0]  # one value
+    last = month_start(F.lit(last_month).cast("date"))
+    first = activity.where((F.col("months_since") == 0) & (F.col("cohort_month") <= last))
+    starts = first.groupBy(key, F.col("cohort_month").alias("_start")).agg(F.sum("n_customers").alias("_n"))
+    months = F.sequence(F.lit(0).cast("bigint"), months_after(last, "_start"))
+    spread = starts.select(key, "_n", F.explode(months).alias("months_since"))
+    return spread.groupBy(key, "months_since").agg(F.sum("_n").alias("cohort_size"))
+
+
 def _retention(activity: DataFrame, sizes: DataFrame, key: str, digits: int | None) -> DataFrame:
+    """Active customers over ``sizes``, which may be per key or, from ``at_risk``, per key and month.
+
+    Keys may be missing, as first channels are.
+    """
     active = activity.groupBy(key, "months_since").agg(F.sum("n_customers").alias("n_customers"))
-    return active.join(sizes, key).select(
+    by_month = "months_since" in sizes.columns
+    renamed = sizes.select(
+        F.col(key).alias("_key"), "cohort_size", *([F.col("months_since").alias("_month")] if by_month else [])
+    )
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    if by_month:
+        same = same & (F.col("months_since") == F.col("_month"))
+    return active.join(renamed, same).select(
         key,
         "months_since",
         "n_customers",
@@ -98,8 +127,8 @@ def cohort_retention(activity: DataFrame, sizes: DataFrame, digits: int | None =
 def channel_retention(activity: DataFrame, sizes: DataFrame, digits: int | None = 1) -> DataFrame:
     """Percent of each first channel's customers active, by months since the first purchase.
 
-    All customers of the channel are in the denominator, also those whose month lies
-    after the end of the data.
+    With ``channel_sizes`` all customers of the channel are in the denominator, also those whose month
+    lies after the end of the data; with ``at_risk(activity, "first_channel")`` only the others are.
     """
     return _retention(activity, sizes, "first_channel", digits)
 
@@ -139,3 +168,18 @@ def channel_gap_m6(
         F.abs(a - b).alias("gap_pp"),
         better.alias("better_channel"),
     )
+
+
+def channel_gaps(retention: DataFrame, month: int = 6) -> DataFrame:
+    """Every first channel's retention after ``month`` months and how far it lies below the best.
+
+    Channels that nobody came back to in that month, or whose month lies after the data, have 0
+    active customers if ``retention`` has them in month 0. A missing channel is a group of its own.
+    """
+    at = lambda column: F.max(F.when(F.col("months_since") == month, F.col(column)))
+    per_channel = retention.groupBy("first_channel").agg(
+        F.coalesce(at("n_customers"), F.lit(0)).alias("n_active"),
+        F.coalesce(as_double(at("retention_pct")), F.lit(0.0)).alias("retention_pct"),
+    )
+    best = F.max("retention_pct").over(W.partitionBy())  # one row per channel
+    return per_channel.withColumn("gap_pp", best - F.col("retention_pct"))

@@ -49,11 +49,9 @@ def q_missing_age(cust: DataFrame) -> DataFrame:
     return counts.withColumn("pct", share_pct("n_missing", "n_customers", 2))
 
 
-def q_implausible_age(
-    cust: DataFrame, lo: int = DEFAULT.min_age, hi: int = DEFAULT.max_age
-) -> DataFrame:
+def _implausible_age(per_age: DataFrame, lo: int, hi: int) -> DataFrame:
     age = F.col("age")
-    return value_counts(cust, "age").agg(  # one row per age
+    return per_age.agg(
         _total(age < lo).alias("n_under"),
         _total(age > hi).alias("n_over"),
         _total((age < lo) | (age > hi)).alias("n_implausible"),
@@ -63,6 +61,12 @@ def q_implausible_age(
     )
 
 
+def q_implausible_age(
+    cust: DataFrame, lo: int = DEFAULT.min_age, hi: int = DEFAULT.max_age
+) -> DataFrame:
+    return _implausible_age(value_counts(cust, "age"), lo, hi)  # one row per age
+
+
 def _without_txn(cust: DataFrame, per_customer: DataFrame) -> DataFrame:
     buyers = per_customer.select("customer_id", F.lit(True).alias("_bought"))
     seen = cust.select("customer_id").join(buyers, "customer_id", "left")
@@ -198,6 +202,45 @@ def _as_text(column: str, scale: int) -> Column:
     return F.col(column).cast(f"decimal(28,{scale})").cast("string")
 
 
+def marginal_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows per value of each of ``columns``, as ``n``, all from one read and one exchange.
+
+    Every row has a value in one column; ``counts_of`` picks the rows of a column. Counts are
+    taken before the exchange, so a value with a large share of all rows is summed in many tasks.
+    """
+    grouped = df.groupingSets([[c] for c in columns], *columns)
+    return grouped.agg(F.grouping_id().alias("_set"), n_rows().alias("n"))
+
+
+def counts_of(marginals: DataFrame, column: str) -> DataFrame:
+    """The counts of one column of ``marginal_counts``, as ``value_counts`` gives them."""
+    columns = [c for c in marginals.columns if c not in ("_set", "n")]
+    everything, place = 2 ** len(columns) - 1, len(columns) - 1 - columns.index(column)
+    return marginals.where(F.col("_set") == everything - 2**place).select(column, "n")
+
+
+def _met(dim: DataFrame, counts: DataFrame, key: str, kept: list[str]) -> DataFrame:
+    """Rows of a dimension and keys of the facts, counted by whether each has the other.
+
+    ``known`` marks the dimension's rows, ``used`` keys with transactions; ``n`` counts rows,
+    ``n_txn`` the transactions of the keys. Missing keys meet nothing.
+    """
+    sides = (
+        dim.select(key, *kept, F.lit(True).alias("known")),
+        counts.select(key, F.col("n").alias("_txn"), F.lit(True).alias("used")),
+    )
+    both = sides[0].join(sides[1], key, "full")
+    return both.groupBy("known", "used", *kept).agg(
+        n_rows().alias("n"), F.coalesce(F.sum("_txn"), F.lit(0)).alias("n_txn")
+    )
+
+
+def _unknown(met: DataFrame) -> DataFrame:
+    """Transactions whose key the dimension lacks, and the number of such keys."""
+    lacking = met.where(F.col("known").isNull())
+    return lacking.agg(F.coalesce(F.sum("n_txn"), F.lit(0)).alias("n_orphans"), _total().alias("n_unknown_keys"))
+
+
 def _listing(df: DataFrame, column: str) -> DataFrame:
     """The number of categories, and the categories as text, in their order."""
     entry = F.concat(
@@ -215,12 +258,22 @@ def quality_report(
 ) -> DataFrame:
     """All checks as rows: check, count, pct, detail, treatment, rows_affected.
 
-    Each column of the transactions is counted once and shared by the checks that need it.
+    Every table is read once, and the transactions a second time for their duplicates: one
+    aggregate counts the values of all their columns, and each dimension meets these counts once.
     """
     lo, hi = cfg.min_age, cfg.max_age
-    per_customer = materialise(value_counts(txn, "customer_id"))
-    per_price = materialise(value_counts(txn, "price"))
-    per_day = materialise(value_counts(txn, "t_dat"))
+    columns = ["customer_id", "article_id", "price", "t_dat", "sales_channel_id"]
+    marginals = materialise(marginal_counts(txn, columns))
+    per_customer, per_article, per_price, per_day, per_channel = (counts_of(marginals, c) for c in columns)
+    met_customers = materialise(_met(cust, per_customer, "customer_id", ["age", "club_member_status"]))
+    met_articles = materialise(_met(art, per_article, "article_id", []))
+    customers = met_customers.where("known")
+    shares = customers.agg(
+        _total().alias("n"),
+        _total(F.col("age").isNull()).alias("n_missing"),
+        _total(F.col("used").isNull()).alias("n_no_txn"),
+    )
+    per_club = customers.groupBy("club_member_status").agg(F.sum("n").alias("n"))
 
     def line(df: DataFrame, check: str, count: str, treatment: str, **optional: Column) -> DataFrame:
         return df.select(
@@ -232,7 +285,7 @@ def quality_report(
             optional.get("affected", F.lit(0)).cast("bigint").alias("rows_affected"),
         )
 
-    ages = q_implausible_age(cust, lo, hi).withColumns(
+    ages = _implausible_age(customers, lo, hi).withColumns(
         {c: F.col(c).cast("string") for c in ("min_age", "max_age")}
     )
     age_detail = F.concat_ws(
@@ -255,27 +308,26 @@ def quality_report(
     )
     pct = F.col("pct")
     rows = [
-        line(per_day.agg(F.sum("n").alias("n")), "transactions", "n", "starting count"),
-        line(cust.agg(n_rows().alias("n")), "customers", "n", "starting count"),
-        line(art.agg(n_rows().alias("n")), "articles", "n", "starting count"),
+        line(per_channel.agg(_total().alias("n")), "transactions", "n", "starting count"),
+        line(shares, "customers", "n", "starting count"),
+        line(met_articles.where("known").agg(_total().alias("n")), "articles", "n", "starting count"),
         line(
             q_duplicate_rows(txn), "duplicate_transactions", "n_duplicates",
             "kept: several units of one article may be bought together",
         ),
-        line(q_missing_age(cust), "missing_age", "n_missing", "kept as NULL", pct=pct),
         line(
-            ages, "implausible_age", "n_implausible", f"set to NULL outside {lo}..{hi}",
-            detail=age_detail, affected=F.col("n_implausible"),
+            shares, "missing_age", "n_missing", "kept as NULL", pct=share_pct("n_missing", "n", 2),
         ),
         line(
-            _without_txn(cust, per_customer), "customers_without_transactions", "n_no_txn",
-            "excluded: no history to analyse", pct=pct, affected=F.col("n_no_txn"),
+            ages, "implausible_age", "n_implausible", f"set to NULL outside {lo}..{hi}",
+            detail=age_detail, affected=F.col("n_implausible"),
         ),
         line(
-            _orphans(per_customer, cust, "customer_id"), "unknown_customers", "n_orphans",
-            "kept without metadata",
+            shares, "customers_without_transactions", "n_no_txn",
+            "excluded: no history to analyse", pct=share_pct("n_no_txn", "n", 2), affected=F.col("n_no_txn"),
         ),
-        line(q_orphan_articles(txn, art), "unknown_articles", "n_orphans", "kept without metadata"),
+        line(_unknown(met_customers), "unknown_customers", "n_orphans", "kept without metadata"),
+        line(_unknown(met_articles), "unknown_articles", "n_orphans", "kept without metadata"),
         line(_price_validity(per_price), "invalid_price", "n_invalid", "kept and flagged"),
         line(
             _price_distribution(per_price), "price_distribution", "n_txn", "no outliers removed",
@@ -284,11 +336,11 @@ def quality_report(
         line(_single_purchase(per_customer), "single_purchase_customers", "n_single", "kept", pct=pct),
         line(gaps, "date_gaps", "n_gaps", "no action", detail=gap_detail),
         line(
-            _listing(q_channel_distribution(txn), "sales_channel_id"), "sales_channels", "count",
+            _listing(_distribution(per_channel), "sales_channel_id"), "sales_channels", "count",
             "used as a feature", detail=F.col("detail"),
         ),
         line(
-            _listing(q_club_distribution(cust), "club_member_status"), "club_status", "count",
+            _listing(_distribution(per_club), "club_member_status"), "club_status", "count",
             "missing kept as a category", detail=F.col("detail"),
         ),
     ]

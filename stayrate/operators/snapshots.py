@@ -7,8 +7,10 @@ nothing in [T, T + label window).
 
 from __future__ import annotations
 
+import dataclasses
 import datetime
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -58,6 +60,19 @@ def feature_names(cfg: RetentionConfig = DEFAULT) -> list[str]:
     ]
 
 
+def feature_families(cfg: RetentionConfig = DEFAULT) -> dict[str, list[str]]:
+    """The features of purchases by the values of days that they are made of."""
+    weeks = cfg.feature_windows_weeks
+    counts = ["txn_count_all", "active_days_all", "recency_days", "tenure_days", "n_purchase_days", "avg_basket_size"]
+    return {
+        "counts": counts + [f"{stem}_{w}w" for w in weeks for stem in ("txn_count", "active_days")],
+        "spend": ["spend_all", "avg_item_price", *(f"spend_{w}w" for w in weeks)],
+        "online": ["online_share"],
+        "gaps": list(GAP_FEATURES),
+        "articles": ["n_distinct_articles"],
+    }
+
+
 def snapshot_calendar(
     txn: DataFrame,
     label_weeks: int = DEFAULT.label_window_weeks,
@@ -121,48 +136,73 @@ def _per_window(days: DataFrame, windows: Sequence[SnapshotWindow]) -> DataFrame
 
 
 def _customer_features(
-    days: DataFrame, windows: Sequence[SnapshotWindow], cfg: RetentionConfig
+    days: DataFrame,
+    windows: Sequence[SnapshotWindow],
+    cfg: RetentionConfig,
+    provenance: bool = False,
+    cut: bool = False,
 ) -> DataFrame:
     """All features but demographics, and the label, per snapshot and customer of its population.
 
     ``days`` holds one row per customer and day with its gap, partitioned by customer, so
     grouping by customer and snapshot needs no further shuffle. The number of different
     articles is left out when ``days`` does not count new ones.
+
+    ``provenance`` adds ``source_<family>``, the latest day whose values entered the family's
+    features, noted where the values are picked. ``cut`` removes the days from each snapshot's
+    date on before anything is picked, for all customers with earlier days; labels are then void.
     """
     articles = ["n_distinct_articles"] if "n_new_articles" in days.columns else []
     T, day = F.col("snapshot_date"), F.col("t_dat")
     age = F.datediff(T, day)  # days before T; positive means history
     history = age > 0
-    total = lambda column, when=history: F.sum(F.when(when, F.col(column)))
-    n_days = lambda when: F.count(F.when(when, 1))
+    used: dict[str, list[Column]] = {}
+
+    def entered(family: str, value: Column, when: Column) -> Column:
+        picked = F.when(when, value)
+        used.setdefault(family, []).append(F.max(F.when(picked.isNotNull(), day)))
+        return picked
+
+    def total(column: str, family: str, when: Column = history) -> Column:
+        return F.sum(entered(family, F.col(column), when))
+
+    n_days = lambda when: F.count(entered("counts", F.lit(1), when))
 
     trailing = []
     for weeks in cfg.feature_windows_weeks:
         recent = history & (age <= 7 * weeks)
         trailing += [
-            F.coalesce(total("n_items", recent), F.lit(0)).alias(f"txn_count_{weeks}w"),
-            as_double(total("spend", recent)).alias(f"spend_{weeks}w"),
+            F.coalesce(total("n_items", "counts", recent), F.lit(0)).alias(f"txn_count_{weeks}w"),
+            as_double(total("spend", "spend", recent)).alias(f"spend_{weeks}w"),
             n_days(recent).alias(f"active_days_{weeks}w"),
         ]
-    gap = F.when(history, F.col("gap_days"))
-    grouped = _per_window(days, windows).groupBy(*_KEYS)
-    features = grouped.agg(
-        total("n_items").alias("txn_count_all"),
-        total("spend").alias("_spend"),
-        total("n_priced").alias("_priced"),
-        total("n_online").alias("_online"),
+    gap = entered("gaps", F.col("gap_days"), history)
+    past = entered("counts", age, history)
+    repeated = _per_window(days, windows)
+    if cut:
+        repeated = repeated.where(day < T)
+    sums = [
+        total("n_items", "counts").alias("txn_count_all"),
+        total("spend", "spend").alias("_spend"),
+        total("n_priced", "spend").alias("_priced"),
+        total("n_online", "online").alias("_online"),
         n_days(history).alias("active_days_all"),
-        F.min(F.when(history, age)).cast("bigint").alias("recency_days"),
-        F.max(F.when(history, age)).cast("bigint").alias("tenure_days"),
-        *(total("n_new_articles").alias(name) for name in articles),
+        F.min(past).cast("bigint").alias("recency_days"),
+        F.max(past).cast("bigint").alias("tenure_days"),
+        *(total("n_new_articles", "articles").alias(name) for name in articles),
         *trailing,
         ratio(F.sum(gap), F.count(gap)).alias("avg_gap_days"),
         as_double(F.max(gap)).alias("max_gap_days"),
         as_double(F.min(gap)).alias("min_gap_days"),
         F.when(F.count(F.when(~history, 1)) > 0, 0).otherwise(1).cast("bigint").alias("lapsed"),
-    )
-    in_population = F.col("recency_days") <= 7 * cfg.lookback_weeks
-    return features.where(in_population).select(
+    ]
+    latest = lambda days: F.greatest(*days) if len(days) > 1 else days[0]
+    sources = {f"source_{family}": latest(days) for family, days in used.items()} if provenance else {}
+    noted = [value.alias(name) for name, value in sources.items()]
+    features = repeated.groupBy(*_KEYS).agg(*sums, *noted)
+    if not cut:
+        features = features.where(F.col("recency_days") <= 7 * cfg.lookback_weeks)
+    return features.select(
         *_KEYS,
         "txn_count_all",
         as_double("_spend").alias("spend_all"),
@@ -177,6 +217,7 @@ def _customer_features(
         *GAP_FEATURES,
         ratio("txn_count_all", F.greatest("active_days_all", F.lit(1))).alias("avg_basket_size"),
         "lapsed",
+        *sources,
     )
 
 
@@ -198,6 +239,7 @@ def _history(
     cfg: RetentionConfig,
     articles: bool = False,
     weeks: int | None = None,
+    provenance: bool = False,
 ) -> DataFrame:
     """Condense the transactions and compute the features.
 
@@ -209,7 +251,8 @@ def _history(
         start = min(w.date for w in windows) - datetime.timedelta(weeks=weeks)
         needed = needed.where(F.col("t_dat") >= _date(start))
     condense = purchase_days_with_articles if articles else purchase_days
-    return _customer_features(with_gaps(condense(needed, cfg.online_channel)), windows, cfg)
+    days = with_gaps(condense(needed, cfg.online_channel))
+    return _customer_features(days, windows, cfg, provenance)
 
 
 def snapshots(
@@ -218,17 +261,21 @@ def snapshots(
     windows: Sequence[SnapshotWindow],
     cfg: RetentionConfig = DEFAULT,
     articles: bool = True,
+    provenance: bool = False,
 ) -> DataFrame:
     """Features and labels for several snapshot dates at once, one row per date and customer.
 
     The transactions are condensed once for all dates. Customers that the customer table
     lacks have NULL demographics. Without ``articles`` the different articles are not counted,
-    which saves a pass over the transactions.
+    which saves an exchange. ``provenance`` adds the latest source day of every feature family, as
+    ``source_counts``, ``source_spend``, ``source_online``, ``source_gaps`` and ``source_articles``,
+    which ``leakage_report`` reads.
     """
-    features = _history(txn, windows, cfg, articles=articles)
+    features = _history(txn, windows, cfg, articles=articles, provenance=provenance)
     joined = features.join(_demographics(cust, cfg), "customer_id", "left")
     names = [name for name in feature_names(cfg) if articles or name != "n_distinct_articles"]
-    return joined.select("customer_id", *names, "lapsed", "snapshot_date", "snapshot")
+    sources = [c for c in features.columns if c.startswith("source_")]
+    return joined.select("customer_id", *names, *sources, "lapsed", "snapshot_date", "snapshot")
 
 
 def snapshot(
@@ -303,42 +350,99 @@ def recency_and_label(
     return history.select("customer_id", "recency_days", "lapsed")
 
 
-def _recounted(days: DataFrame, dates: Sequence[datetime.date], counts: dict[str, int | None]) -> DataFrame:
-    """Per snapshot date and customer: the last day before it, and the items of every count."""
-    earlier = days.where(F.col("t_dat") < _date(max(dates))).withColumn(
-        "snapshot_date", F.explode(F.array(*(_date(d) for d in dates)))
-    )
-    age = F.datediff("snapshot_date", "t_dat")
-    recent = lambda weeks: F.lit(True) if weeks is None else age <= 7 * weeks
-    return earlier.where(age > 0).groupBy("customer_id", "snapshot_date").agg(
-        F.min(age).cast("bigint").alias("_age"),
-        *(F.coalesce(F.sum(F.when(recent(w), F.col("n_items"))), F.lit(0)).alias(f"_{n}") for n, w in counts.items()),
+def _families_of(snaps: DataFrame) -> tuple[dict[str, list[str]], RetentionConfig]:
+    """The families whose features ``snaps`` has, and a configuration with its trailing windows."""
+    weeks = tuple(int(c[10:-1]) for c in snaps.columns if c.startswith("txn_count_") and c[10:-1].isdigit())
+    cfg = dataclasses.replace(DEFAULT, feature_windows_weeks=weeks)
+    present = {f: [c for c in names if c in snaps.columns] for f, names in feature_families(cfg).items()}
+    return {f: names for f, names in present.items() if names}, cfg
+
+
+def _differs(a: Column, b: Column) -> Column:
+    """Whether two values differ by more than the order of a sum can change them."""
+    close = F.abs(a - b) <= 1e-9 * F.greatest(F.abs(a), F.abs(b), F.lit(1.0))
+    return ~F.coalesce(close, a.isNull() & b.isNull())
+
+
+def _marked(snaps: DataFrame, txn: DataFrame | None, online_channel: int) -> tuple[DataFrame, list[str]]:
+    """``snaps`` with ``_differs_<family>``, NULL where the values can't be taken again; and the families.
+
+    The features are taken once more for each date from days that were cut off before it.
+    """
+    families, cfg = _families_of(snaps)
+    cfg = dataclasses.replace(cfg, online_channel=online_channel)
+    dates = [r[0] for r in snaps.select("snapshot_date").distinct().collect()] if txn is not None else []
+    windows = [window_at(date, cfg, str(date)) for date in dates if date is not None]
+    again: list[str] = []
+    if windows:
+        before = txn.where(F.col("t_dat") < _date(max(w.date for w in windows)))
+        stored = "n_items" in txn.columns  # days already condensed keep what they count
+        condense = purchase_days_with_articles if "articles" in families and not stored else purchase_days
+        taken = _customer_features(with_gaps(condense(before, online_channel)), windows, cfg, cut=True)
+        again = [c for names in families.values() for c in names if c in taken.columns]
+        renamed = taken.select("customer_id", "snapshot_date", *(F.col(c).alias(f"_again_{c}") for c in again))
+        snaps = snaps.join(renamed, ["customer_id", "snapshot_date"], "left")
+    marks = {}
+    for family, names in families.items():
+        found = [_differs(F.col(c), F.col(f"_again_{c}")) for c in names if c in again]
+        marks[f"_differs_{family}"] = reduce(Column.__or__, found) if found else F.lit(None).cast("boolean")
+    return snaps.withColumns(marks), list(families)
+
+
+def leakage_report(
+    snaps: DataFrame, txn: DataFrame | None = None, online_channel: int = DEFAULT.online_channel
+) -> DataFrame:
+    """Per snapshot date and feature family: rows, last source day, rows that differ, and safety.
+
+    ``max_source_date`` is the latest ``source_<family>`` (see ``snapshots``), NULL if ``snaps`` has
+    none. With the transactions, or their purchase days, every feature is taken once more from days
+    cut off before the date; ``n_differing`` counts the rows with another value, NULL if the family
+    can't be taken again (articles need days that count new ones). A family is safe if its sources
+    lie before the date and nothing differs, NULL if neither is known.
+    """
+    marked, families = _marked(snaps, txn, online_channel)
+    entries = [
+        F.struct(
+            F.lit(family).alias("family"),
+            (F.col(f"source_{family}") if f"source_{family}" in snaps.columns else F.lit(None).cast("date")).alias(
+                "source"
+            ),
+            F.col(f"_differs_{family}").alias("differs"),
+        )
+        for family in families
+    ]
+    rows = marked.select("snapshot_date", F.inline(F.array(*entries)))
+    differing = F.when(F.count("differs") > 0, F.count(F.when(F.col("differs"), 1)))
+    found = rows.groupBy("snapshot_date", "family").agg(
+        n_rows().alias("n_rows"), F.max("source").alias("max_source_date"), differing.alias("n_differing")
     )
+    past = F.col("max_source_date") < F.col("snapshot_date")
+    same = F.col("n_differing") == 0
+    safe = F.when(~past | ~same, False).when(past | same, True)
+    return found.withColumn("is_safe", safe)
 
 
-def leakage_guard(snaps: DataFrame, txn: DataFrame | None = None) -> DataFrame:
+def leakage_guard(
+    snaps: DataFrame, txn: DataFrame | None = None, online_channel: int = DEFAULT.online_channel
+) -> DataFrame:
     """Per snapshot: the last day its features used, by its smallest recency, and whether it is past.
 
-    With the transactions (or their purchase days), recency and item counts are taken once more
-    from the days before each snapshot; a snapshot with other values is not safe either.
+    A snapshot with source days of any feature family on or after its date is not safe. With the
+    transactions (or their purchase days), every feature is taken once more as in
+    ``leakage_report``; a snapshot with other values is not safe either.
     """
-    differs = F.lit(False)
-    if txn is not None:
-        dates = [row[0] for row in snaps.select("snapshot_date").distinct().collect() if row[0] is not None]
-        weeks = {c: int(c[10:-1]) for c in snaps.columns if c.startswith("txn_count_") and c[10:-1].isdigit()}
-        counts = {"txn_count_all": None} | weeks
-        if dates:
-            found = _recounted(purchase_days(txn), dates, counts)
-            snaps = snaps.join(found, ["customer_id", "snapshot_date"], "left")
-            differs = ~F.col("recency_days").eqNullSafe(F.col("_age"))
-            for name in counts:
-                differs = differs | ~F.col(name).eqNullSafe(F.col(f"_{name}"))
-    latest = snaps.groupBy("snapshot_date").agg(F.min("recency_days").alias("_least"), F.max(differs).alias("_differs"))
+    marked, families = _marked(snaps, txn, online_channel)
+    bad = [F.coalesce(F.col(f"_differs_{f}"), F.lit(False)) for f in families]
+    bad += [
+        F.coalesce(F.col(c) >= F.col("snapshot_date"), F.lit(False)) for c in snaps.columns if c.startswith("source_")
+    ]
+    wrong = reduce(Column.__or__, bad) if bad else F.lit(False)
+    latest = marked.groupBy("snapshot_date").agg(F.min("recency_days").alias("_least"), F.max(wrong).alias("_wrong"))
     used = F.date_sub("snapshot_date", F.col("_least").cast("int"))
     return latest.select(
         "snapshot_date",
         used.alias("max_source_date"),
-        ((used < F.col("snapshot_date")) & ~F.col("_differs")).alias("is_safe"),
+        ((used < F.col("snapshot_date")) & ~F.col("_wrong")).alias("is_safe"),
     )
 
 
@@ -352,7 +456,7 @@ def check_leakage(snaps: DataFrame, txn: DataFrame | None = None) -> None:
 def snapshot_summary(snaps: DataFrame, digits: int | None = 1) -> DataFrame:
     """Per snapshot: customers, lapsed customers, lapse rate and number of features."""
     id_columns = {"customer_id", "lapsed", "snapshot_date", "snapshot"}
-    n_features = len([c for c in snaps.columns if c not in id_columns])
+    n_features = len([c for c in snaps.columns if c not in id_columns and not c.startswith("source_")])
     sums = snaps.groupBy("snapshot", "snapshot_date").agg(
         n_rows().alias("n_customers"), F.sum("lapsed").alias("n_lapsed")
     )

@@ -19,7 +19,7 @@ from stayrate.operators import affinity as aff
 from stayrate.operators import audits, cohorts, descriptives, ingest, kpis, metrics, model
 from stayrate.operators import quality, rfm, sizing
 from stayrate.operators import snapshots as snap
-from stayrate.operators.purchases import purchase_days
+from stayrate.operators.purchases import purchase_days, purchase_days_with_articles
 from stayrate.sources import (
     SCHEMAS,
     export_csv,
@@ -472,6 +472,17 @@ def channel_gap_m6(spark, path):
     return _rounded(cohorts.channel_gap_m6(_channel_retention(_Tables(spark, path))), 9, "gap_pp")
 
 
+@_query
+def channel_retention_at_risk(spark, path):
+    activity = materialise(cohorts.cohort_activity(_Tables(spark, path).txn))
+    return cohorts.channel_retention(activity, cohorts.at_risk(activity, "first_channel"))
+
+
+@_query
+def channel_gaps(spark, path):
+    return _rounded(cohorts.channel_gaps(_channel_retention(_Tables(spark, path))), 9, "gap_pp")
+
+
 # Snapshots
 
 
@@ -541,6 +552,14 @@ def leakage_guard(spark, path):
     return snap.leakage_guard(materialise(snap.snapshots(t.days, t.cust, windows, CFG, articles=False)), t.days)
 
 
+@_query
+def leakage_report(spark, path):
+    t = _Tables(spark, path)
+    days = materialise(purchase_days_with_articles(t.txn, CFG.online_channel))
+    built = snap.snapshots(days, t.cust, snap.snapshot_windows(days, CFG), CFG, provenance=True)
+    return snap.leakage_report(materialise(built), days)
+
+
 @_query
 def snapshot_summary(spark, path):
     t = _Tables(spark, path)

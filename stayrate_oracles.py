@@ -510,6 +510,19 @@ ORACLES.update(
         "channel_retention": _with(_TXN, *_CHANNEL)
         + """SELECT first_channel, months_since, n_customers, cohort_size, retention_pct
   FROM retention""",
+        "channel_retention_at_risk": _with(_TXN, *_CHANNEL)
+        + f"""SELECT r.first_channel, r.months_since, r.n_customers, a.cohort_size,
+  {_share('r.n_customers', 'a.cohort_size', 1)} AS retention_pct
+  FROM retention r, LATERAL (
+    SELECT count(*) AS cohort_size FROM first_purchase p
+    WHERE p.first_channel = r.first_channel AND CAST(p.cohort_month + to_months(CAST(r.months_since AS INTEGER)) AS DATE)
+      <= (SELECT max(t_dat) FROM txn)) a""",
+        "channel_gaps": _with(_TXN, *_CHANNEL)
+        + """, at_six AS (
+  SELECT first_channel, CAST(coalesce(max(n_customers) FILTER (WHERE months_since = 6), 0) AS BIGINT) AS n_active,
+         CAST(coalesce(max(retention_pct) FILTER (WHERE months_since = 6), 0) AS DOUBLE) AS retention_pct
+  FROM retention GROUP BY first_channel)
+SELECT *, round((SELECT max(retention_pct) FROM at_six) - retention_pct, 9) AS gap_pp FROM at_six""",
         "channel_gap_m6": _with(_TXN, *_CHANNEL)
         + """SELECT a.retention_pct AS channel_1_pct, b.retention_pct AS channel_2_pct,
   round(abs(a.retention_pct - b.retention_pct), 9) AS gap_pp,
@@ -634,6 +647,17 @@ ORACLES.update(
   CAST(max(t.t_dat) AS VARCHAR) AS max_source_date, max(t.t_dat) < p.snapshot_date AS is_safe
   FROM pop p JOIN txn t ON t.customer_id = p.customer_id AND t.t_dat < p.snapshot_date
   GROUP BY p.snapshot_date""",
+        "leakage_report": _with(_TXN, _CALENDAR, _POP)
+        + """, visits AS (
+  SELECT DISTINCT p.snapshot_date, p.customer_id, t.t_dat, t.t_dat > min(t.t_dat) OVER (
+    PARTITION BY p.snapshot_date, p.customer_id) AS again
+  FROM pop p JOIN txn t ON t.customer_id = p.customer_id AND t.t_dat < p.snapshot_date)
+SELECT CAST(snapshot_date AS VARCHAR) AS snapshot_date, family, count(DISTINCT customer_id) AS n_rows,
+  CAST(max(t_dat) FILTER (WHERE again OR family <> 'gaps') AS VARCHAR) AS max_source_date,
+  CAST(0 AS BIGINT) AS n_differing,
+  max(t_dat) FILTER (WHERE again OR family <> 'gaps') < snapshot_date AS is_safe
+  FROM visits, (VALUES ('counts'), ('spend'), ('online'), ('gaps'), ('articles')) AS f(family)
+  GROUP BY snapshot_date, family""",
         "snapshot_summary": _with(_TXN, *_TO_LABEL)
         + f"""SELECT snapshot, CAST(snapshot_date AS VARCHAR) AS snapshot_date, count(*) AS n_customers,
   CAST(sum(lapsed) AS BIGINT) AS n_lapsed, {_share('sum(lapsed)', 'count(*)', 1)} AS lapse_rate_pct,

@@ -109,6 +109,61 @@ def test_keys_and_duplicates(make):
     assert {r.total_rows_affected for r in report.values()} == {3}
 
 
+def test_quality_report_agrees_with_the_single_checks(make):
+    """Copies of customers, missing keys and unknown keys are counted as the checks by themselves do."""
+    txn = make.txn(
+        [
+            ("2020-01-01", "x", "a", 1.0, 1),
+            ("2020-01-01", "x", "a", 1.0, 1),
+            ("2020-01-05", "y", None, -2.0, None),
+            ("2020-01-05", None, "zz", 0.0, 2),
+            ("2020-01-09", "w", "zz", None, 2),
+        ]
+    )
+    cust = make.cust([("x", "ACTIVE", None, 30), ("x", "ACTIVE", None, 30), (None, None, None, None), ("q", "LEFT", None, 150)])
+    art = make.art([("a", "t", "g"), ("b", "t", "g"), (None, "t", "g")])
+    report = {r.check: r for r in quality.quality_report(txn, cust, art).collect()}
+    assert (report["transactions"]["count"], report["customers"]["count"], report["articles"]["count"]) == (5, 4, 3)
+    assert report["unknown_customers"]["count"] == quality.q_orphan_customers(txn, cust).first().n_orphans == 3
+    assert report["unknown_articles"]["count"] == quality.q_orphan_articles(txn, art).first().n_orphans == 3
+    alone = quality.q_customers_no_txn(cust, txn).first()
+    assert (report["customers_without_transactions"]["count"], report["customers_without_transactions"].pct) == (alone[0], alone.pct)
+    assert alone[0] == 2
+    assert report["missing_age"]["count"] == 1 and report["missing_age"].pct == 25.0
+    assert report["implausible_age"].detail == "under=0, over=1, range=30..150"
+    assert report["invalid_price"]["count"] == quality.q_price_validity(txn).first().n_invalid == 3
+    assert report["club_status"].detail == "ACTIVE=2; LEFT=1; missing=1"
+    assert report["sales_channels"].detail == "1=2; 2=2; missing=1"
+
+
+def test_counts_of_every_column_at_once(make):
+    txn = make.txn([("2020-01-01", "x", "a", 1.0, None), ("2020-01-02", "x", "b", 1.0, 2), ("2020-01-02", None, "b", 2.0, 2)])
+    columns = ["customer_id", "t_dat", "price", "article_id", "sales_channel_id"]
+    marginals = quality.marginal_counts(txn, columns)
+    for column in columns:
+        assert sorted(map(str, quality.counts_of(marginals, column).collect())) == sorted(
+            map(str, quality.value_counts(txn, column).collect())
+        )
+
+
+def test_quality_report_reads_every_table_once(tables, monkeypatch):
+    """One scan a table for what is stored, and one of the transactions for their duplicates."""
+    from tests.conftest import plan_of
+
+    scans, stored = [], quality.materialise
+
+    def counted(df):
+        scans.append(plan_of(df).count("FileScan"))
+        return stored(df)
+
+    monkeypatch.setattr(quality, "materialise", counted)
+    txn, cust, art = tables["transactions"], tables["customers"], tables["articles"]
+    report = quality.quality_report(txn, cust, art)
+    per_table = [plan_of(df).count("FileScan") for df in (txn, cust, art)]
+    assert scans == per_table
+    assert plan_of(report).count("FileScan") == per_table[0]
+
+
 def test_no_gap_has_no_date(make):
     txn = make.txn([("2020-01-01", "x"), ("2020-01-02", "x")])
     assert rows(quality.q_max_gap_date(txn)) == []
