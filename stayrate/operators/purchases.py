@@ -46,9 +46,8 @@ def purchase_days_with_articles(
     date, which saves a distinct count per date.
 
     One read of the transactions gives both groupings, customers' days and the first day of
-    customers' articles, summed before they move. What then meets by customer is a row per
-    day and a row per article, however many transactions the customer has; the frame stays
-    partitioned by customer, so gaps and features need no further exchange.
+    customers' articles; every grouping is summed before it moves, so a customer, day or article
+    with a large share of all rows is spread over many tasks.
     """
     if "n_new_articles" in txn.columns:
         return txn
@@ -68,7 +67,6 @@ def purchase_days_with_articles(
     of_day = lambda column: F.when(is_day, F.col(column))
     return (
         both.where(is_day | first_seen)
-        .repartition("customer_id")
         .groupBy("customer_id", F.col("_first").alias("t_dat"))
         .agg(
             F.max(of_day("_items")).alias("n_items"),  # one row per day has the day's sums
