@@ -3,10 +3,11 @@
 Tokenizer A is a byte-level BPE, B a SentencePiece BPE; both read a space and the text. Byte
 offsets where tokens of both end cut a text into groups; tokens whose bytes overlap are linked.
 
-A first pass aligns all documents and keeps, per task, how many links hold each (A id, B id). The
+One pass aligns all documents and keeps, per task, how many links hold each (A id, B id), and per
+piece of a batch its alignment: the different cells and the order in which texts hold them. The
 different pairs get indices from a minimal perfect hash per bucket of pairs, so counts are dense
-vectors, which are summed in a tree. A second pass aligns the documents again and looks the counts
-of their links up, by index, with the key that stands there as proof.
+vectors, which are summed in a tree. A second pass reads the alignments, not the texts, and looks
+the counts of their pairs up, by index, with the key that stands there as proof.
 
 Texts are cut into cells where words of A and chunks of B both end, which nothing crosses; equal
 cells of a batch are aligned once.
@@ -16,8 +17,8 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable, Iterator
-from itertools import chain
+from collections.abc import Iterator
+from itertools import chain, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -40,11 +41,16 @@ FAN_IN = 256
 SENT_PAIRS = 4_000_000
 #: A worker forgets its cells, and reports its counts, beyond so many cells or pairs.
 KEPT_CELLS = 500_000
+#: Texts are aligned, and their alignments stored, in pieces of about so many bytes.
+PIECE_BYTES = 1 << 20
+#: Pieces are few and long rows: a row group ends at 8 MB, and its size is looked at after every row.
+_STORED = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1, "parquet.block.size.row.check.min": 1}
 _A_BITS = 32
 _LETTER, _DIGIT, _OTHER, _SPACE = 1, 2, 3, 4  # in the order of the probes in kinds()
 #: The endings that the words of A split off, each a word by itself.
 _ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 _aligners: dict[int, Aligner] = {}
+_known: dict[str, Known] = {}
 
 
 class Cells(NamedTuple):
@@ -52,8 +58,7 @@ class Cells(NamedTuple):
 
     facts: np.ndarray  # tokens of A and of B, groups, links: 4 x cells
     groups: pa.Array
-    links: np.ndarray
-    extra: np.ndarray  # what a pass knows about each cell: 2 x cells
+    links: np.ndarray  # the numbers of their pairs
 
     @property
     def begins(self) -> np.ndarray:
@@ -64,7 +69,7 @@ class Cells(NamedTuple):
         return Cells(*(pa.concat_arrays(x) if isinstance(x[0], pa.Array) else np.concatenate(x, axis=-1) for x in both))
 
 
-_NO_CELLS = Cells(np.zeros((4, 0), np.int64), pa.array([], pa.string()), np.zeros(0, np.uint64), np.zeros((2, 0), np.int64))
+_NO_CELLS = Cells(np.zeros((4, 0), np.int64), pa.array([], pa.string()), np.zeros(0, np.int32))
 
 
 class Aligner:
@@ -85,13 +90,29 @@ class Aligner:
         self.n_ids = max(n_a, len(self.b.pieces))
         self.shown = pa.array([f"{i}{end}" for end in ",|;" for i in range(self.n_ids)] + list(map(str, range(self.n_ids))), pa.string())
         self.kind = np.zeros(0x110000, np.uint8)
-        self.block: str | None = None
-        self.counts: Known | None = None
         self.forget()
 
     def forget(self) -> None:
         self.rows: dict[str, int] = {}
         self.cells = _NO_CELLS
+        self.pairs = self.sorted_pairs = np.zeros(0, np.uint64)  # by number, and in order with their numbers
+        self.numbers = np.zeros(0, np.int32)
+
+    def numbered(self, links: np.ndarray) -> np.ndarray:
+        """The numbers of the pairs that ``links`` hold; new pairs get the next ones."""
+        different, place = np.unique(links, return_inverse=True)
+        at = np.searchsorted(self.sorted_pairs, different)
+        known = np.zeros(len(different), bool)
+        inside = at < len(self.sorted_pairs)
+        known[inside] = self.sorted_pairs[at[inside]] == different[inside]
+        new = different[~known]
+        number = np.empty(len(different), np.int32)
+        number[known] = self.numbers[at[known]]
+        number[~known] = len(self.pairs) + np.arange(len(new))
+        self.pairs = np.concatenate((self.pairs, new))
+        self.sorted_pairs = np.insert(self.sorted_pairs, at[~known], new)
+        self.numbers = np.insert(self.numbers, at[~known], number[~known])
+        return number[place]
 
     def kinds(self, points: np.ndarray) -> np.ndarray:
         """What A takes each code point for; new ones are asked from its own splitter."""
@@ -172,7 +193,7 @@ class Aligner:
         shown = self.shown.take(pa.array(np.concatenate((a_shown, b_shown))[order]))
         sizes = np.concatenate(([0], np.cumsum(np.bincount(a_cell, minlength=n) + np.bincount(b_cell, minlength=n))))
         groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(sizes.astype(np.int32)), shown), "")
-        return Cells(facts, groups, links.view(np.uint64), np.zeros((2, n), np.int64))
+        return Cells(facts, groups, self.numbered(links.view(np.uint64)))
 
     def cut(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, list[str], np.ndarray]]:
         """Ranges of texts with the number of each cell, the different cells, and where each text's begin.
@@ -181,7 +202,7 @@ class Aligner:
         """
         body, starts = text_bytes(texts)
         marked_texts = pc.match_substring(texts, MARK).fill_null(False).to_numpy(zero_copy_only=False)
-        for a, b in pieces(starts):
+        for a, b in pieces(starts, PIECE_BYTES):
             points, edges, first = self.b.chunks_of(body[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
             if not len(points):
                 yield a, b, np.zeros(0, np.int64), [], first * 0
@@ -200,18 +221,65 @@ class Aligner:
                 different, first = [different[i] for i in used.tolist()], np.concatenate(([0], np.cumsum(sizes)))
             yield a, b, codes, different, first
 
-    def known(self, keys: list[str], extra: Callable[[Cells], np.ndarray] | None = None) -> np.ndarray:
-        """The numbers in ``cells`` of ``keys``; unknown cells are aligned, given their ``extra``, and kept."""
+    def known(self, keys: list[str]) -> np.ndarray:
+        """The numbers in ``cells`` of the different ``keys``; unknown cells are aligned and kept."""
         if len(self.rows) > KEPT_CELLS or len(self.cells.links) > 8 * KEPT_CELLS:
             self.forget()
-        new = [key for key in keys if key not in self.rows]
-        if new:
-            made = self.align(new)
-            if extra is not None:
-                made = made._replace(extra=extra(made))
-            self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
-            self.cells = self.cells.and_also(made)
-        return np.fromiter((self.rows[key] for key in keys), np.int64, len(keys))
+        found = np.fromiter(map(self.rows.get, keys, repeat(-1)), np.int64, len(keys))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new = [keys[i] for i in missing.tolist()]
+            found[missing] = np.arange(len(self.rows), len(self.rows) + len(new))
+            self.rows.update(zip(new, found[missing].tolist(), strict=True))
+            self.cells = self.cells.and_also(self.align(new))
+        return found
+
+    def piece(self, codes: np.ndarray, different: list[str], first: np.ndarray) -> Piece:
+        """The alignment of some texts, which ``cut`` gave, and how many links hold each of its pairs."""
+        rows = self.known(different)
+        cells = self.cells
+        sizes = cells.facts[3][rows]
+        links = ragged(cells.links, cells.begins[rows], sizes)
+        n_links = np.zeros(len(self.pairs), np.int64)
+        n_links += np.bincount(links, np.repeat(np.bincount(codes, minlength=len(rows)), sizes), len(n_links)).astype(np.int64)
+        used = np.flatnonzero(n_links)
+        local = np.zeros(len(n_links), np.int32)
+        local[used] = np.arange(len(used))
+        running = np.zeros((4, len(codes) + 1), np.int64)
+        np.cumsum(cells.facts[:, rows][:, codes], axis=1, out=running[:, 1:])
+        facts = running[:, first[1:]] - running[:, first[:-1]]
+        return Piece(first, codes, sizes, local[links], self.pairs[used], n_links[used], facts.ravel(), cells.groups.take(pa.array(rows)))
+
+
+class Piece(NamedTuple):
+    """The alignment of some texts by itself: their cells, and what the different cells hold."""
+
+    first: np.ndarray  # where the cells of each text begin, and the end
+    codes: np.ndarray  # the cells of all texts
+    sizes: np.ndarray  # the links of each different cell
+    links: np.ndarray  # the pairs of these links
+    pairs: np.ndarray
+    n_links: np.ndarray  # how many links hold each pair
+    facts: np.ndarray  # tokens of A and of B, groups, links: 4 x texts
+    groups: pa.Array  # of each different cell
+
+    def packed(self) -> bytes:
+        columns = []
+        for values in self:
+            if isinstance(values, np.ndarray):
+                small = np.min_scalar_type(values.max(initial=0))
+                values = pa.array(values.astype(small) if small.itemsize < values.itemsize else values)
+            columns.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
+        sink = pa.BufferOutputStream()
+        batch = pa.RecordBatch.from_arrays(columns, list(self._fields))
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            stream.write_batch(batch)
+        return sink.getvalue().to_pybytes()
+
+    @classmethod
+    def unpacked(cls, body: pa.Buffer) -> Piece:
+        columns = [column.flatten() for column in pa.ipc.open_stream(body).read_next_batch().columns]
+        return cls(*(c.to_numpy() if pa.types.is_integer(c.type) else c for c in columns))
 
 
 def aligner(byte_model: bytes, piece_model: bytes) -> Aligner:
@@ -257,24 +325,34 @@ class Counts:
         return pa.RecordBatch.from_arrays(columns, ["part", "bucket", "keys", "counts"])
 
 
-def _counted(shipped):
+_PAIRS = "part long, bucket long, keys array<long>, counts array<long>"
+
+
+def _aligned(shipped):
+    """The alignments of all pieces, and apart from them the counts of their pairs."""
+    kinds = {"part": pa.int64(), "bucket": pa.int64(), "keys": pa.list_(pa.int64()), "counts": pa.list_(pa.int64())}
+
+    def rows(made: pa.RecordBatch, ids: pa.Array) -> pa.RecordBatch:
+        all_kinds = kinds | {"ids": pa.list_(ids.type), "piece": pa.binary()}
+        own = dict(zip(made.schema.names, made.columns, strict=True))
+        columns = [own.get(name, pa.nulls(made.num_rows, kind)) for name, kind in all_kinds.items()]
+        return pa.RecordBatch.from_arrays(columns, list(all_kinds))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ours = aligner(*shipped.value)
-        ours.block = None
         counts, flushes, part = Counts(), 0, TaskContext.get().partitionId()
         for batch in batches:
-            for _, _, codes, different, _ in ours.cut(batch.column(0)):
-                if not different:
-                    continue
-                rows = ours.known(different)
-                cells, times = ours.cells, np.bincount(codes, minlength=len(rows))
-                sizes = cells.facts[3][rows]
-                counts.add(ragged(cells.links, cells.begins[rows], sizes), np.repeat(times, sizes))
+            ids = batch.column(0)
+            for a, b, *found in ours.cut(batch.column(1)):
+                piece = ours.piece(*found)
+                own = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), ids.slice(a, b - a))
+                yield rows(pa.RecordBatch.from_arrays([own, pa.array([piece.packed()], pa.binary())], ["ids", "piece"]), ids)
+                counts.add(piece.pairs, piece.n_links)
                 if counts.n > 4 * KEPT_CELLS:
-                    yield counts.rows(part + (flushes << 32))
+                    yield rows(counts.rows(part + (flushes << 32)), ids)
                     counts, flushes = Counts(), flushes + 1
         if counts.n:
-            yield counts.rows(part + (flushes << 32))
+            yield rows(counts.rows(part + (flushes << 32)), ids)
 
     return run
 
@@ -315,10 +393,8 @@ def _shipped(docs: DataFrame, byte_path: str, piece_path: str):
         return docs.sparkSession.sparkContext.broadcast((a.read(), b.read()))  # vocabularies, not data
 
 
-def pair_counts(docs: DataFrame, shipped, text_column: str = "text") -> DataFrame:
+def pair_counts(counted: DataFrame) -> DataFrame:
     """Per bucket the ``levels`` of its hash, and by index its ``keys`` and ``counts`` (64-bit numbers)."""
-    fields = "part long, bucket long, keys array<long>, counts array<long>"
-    counted = stored(docs.select(text_column).mapInArrow(_counted(shipped), fields), "pairs")
     keys = counted.select("bucket", F.explode("keys").alias("key")).distinct()
     hashes = stored(
         keys.groupBy("bucket").applyInArrow(_hashed, "bucket long, levels array<binary>, keys binary"), "hashes"
@@ -372,46 +448,52 @@ class Known:
                 found[rows[index >= 0]] = counts[index[index >= 0]]
         return found
 
-    def sums(self, cells: Cells) -> np.ndarray:
-        """Per cell how many links have the highest count of their B id, and the sum of counts."""
-        counts = self.counts(cells.links)
-        b_ids = (cells.links & np.uint64((1 << _A_BITS) - 1)).astype(np.int64)
-        best = (counts > 0) & (counts == self.most[b_ids])
-        return np.stack([np.add.reduceat(x.astype(np.int64), cells.begins) for x in (best, counts)])
+    def sums(self, piece: Piece) -> np.ndarray:
+        """Per text how many links have the highest count of their B id, and the sum of counts."""
+        if not len(piece.codes):
+            return np.zeros((2, len(piece.first) - 1), np.int64)
+        counts = self.counts(piece.pairs)
+        b_ids = (piece.pairs & np.uint64((1 << _A_BITS) - 1)).astype(np.int64)
+        best = ((counts > 0) & (counts == self.most[b_ids])).astype(np.int64)
+        sizes = piece.sizes.astype(np.int64)
+        running = np.zeros((2, len(piece.codes) + 1), np.int64)
+        for of_texts, of_pairs in zip(running, (best, counts), strict=True):
+            of_cells = np.add.reduceat(of_pairs[piece.links], np.cumsum(sizes) - sizes)
+            np.cumsum(of_cells[piece.codes], out=of_texts[1:])
+        first = piece.first.astype(np.int64)
+        return running[:, first[1:]] - running[:, first[:-1]]
 
 
 _FACTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-def _looked_up(shipped, block, last: bool):
-    """Align again and add what this block of counts has; the last block gives the groups too."""
+def _looked_up(block, last: bool):
+    """Add what this block of counts has to the sums of every piece; the last block gives the rows of its texts."""
 
     token = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ours = aligner(*shipped.value)
-        if ours.block != token:  # cells keep what a block knows of them
-            ours.forget()
-            ours.block, ours.counts = token, Known(*block.value)
-        known = ours.counts
+        if token not in _known:  # a worker keeps one block, and needs no cells now
+            for other in _aligners.values():
+                other.forget()
+            _known.clear()
+            _known[token] = Known(*block.value)
+        known = _known[token]
         for batch in batches:
-            for a, b, codes, different, first in ours.cut(batch.column(1)):
-                sums = np.zeros((6, b - a), np.int64)
-                groups = pa.array([""] * (b - a), pa.string())
-                if different:
-                    rows = ours.known(different, known.sums)
-                    facts = np.concatenate((ours.cells.facts, ours.cells.extra))[:, rows]
-                    running = np.zeros((6, len(codes) + 1), np.int64)
-                    np.cumsum(facts[:, codes], axis=1, out=running[:, 1:])
-                    sums = running[:, first[1:]] - running[:, first[:-1]]
-                    if last:
-                        each = ours.cells.groups.take(pa.array(rows[codes]))
-                        lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), each)
-                        groups = pc.binary_join(lists, ";")
-                sums[4:] += np.stack([batch.column(c).slice(a, b - a).to_numpy() for c in ("n_best", "count_sum")])
-                own = [batch.column(0).slice(a, b - a)]
-                own.append(groups.cast(pa.string()) if last else batch.column(1).slice(a, b - a))
-                yield pa.RecordBatch.from_arrays([*own, *map(pa.array, sums)], ["id", "groups" if last else "text", *_FACTS])
+            for i in range(batch.num_rows):
+                piece = Piece.unpacked(batch.column(1)[i].as_buffer())
+                before = np.frombuffer(batch.column(2)[i].as_buffer(), np.int64)
+                sums = known.sums(piece)
+                sums += before.reshape(2, -1) if len(before) else 0
+                if not last:
+                    own = [batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([sums.tobytes()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(own, ["ids", "piece", "sums"])
+                    continue
+                each = piece.groups.take(pa.array(piece.codes))
+                groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(piece.first.astype(np.int32)), each), ";")
+                facts = [*piece.facts.astype(np.int64).reshape(4, -1), *sums]
+                ids = batch.column(0).slice(i, 1).flatten()
+                yield pa.RecordBatch.from_arrays([ids, groups.cast(pa.string()), *map(pa.array, facts)], ["id", "groups", *_FACTS])
 
     return run
 
@@ -427,7 +509,12 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, id_column: str = "do
     columns are ignored, whatever their names; an empty table gives an empty result.
     """
     shipped = _shipped(docs, byte_path, piece_path)
-    counts = pair_counts(docs, shipped, text_column)
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    id_type = dict(rows.dtypes)["id"]
+    aligned = stored(
+        rows.mapInArrow(_aligned(shipped), f"{_PAIRS}, ids array<{id_type}>, piece binary"), "alignments", **_STORED
+    )
+    counts = pair_counts(aligned.where("part IS NOT NULL").select("part", "bucket", "keys", "counts"))
     most = {r["b"]: r["n"] for r in counts.select("keys", "counts").mapInArrow(_best, "b long, n long").groupBy("b").agg(F.max("n").alias("n")).collect()}
     sizes = counts.select("bucket", (F.octet_length("keys") / 8).cast("long").alias("n")).orderBy("bucket").collect()
     blocks: list[list[int]] = [[]]
@@ -438,15 +525,13 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, id_column: str = "do
             room = SENT_PAIRS
         blocks[-1].append(row["bucket"])
         room -= row["n"]
-    id_type = dict(docs.dtypes)[id_column]
-    zeros = [F.lit(0).cast("long").alias(c) for c in _FACTS]
-    found = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), *zeros)
+    found = aligned.where("part IS NULL").select("ids", "piece", F.lit(b"").alias("sums"))
     for i, block in enumerate(blocks):
         rows = counts.where(F.col("bucket").isin(block)).collect() if block else []
         sent = docs.sparkSession.sparkContext.broadcast(
             ([(r["bucket"], [bytes(x) for x in r["levels"]], bytes(r["keys"]), bytes(r["counts"])) for r in rows], most)
         )
         last = i == len(blocks) - 1
-        fields = f"id {id_type}, {'groups' if last else 'text'} string, " + ", ".join(f"{c} long" for c in _FACTS)
-        found = found.mapInArrow(_looked_up(shipped, sent, last), fields)
+        fields = f"id {id_type}, groups string, " + ", ".join(f"{c} long" for c in _FACTS)
+        found = found.mapInArrow(_looked_up(sent, last), fields if last else f"ids array<{id_type}>, piece binary, sums binary")
     return found.select(F.col("id").alias(id_column), *_FACTS, "groups")

@@ -59,10 +59,10 @@ def table(spark, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` in the shared folder and read it back, so that later steps share it."""
+def stored(df: DataFrame, name: str, **options) -> DataFrame:
+    """Write ``df`` in the shared folder and read it back, so that later steps share it; options are Parquet's."""
     from stayrate.sources import scratch_path
 
     target = scratch_path(df.sparkSession, name)
-    df.write.parquet(target)
+    df.write.options(**options).parquet(target)
     return df.sparkSession.read.schema(df.schema).parquet(target)

@@ -174,6 +174,32 @@ def test_alignment_in_small_steps(docs, tokenizer, sentencepiece, monkeypatch):
     assert sorted(found, key=str) == sorted(expected, key=str)
 
 
+def test_alignment_reads_and_cuts_texts_once(spark, docs, monkeypatch):
+    """Looking the counts up rests on the stored alignments, however many passes the counts take."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(alignment, "SENT_PAIRS", 400)
+    found = alignment.align(docs.select("doc_id", "text").mapInArrow(counted, "doc_id long, text string"), BYTES, PIECES)
+    assert len(found.collect()) == reads.value == docs.count()
+
+
+def test_pieces_stand_by_themselves(texts):
+    """A stored alignment gives what the texts gave, and no text of a piece may have cells."""
+    with open(BYTES, "rb") as a, open(PIECES, "rb") as b:
+        ours = alignment.Aligner(a.read(), b.read())
+    for column in (texts, ["x▁", None, ""], [None]):
+        for a, b, *found in ours.cut(pa.array(column, pa.string())):
+            piece = ours.piece(*found)
+            read = alignment.Piece.unpacked(pa.py_buffer(piece.packed()))
+            assert all(x.tolist() == y.tolist() for x, y in zip(piece, read, strict=True))
+            assert piece.n_links.sum() == piece.facts.reshape(4, b - a)[3].sum()
+
+
 def test_minimal_hash():
     draw = np.random.default_rng(1)
     keys = np.unique(draw.integers(0, 1 << 63, 50_000, dtype=np.uint64))
