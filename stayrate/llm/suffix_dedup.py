@@ -35,6 +35,8 @@ LENGTH, GRAM = suffix_sort.LIMIT, 24
 SHARD_BYTES = 6_000_000
 #: Anchors with more bytes of contexts are hashed window by window and not sorted.
 HEAVY_BYTES = SHARD_BYTES // 4
+#: Anchors are chosen in pieces of about so many bytes of texts.
+ANCHOR_PIECE = 1 << 20
 
 
 def anchors(body: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -74,7 +76,7 @@ def anchors(body: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         body, starts = text_bytes(batch.column("text"))
-        for a, b in pieces(starts):
+        for a, b in pieces(starts, ANCHOR_PIECE):
             owner, gram, context, first, number = anchors(body[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
             rows = pa.array(owner + a)
             yield pa.RecordBatch.from_arrays(

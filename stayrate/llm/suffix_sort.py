@@ -87,91 +87,78 @@ def joined(parts: list):
             some, size = [], 0
 
 
-def common_prefixes(padded: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The common prefixes of pairs of suffixes, by comparing eight bytes at a time.
+def _order(group: np.ndarray) -> np.ndarray:
+    """A stable order by ``group``, numbers below 2 ** 31 of fewer than 2 ** 32 items: plain numbers sort faster."""
+    packed = (group << 32) | np.arange(len(group))
+    packed.sort()
+    return packed & 0xFFFFFFFF
 
+
+def seeds(padded: np.ndarray, small: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The leftmost S suffixes in order up to LIMIT bytes, and the common prefix of each with the one before.
+
+    Eight bytes are compared at a time, and of the suffixes only those that still tie; two that tie
+    with no other are compared with each other. The end of the text sorts before everything.
     ``padded`` is the text and LIMIT + 8 bytes of PAD.
     """
+    n = len(small)
     words = np.ndarray((len(padded) - 7,), ">u8", padded, strides=(1,))
-    result = np.full(len(x), LIMIT, np.int64)
-    open_ = np.arange(len(x))
+    order = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    shared = np.full(len(order), LIMIT, np.uint8)
+    shared[:1] = 0
+
+    def keys(at: np.ndarray) -> np.ndarray:
+        found = words[at].astype(np.uint64)
+        beyond = np.flatnonzero(at > n - 8)
+        # the bytes of the text, then zeros; a shift by 64 bits is two
+        half = (8 - np.clip(n - at[beyond], 0, 8)).astype(np.uint64) * np.uint64(4)
+        found[beyond] = found[beyond] >> half >> half << half << half
+        return found
+
+    def settle(slot: np.ndarray, offset: int) -> None:
+        """Order pairs that tie up to ``offset`` and stand at ``slot`` and after it."""
+        x, y = order[slot], order[slot + 1]
+        for offset in range(offset, LIMIT, 8):
+            if not len(slot):
+                break
+            key, other = keys(x + offset), keys(y + offset)
+            differ = key ^ other
+            ended = np.flatnonzero(differ)
+            shared[slot[ended] + 1] = np.minimum(offset + _equal_bytes(differ[ended]), LIMIT)
+            turned = np.flatnonzero(key > other)
+            order[slot[turned]], order[slot[turned] + 1] = y[turned], x[turned]
+            going = np.flatnonzero(differ == 0)
+            slot, x, y = slot[going], x[going], y[going]
+
+    tied, group = np.arange(len(order)), np.zeros(len(order), np.int64)
     for offset in range(0, LIMIT, 8):
-        last = len(words) - 1
-        differ = words[np.minimum(x[open_] + offset, last)] ^ words[np.minimum(y[open_] + offset, last)]
-        ended = differ != 0
-        same = np.zeros(np.count_nonzero(ended), np.int64)
-        for bits in range(8, 64, 8):
-            same += differ[ended] < np.uint64(1 << (64 - bits))
-        result[open_[ended]] = offset + same
-        open_ = open_[~ended]
-        if not len(open_):
+        if not len(tied):
             break
-    return np.minimum(result, LIMIT).astype(np.uint8)
-
-
-def _refined(rank: np.ndarray, chosen: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """``rank`` (the number of smaller items) with ties among ``chosen`` broken by ``key``.
-
-    Items that tie with a chosen one must be chosen too. Returns the chosen items still tied.
-    """
-    order = np.argsort(key, kind="stable")
-    order = order[np.argsort(rank[chosen[order]], kind="stable")]
-    item, k = chosen[order], key[order]
-    old = rank[item]
-    new_group = np.ones(len(item), bool)
-    new_group[1:] = old[1:] != old[:-1]
-    changed = new_group.copy()
-    changed[1:] |= k[1:] != k[:-1]
-    place = np.arange(len(item))
-    start = np.maximum.accumulate(np.where(new_group, place, 0))
-    first = np.maximum.accumulate(np.where(changed, place, 0))
-    rank[item] = old + first - start
-    alone = changed & np.append(changed[1:], True)
-    return item[~alone]
-
-
-def _named(padded: np.ndarray, n: int, at: np.ndarray) -> np.ndarray:
-    """For leftmost S suffixes at ``at``: the number of those whose substrings sort before.
-
-    A substring runs up to the next of ``at``; one that ends where another goes on sorts after it.
-    """
-    length = np.append(at[1:], n - 1) - at + 1
-    words = np.ndarray((len(padded) - 7,), ">u8", padded, strides=(1,))
-    rank, chosen, offset = np.zeros(len(at), np.int64), np.arange(len(at)), 0
-    while len(chosen):
-        left = np.clip(length[chosen] - offset, 0, 8).astype(np.uint64)
-        key = words[np.minimum(at[chosen] + offset, len(words) - 1)].astype(np.uint64)
-        # left bytes of the substring, then PAD
-        shift = (np.uint64(8) - left) * np.uint64(8)
-        fill = np.where(left == 0, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << np.minimum(shift, np.uint64(63))) - np.uint64(1))
-        # Nothing follows the last substring, and nothing sorts before everything.
-        final = chosen == len(at) - 1
-        tied = _refined(rank, chosen, np.where(final, key & ~fill, key | fill))
-        offset += 8
-        open_ = np.zeros(len(at), bool)
-        open_[rank[tied[length[tied] >= offset]]] = True  # ranks of ties that go on
-        chosen = tied[open_[rank[tied]]]
-    return rank
+        at = order[tied]
+        key = keys(at + offset)
+        new = np.argsort(key)
+        if offset:
+            new = new[_order(group[new])]
+        order[tied], key = at[new], key[new]
+        differ = key[1:] ^ key[:-1]
+        same_group = group[1:] == group[:-1]  # groups stay where they are
+        ended = np.flatnonzero((differ != 0) & same_group)
+        shared[tied[ended + 1]] = np.minimum(offset + _equal_bytes(differ[ended]), LIMIT)
+        heads = np.flatnonzero(np.concatenate(([True], (differ != 0) | ~same_group)))
+        sizes = np.diff(np.append(heads, len(tied)))
+        settle(tied[heads[sizes == 2]], offset + 8)
+        going = np.repeat(sizes > 2, sizes)
+        tied, group = tied[going], np.repeat(np.arange(len(heads)), sizes)[going]
+    shared[1:] = np.minimum(shared[1:], n - np.maximum(order[1:], order[:-1]))
+    return order, shared
 
 
-def seeds(padded: np.ndarray, small: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The leftmost S suffixes in order, and the common prefix of each with the one before."""
-    at = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    rank = _named(padded, len(small), at)
-    counts = np.bincount(rank, minlength=len(at) + 1)
-    tied = np.flatnonzero(counts[rank] > 1)
-    span = 1
-    # Every substring has two bytes at least, so so many of them cover LIMIT bytes.
-    while len(tied) and span <= LIMIT // 2 + 1:
-        later = tied + span
-        key = np.where(later < len(at), rank[np.minimum(later, len(at) - 1)], -1)
-        tied = _refined(rank, tied, key)
-        span *= 2
-    order = at[np.argsort(rank, kind="stable")]
-    shared = np.zeros(len(order), np.uint8)
-    if len(order) > 1:
-        shared[1:] = common_prefixes(padded, order[:-1], order[1:])
-    return order, shared
+def _equal_bytes(differ: np.ndarray) -> np.ndarray:
+    """How many bytes of two words of eight are equal before the first that differs, which their XOR says."""
+    same = np.zeros(len(differ), np.int64)
+    for bits in range(8, 64, 8):
+        same += differ < np.uint64(1 << (64 - bits))
+    return same
 
 
 def _least(values: np.ndarray):

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import tempfile
@@ -141,6 +142,38 @@ def test_suffix_dedup_of_a_passage_in_many_contexts(spark, monkeypatch):
     assert len(heavy) > 0 and all(r[1] > 0 for r in heavy)
 
 
+def _seeds(strings):
+    text = np.frombuffer(b"".join(x + bytes([suffix_sort.END]) for x in strings), np.uint8)
+    padded = np.concatenate((text, np.full(suffix_sort.LIMIT + 8, suffix_sort.PAD, np.uint8)))
+    return text.tobytes(), suffix_sort.seeds(padded, suffix_sort.suffix_types(text))
+
+
+def test_seeds_are_sorted_once(monkeypatch):
+    """Suffixes that tie with one other are compared with it, and not sorted round after round."""
+    draw = np.random.default_rng(3)
+    strings = [draw.integers(1, 200, 250, dtype=np.uint8).tobytes() for _ in range(40)]
+    sizes, plain = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, *args, **options: sizes.append(len(a)) or plain(a, *args, **options))
+    _, (order, _) = _seeds(strings * 2)
+    assert sum(sizes) <= 1.1 * len(order)
+
+
+@pytest.mark.parametrize("limit", [3, 8, 9, 17, 200])
+def test_seeds_in_order_with_common_prefixes(monkeypatch, limit):
+    monkeypatch.setattr(suffix_sort, "LIMIT", limit)
+    draw = random.Random(limit)
+    for letters in (b"ab", b"abc\xc3\xa9", b"\x00\x01"):
+        strings = [bytes(draw.choice(letters) for _ in range(draw.randint(1, 30))) for _ in range(60)]
+        text, (order, shared) = _seeds([*strings, *strings[:20], b"a" * 30, b"ab" * 15, strings[0]])
+        tails = [text[p : p + limit] for p in order.tolist()]
+        small = suffix_sort.suffix_types(np.frombuffer(text, np.uint8))
+        assert sorted(order.tolist()) == [p for p in range(1, len(text)) if small[p] and not small[p - 1]]
+        for x, y, n in zip(tails[:-1], tails[1:], shared[1:].tolist(), strict=True):
+            assert n == len(os.path.commonprefix([x, y]))
+            # behind the end of the text a NUL may stand on either side
+            assert x <= y or x.rstrip(b"\x00") == y
+
+
 def test_suffix_sort_on_disk(monkeypatch):
     for trial in range(150):
         random.seed(trial)
