@@ -54,7 +54,7 @@ def powers(n: int, base: np.uint64) -> np.ndarray:
     """The first ``n`` powers of ``base``, modulo 2 ** 64."""
     known = _powers.get(int(base))
     if known is None or len(known) < n:
-        steps = np.full(max(n, PIECE + 1), base, np.uint64)
+        steps = np.full(max(n, min(2 * n, PIECE + 1)), base, np.uint64)  # kept, so no larger than texts need
         steps[0] = 1
         known = _powers[int(base)] = np.multiply.accumulate(steps)
     return known[:n]

@@ -36,7 +36,7 @@ SHARD_BYTES = 6_000_000
 #: Anchors with more bytes of contexts are hashed window by window and not sorted.
 HEAVY_BYTES = SHARD_BYTES // 4
 #: Anchors are chosen in pieces of about so many bytes of texts.
-ANCHOR_PIECE = 1 << 20
+ANCHOR_PIECE = 1 << 18
 
 
 def anchors(body: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -91,7 +91,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pack = zstandard.ZstdCompressor(level=3)
-        blobs = [pack.compress((text or "").encode()) for text in batch.column("text").to_pylist()]
+        blobs = [pack.compress(text.as_py() or b"") for text in batch.column("text").cast(pa.binary())]
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), batch.column("mark"), pa.array(blobs, pa.binary())], ["id", "mark", "packed"]
         )
@@ -139,6 +139,14 @@ def _hashed_windows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 _FOUND = ["gram", "context", "offset", "run", "many", "digest"]
 
 
+def _stretches(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """Of ``n`` positions those in stretches that neither meet nor overlap."""
+    turns = np.zeros(n, np.int8)
+    turns[begin] = 1
+    turns[end] = -1
+    return np.cumsum(turns, dtype=np.int8, out=turns).view(bool)
+
+
 def _sorted_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of a shard's contexts that are repeated, as stretches of starts; those of heavy
     anchors one by one, with their hashes and unjudged."""
@@ -155,11 +163,14 @@ def _sorted_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 body, starts = text_bytes(batch.column("body"))
                 size = np.diff(starts)
                 ended = np.full(len(body) + len(size), suffix_sort.END, np.uint8)
-                ended[np.arange(len(body)) + np.repeat(np.arange(len(size)), size)] = body
+                inside = np.ones(len(ended), bool)
+                inside[np.cumsum(size + 1) - 1] = False
+                ended[inside] = body
                 ended.tofile(file)
                 n_bytes += len(ended)
                 for held, name in ((grams, "gram"), (contexts, "context"), (numbers, "number"), (many, "many")):
-                    held.append(batch.column(name).to_numpy(zero_copy_only=False))
+                    # a copy: a view would keep the whole batch
+                    held.append(np.array(batch.column(name).to_numpy(zero_copy_only=False)))
                 sizes.append(size + 1)
             np.full(suffix_sort.LIMIT + 8, suffix_sort.PAD, np.uint8).tofile(file)
         if not n_bytes:
@@ -167,19 +178,17 @@ def _sorted_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         padded = np.memmap(path, np.uint8, "r") if n_bytes > suffix_sort.IN_MEMORY else np.fromfile(path, np.uint8)
         repeated = suffix_sort.repeated_starts(padded, suffix_sort.Scratch(folder))
         begin = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))[:-1]
-        number, often = np.concatenate(numbers).astype(np.int64), np.concatenate(many)
-        owner = np.repeat(np.arange(len(number)), number)
-        offset = np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)
-        hit = np.flatnonzero(repeated[begin[owner] + offset] | often[owner])
-        owner, offset = owner[hit], offset[hit]
-        cut = np.ones(len(hit), bool)
-        cut[1:] = (owner[1:] != owner[:-1]) | (offset[1:] != offset[:-1] + 1)
-        at = np.flatnonzero(cut)
-        run = np.diff(np.append(at, len(hit)))
+        end, often = begin + np.concatenate(numbers), np.concatenate(many)
+        # Only windows count, and between the windows of two contexts there are other starts.
+        hit = (repeated | _stretches(begin[often], end[often], n_bytes)) & _stretches(begin, end, n_bytes)
+        at = np.flatnonzero(hit & np.append(True, ~hit[:-1]))
+        run = np.flatnonzero(hit & np.append(~hit[1:], True)) + 1 - at
+        owner = np.searchsorted(begin, at, "right") - 1
+        offset = at - begin[owner]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.concatenate(grams)[owner[at]]), pa.array(np.concatenate(contexts)[owner[at]]),
-                pa.array(offset[at].astype(np.int32)), pa.array(run.astype(np.int32)),
+                pa.array(np.concatenate(grams)[owner]), pa.array(np.concatenate(contexts)[owner]),
+                pa.array(offset.astype(np.int32)), pa.array(run.astype(np.int32)),
                 pa.nulls(len(at), pa.bool_()), pa.nulls(len(at), pa.binary()),
             ],
             _FOUND,

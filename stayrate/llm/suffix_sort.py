@@ -21,6 +21,8 @@ LIMIT = 200
 END, PAD = 0xFE, 0xFF
 #: Tuples that the queues hold in memory, and entries of an array that stays in memory.
 QUEUE_TUPLES, IN_MEMORY = 1 << 23, 1 << 26
+#: Leftmost S suffixes that are sorted together, unless more of them open with the same two bytes.
+SEEDS_AT_ONCE = 1 << 18
 _BLOCK = 1 << 16
 _LEVEL = np.frexp(np.arange(_BLOCK + 1))[1].astype(np.int64) - 1  # floor of the binary logarithm
 
@@ -97,13 +99,46 @@ def _order(group: np.ndarray) -> np.ndarray:
 def seeds(padded: np.ndarray, small: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The leftmost S suffixes in order up to LIMIT bytes, and the common prefix of each with the one before.
 
-    Eight bytes are compared at a time, and of the suffixes only those that still tie; two that tie
-    with no other are compared with each other. The end of the text sorts before everything.
+    They are dealt by their first two bytes, and about SEEDS_AT_ONCE are sorted together, so that what
+    sorting holds does not grow with the shard. The end of the text sorts before everything.
     ``padded`` is the text and LIMIT + 8 bytes of PAD.
     """
     n = len(small)
     words = np.ndarray((len(padded) - 7,), ">u8", padded, strides=(1,))
-    order = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    kind = position_type(n)
+    leftmost = small[1:] & ~small[:-1]
+    found = [np.zeros(0, kind)]
+    for a in range(0, len(leftmost), _BLOCK):
+        found.append((np.flatnonzero(leftmost[a : a + _BLOCK]) + (a + 1)).astype(kind))
+    unsorted = np.concatenate(found)
+    del leftmost, found
+    opening, counts = np.empty(len(unsorted), np.uint16), np.zeros(1 << 16, np.int64)
+    for a in range(0, len(unsorted), _BLOCK):
+        part = opening[a : a + _BLOCK] = words[unsorted[a : a + _BLOCK]] >> np.uint64(48)
+        counts += np.bincount(part.astype(np.int64), minlength=1 << 16)
+    ends = np.cumsum(counts)
+    order, shared = np.empty(len(unsorted), kind), np.empty(len(unsorted), np.uint8)
+    first, done = 0, 0
+    while done < len(order):
+        last = max(first, int(np.searchsorted(ends, done + SEEDS_AT_ONCE, "right")) - 1)
+        end = int(ends[last])
+        if end > done:
+            some = unsorted[(opening >= first) & (opening <= last)].astype(np.int64)
+            shared[done:end] = _sort_seeds(words, n, some)
+            order[done:end] = some
+            if done:
+                shared[done] = padded[order[done]] == padded[order[done - 1]]  # the second byte differs
+        first, done = last + 1, end
+    return order, shared
+
+
+def _sort_seeds(words: np.ndarray, n: int, order: np.ndarray) -> np.ndarray:
+    """Sort the suffixes ``order`` in place; returns the common prefix of each with the one before.
+
+    Eight bytes are compared at a time, and of the suffixes only those that still tie; two that tie
+    with no other are compared with each other. ``words`` are the eight bytes from each position of a
+    text of ``n`` bytes.
+    """
     shared = np.full(len(order), LIMIT, np.uint8)
     shared[:1] = 0
 
@@ -150,7 +185,7 @@ def seeds(padded: np.ndarray, small: np.ndarray) -> tuple[np.ndarray, np.ndarray
         going = np.repeat(sizes > 2, sizes)
         tied, group = tied[going], np.repeat(np.arange(len(heads)), sizes)[going]
     shared[1:] = np.minimum(shared[1:], n - np.maximum(order[1:], order[:-1]))
-    return order, shared
+    return shared
 
 
 def _equal_bytes(differ: np.ndarray) -> np.ndarray:
@@ -200,12 +235,15 @@ def induce(
     queues, done, meetings = Queues(scratch), 0, []
     if opening is not None:
         queues.put(int(text[opening]), np.array([opening], kind), np.zeros(1, np.uint8))
-    firsts, bytes_ = text[start], np.arange(256)
+    firsts, bytes_ = np.empty(len(start), np.uint8), np.arange(256)
+    for a in range(0, len(start), _BLOCK):  # numpy widens the positions it is given
+        firsts[a : a + _BLOCK] = text[start[a : a + _BLOCK]]
     if scan.step > 0:
         begins, ends = np.searchsorted(firsts, bytes_), np.searchsorted(firsts, bytes_, "right")
     else:
         begins = len(start) - np.searchsorted(firsts[::-1], bytes_, "right")
         ends = len(start) - np.searchsorted(firsts[::-1], bytes_)
+    del firsts
     running = np.zeros(256, np.uint8)  # least common prefix scanned since the last put, per byte
 
     def put_all(positions, shared, byte):
@@ -301,6 +339,7 @@ def repeated_starts(padded: np.ndarray, scratch: Scratch) -> np.ndarray:
     small = suffix_types(text)
     order, shared = seeds(padded, small)
     large, large_shared, _ = induce(text, range(256), ~small, order, shared, scratch, opening=len(text) - 1)
+    del order, shared
     _mark(repeated, large, large_shared)
     down_shared = np.append(np.zeros(1, np.uint8), large_shared[1:][::-1])
     tiny, tiny_shared, meetings = induce(text, range(255, -1, -1), small, large[::-1], down_shared, scratch)
