@@ -91,28 +91,34 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pack = zstandard.ZstdCompressor(level=3)
-        blobs = [pack.compress(text.as_py() or b"") for text in batch.column("text").cast(pa.binary())]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("mark"), pa.array(blobs, pa.binary())], ["id", "mark", "packed"]
-        )
+        body, starts = text_bytes(batch.column("text"))
+        for a, b in pieces(starts):
+            blobs = [pack.compress(body[starts[i] : starts[i + 1]]) for i in range(a, b)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id")[a:b], batch.column("mark")[a:b], pa.array(blobs, pa.binary())], ["id", "mark", "packed"]
+            )
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["gram", "context", "number", "many", "heavy", "body"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary()]
+    names = ["gram", "context", "number", "many", "heavy"]
     for batch in batches:
         unpack = zstandard.ZstdDecompressor()
-        rows: list[tuple] = []
-        for packed, wanted in zip(batch.column("packed"), batch.column("wanted")):
-            text = unpack.decompress(packed.as_py())
-            for x in wanted.as_py():
-                end = x["first"] + x["number"] + LENGTH - 1
-                rows.append((x["gram"], x["context"], x["number"], x["many"], x["heavy"], text[x["first"] : end]))
-            if len(rows) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-                rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+        packed, (starts, wanted) = batch.column("packed"), _listed(batch.column("wanted"))
+        first = wanted.field("first").to_numpy()
+        end = first + wanted.field("number").to_numpy() + (LENGTH - 1)
+        for a, b in pieces(starts, 20_000):
+            bodies: list[bytes] = []
+            for i in range(a, b):
+                text, own = unpack.decompress(packed[i].as_py()), slice(starts[i], starts[i + 1])
+                bodies += [text[x:y] for x, y in zip(first[own].tolist(), end[own].tolist())]
+            some = wanted[starts[a] : starts[b]]
+            yield pa.RecordBatch.from_arrays([*map(some.field, names), pa.array(bodies, pa.binary())], [*names, "body"])
+
+
+def _listed(column: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
+    """Where each list of a column begins in all of their items, and these; null is empty."""
+    sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    return np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), column.flatten()
 
 
 def _hashed_windows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -206,29 +212,37 @@ def _repeated_windows(windows: DataFrame) -> DataFrame:
     return made.select("gram", "context", "offset", "run")
 
 
+def _merged(starts: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The maximal runs of the spans of each text: where those of each begin, their first bytes and their ends."""
+    # Texts one after the other, with room between them.
+    room = int(end.max(initial=0)) + 1
+    shift = np.repeat(np.arange(len(starts) - 1), np.diff(starts)) * room
+    order = np.argsort(shift + first)
+    first, end, shift = (shift + first)[order], (shift + end)[order], shift[order]
+    reach = np.maximum.accumulate(end)
+    new = np.flatnonzero(np.append(np.ones(min(1, len(first)), bool), first[1:] > reach[:-1]))
+    last = np.append(new[1:], len(first))[: len(new)] - 1
+    begins = np.searchsorted(first[new], np.arange(len(starts)) * room)
+    return begins, first[new] - shift[new], reach[last] - shift[new]
+
+
 def _cut(keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             unpack = zstandard.ZstdDecompressor()
-            columns: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
-            for packed, spans in zip(batch.column("packed"), batch.column("spans").to_pylist()):
-                text = unpack.decompress(packed.as_py())
-                pieces_, removed, n_spans, end = [], 0, 0, 0
-                for span in sorted(spans or [], key=lambda s: s["from"]):
-                    if n_spans == 0 or span["from"] > end:
-                        pieces_.append(text[end : span["from"]])
-                        n_spans += 1
-                        removed += span["to"] - span["from"]
-                        end = span["to"]
-                    elif span["to"] > end:
-                        removed += span["to"] - end
-                        end = span["to"]
-                left = b"".join([*pieces_, text[end:]])
-                values = len(text), removed, n_spans, hashlib.sha256(left).hexdigest(), left if keep else None
-                for name, value in zip(columns, values):
-                    columns[name].append(value)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            made = {n: pa.array(v, t) for (n, v), t in zip(columns.items(), types) if keep or n != "kept"}
+            starts, spans = _listed(batch.column("spans"))
+            bounds = (spans.field(name).to_numpy().astype(np.int64) for name in ("from", "to"))
+            begins, first, end = _merged(starts, *bounds)
+            sizes, digests, kept = [], [], []
+            for i, packed in enumerate(batch.column("packed")):
+                text, own = unpack.decompress(packed.as_py()), slice(begins[i], begins[i + 1])
+                left = b"".join([text[x:y] for x, y in zip([0, *end[own].tolist()], [*first[own].tolist(), len(text)])])
+                sizes.append((len(text), len(text) - len(left), begins[i + 1] - begins[i]))
+                digests.append(hashlib.sha256(left).hexdigest())
+                if keep:
+                    kept.append(left)
+            made = dict(zip(("n_bytes", "n_removed", "n_spans"), map(pa.array, np.array(sizes, np.int64).reshape(-1, 3).T)))
+            made |= {"kept_sha256": pa.array(digests, pa.string())} | ({"kept": pa.array(kept, pa.binary())} if keep else {})
             yield pa.RecordBatch.from_arrays([batch.column("id"), *made.values()], ["id", *made])
 
     return run
@@ -269,7 +283,7 @@ def remove_repeats(docs: DataFrame, keep: bool = False, id_column: str = "doc_id
     wanted = marked.groupBy("id", "mark").agg(
         F.collect_list(F.struct("gram", "context", "number", "many", "heavy", "first")).alias("wanted")
     )
-    packed = plain.mapInArrow(_packed, "id long, mark binary, packed binary")
+    packed = stored(plain.mapInArrow(_packed, "id long, mark binary, packed binary"), "packed", compression="none")
     same = lambda other: F.col("id").eqNullSafe(F.col(f"{other}_id")) & (F.col("mark") == F.col(f"{other}_mark"))
     named = lambda df, other: df.withColumnsRenamed({"id": f"{other}_id", "mark": f"{other}_mark"})
     bodies = packed.join(named(wanted, "w"), same("w")).mapInArrow(

@@ -11,7 +11,9 @@ import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from stayrate.llm import decontaminate, exact_dedup, mixing, near_dedup, sharding, suffix_dedup, suffix_sort, toxicity
 
@@ -194,6 +196,33 @@ def test_seeds_sorted_in_parts(monkeypatch, at_once):
             assert n == len(os.path.commonprefix([x, y]))
 
 
+def test_packed_texts_leave_in_small_batches():
+    """A batch of many bytes is not held packed as a whole; every text is in it, null as empty."""
+    draw = random.Random(8)
+    texts = ["".join(draw.choices("abcdefgh ", k=50_000)) for _ in range(120)] + [None, "", "é"]
+    columns = [pa.array(range(len(texts)), pa.int64()), pa.array([b"m"] * len(texts)), pa.array(texts)]
+    made = list(suffix_dedup._packed(iter([pa.RecordBatch.from_arrays(columns, ["id", "mark", "text"])])))
+    unpack = zstandard.ZstdDecompressor()
+    found = [(x["id"], unpack.decompress(x["packed"]).decode()) for batch in made for x in batch.to_pylist()]
+    assert found == [(i, t or "") for i, t in enumerate(texts)]
+    assert len(made) > 1
+
+
+def test_spans_of_texts_merge_into_runs():
+    draw = random.Random(9)
+    spans = [[(a, a + draw.randint(1, 9)) for a in draw.choices(range(60), k=draw.randint(0, 12))] for _ in range(80)]
+    spans[0], spans[7], spans[-1] = [], [(0, 5), (5, 9)], []
+    starts = np.cumsum([0, *map(len, spans)])
+    flat = np.array([s for each in spans for s in each], np.int64)
+    begins, first, end = suffix_dedup._merged(starts, flat[:, 0], flat[:, 1])
+    for i, each in enumerate(spans):
+        gone = "".join("x" if any(a <= p < b for a, b in each) else " " for p in range(70))
+        own = slice(begins[i], begins[i + 1])
+        assert list(zip(first[own].tolist(), end[own].tolist())) == [m.span() for m in re.finditer("x+", gone)]
+    none = np.zeros(0, np.int64)
+    assert [len(x) for x in suffix_dedup._merged(np.zeros(4, np.int64), none, none)] == [4, 0, 0]
+
+
 def test_memory_of_a_sorted_shard(tmp_path):
     """Sorting a shard takes less than 18 bytes for each of its bytes, the text not counted (33 before)."""
     draw = np.random.default_rng(5)
