@@ -266,7 +266,8 @@ def remove_repeats(docs: DataFrame, keep: bool = False, id_column: str = "doc_id
     runs = stored(
         plain.mapInArrow(_anchor_rows, "id long, mark binary, gram long, context long, first int, number int"), "anchors"
     )
-    often = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    # Stored, so that the join reads rows alone and Spark can split those of a hot anchor.
+    often = stored(runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "often")
     shared = stored(runs.join(often, "gram", "left_semi"), "shared")
     # Of equal contexts one is sorted.
     alike = shared.groupBy("gram", "context", "number").agg(

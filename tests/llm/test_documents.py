@@ -145,6 +145,20 @@ def test_suffix_dedup_of_a_passage_in_many_contexts(spark, monkeypatch):
     assert len(heavy) > 0 and all(r[1] > 0 for r in heavy)
 
 
+def test_suffix_dedup_can_split_a_hot_anchor(spark, monkeypatch):
+    """The semi-join by anchor stands on plain reads: Spark does not split rows that are also counted there."""
+    plans, plain = {}, suffix_dedup.stored
+
+    def seen(df, name, **options):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return plain(df, name, **options)
+
+    monkeypatch.setattr(suffix_dedup, "stored", seen)
+    docs = spark.createDataFrame([(i, "the same text " * 30) for i in range(9)], "doc_id long, text string")
+    assert suffix_dedup.remove_repeats(docs).where("n_removed = n_bytes").count() == 9
+    assert "Join LeftSemi" in plans["shared"] and "Aggregate" not in plans["shared"]
+
+
 def _seeds(strings):
     text = np.frombuffer(b"".join(x + bytes([suffix_sort.END]) for x in strings), np.uint8)
     padded = np.concatenate((text, np.full(suffix_sort.LIMIT + 8, suffix_sort.PAD, np.uint8)))
