@@ -16,6 +16,7 @@ import pytest
 import zstandard
 
 from stayrate.llm import decontaminate, exact_dedup, mixing, near_dedup, sharding, suffix_dedup, suffix_sort, toxicity
+from tests.conftest import plan_of
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 LABELS = "doc_id long, quality int, toxic int"
@@ -145,6 +146,24 @@ def test_suffix_dedup_of_a_passage_in_many_contexts(spark, monkeypatch):
     assert len(heavy) > 0 and all(r[1] > 0 for r in heavy)
 
 
+def test_suffix_dedup_broadcasts_no_anchors_or_windows(spark, confs, monkeypatch):
+    """Files of anchors and windows are small beside what a broadcast of them holds."""
+    confs(spark__sql__autoBroadcastJoinThreshold="10m")
+    plans, plain = {}, suffix_dedup.stored
+
+    def seen(df, name, **options):
+        plans[name] = plan_of(df)
+        return plain(df, name, **options)
+
+    monkeypatch.setattr(suffix_dedup, "stored", seen)
+    random.seed(12)
+    text = "".join(random.choice("abcdefgh ") for _ in range(700))
+    found = suffix_dedup.remove_repeats(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string"))
+    assert "SortMergeJoin [gram" in plans["shared"] and "BroadcastHashJoin" not in plans["shared"]
+    assert "SortMergeJoin [gram" in plan_of(found) and "BroadcastHashJoin [gram" not in plan_of(found)
+    assert found.where("n_removed = n_bytes").count() == 2
+
+
 def test_suffix_dedup_can_split_a_hot_anchor(spark, monkeypatch):
     """The semi-join by anchor stands on plain reads: Spark does not split rows that are also counted there."""
     plans, plain = {}, suffix_dedup.stored

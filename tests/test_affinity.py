@@ -115,6 +115,37 @@ def test_lookup_join_in_both_forms(spark, confs, how):
     assert "SortMergeJoin" in plan_of(large) and "_salt" in plan_of(large)
 
 
+def test_large_lookup_is_neither_broadcast_nor_repeated_much(spark, confs, tmp_path, monkeypatch):
+    """Spark would broadcast all repeats of a table whose file is small."""
+    confs(spark__sql__autoBroadcastJoinThreshold="10m")
+    fact = spark.range(3000).select((F.col("id") % 50).alias("k"), "id")
+    spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")).write.parquet(f"{tmp_path}/t")
+    lookup = spark.read.parquet(f"{tmp_path}/t")
+    for most, salted in ((2_000_000, True), (80, True), (60, False)):
+        monkeypatch.setattr("stayrate.functions.joins.MAX_REPEATED_ROWS", most)
+        joined = lookup_join(fact, lookup, "k", max_broadcast_rows=10)
+        plan = plan_of(joined)
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and ("_salt" in plan) == salted
+        assert joined.count() == 2400 and joined.agg(F.sum("v")).first()[0] == 60 * sum(range(0, 80, 2))
+    confs(spark__sql__adaptive__skewJoin__enabled="false")  # then salts are all that splits a hot key
+    assert "_salt" in plan_of(lookup_join(fact, lookup, "k", max_broadcast_rows=10))
+
+
+def test_hot_key_of_a_large_lookup_is_split(spark, confs, monkeypatch):
+    confs(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="16k",
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="16k",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor="1.5",
+    )
+    monkeypatch.setattr("stayrate.functions.joins.MAX_REPEATED_ROWS", 0)
+    fact = spark.range(0, 60_000, 1, 8).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000).alias("k"), "id")
+    lookup = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    joined = lookup_join(fact, lookup, "k", max_broadcast_rows=10)
+    assert len(joined.collect()) == 60_000
+    assert "skew=true" in plan_of(joined)
+
+
 def test_lookup_join_rejects_other_joins(spark):
     with pytest.raises(ValueError):
         lookup_join(spark.range(1), spark.range(1), "id", "full")
