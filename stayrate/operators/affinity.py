@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayrate.config import DEFAULT
-from stayrate.functions import lookup_join, n_rows, ratio
+from stayrate.functions import joins, lookup_join, n_rows, ratio
 from stayrate.sources.checkpoints import materialise
 
 _BASKET = ["customer_id", "t_dat"]
@@ -80,13 +80,30 @@ def _blocks(types: DataFrame) -> DataFrame:
     return _spread(cut)
 
 
+def _without_rare(types: DataFrame, frequent: DataFrame) -> DataFrame:
+    """The sets without items that are not ``frequent``, if these are most items of sets; else as they are.
+
+    Both need to be stored.
+    """
+    often = frequent.agg(F.sum("n_baskets")).first()[0] or 0
+    if 2 * often >= (types.agg(F.sum(F.col("n") * F.size("items"))).first()[0] or 0):
+        return types
+    numbered = types.withColumn("set", F.monotonically_increasing_id())  # before items: one number for a set
+    items = numbered.select("set", "n", F.explode("items").alias("item"))
+    kept = lookup_join(items, frequent.select("item"), "item", "left_semi")
+    return kept.groupBy("set").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("item")).alias("items")).drop("set")
+
+
 def _pairs_of_types(types: DataFrame, frequent: DataFrame | None = None) -> DataFrame:
     """Each item is combined with those after it; counts are summed before any shuffle.
 
-    Only items of ``frequent`` take part, if it is given.
+    Only items of ``frequent`` take part, if it is given. If they are too many to broadcast, the
+    rest leave the sets before, where they make up most of them, and their pairs are counted elsewhere.
     """
+    if frequent is not None and frequent.limit(joins.MAX_BROADCAST_ROWS + 1).count() > joins.MAX_BROADCAST_ROWS:
+        types, frequent = _without_rare(types, frequent), None
     kept = lambda df, side: df if frequent is None else df.join(
-        frequent.select(F.col("item").alias(side)), side, "left_semi"
+        F.broadcast(frequent.select(F.col("item").alias(side))), side, "left_semi"
     )
     first = _blocks(types).select("n", "own", "right", F.posexplode("left").alias("i", "item_a"))
     rest = F.when(F.col("own"), F.slice("right", F.col("i") + 2, F.size("right"))).otherwise(F.col("right"))

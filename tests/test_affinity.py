@@ -173,6 +173,24 @@ def test_one_plan_for_any_number_of_items(spark, n_items):
     assert steps == test_one_plan_for_any_number_of_items.steps
 
 
+@pytest.mark.parametrize("min_support, pruned", [(0.0, False), (0.01, True)])
+def test_pairs_of_more_items_than_are_broadcast(spark, random_baskets, monkeypatch, min_support, pruned):
+    """No set or pair moves to meet the frequent items; rare ones leave before if they are most items of sets."""
+    contents = [*random_baskets, *([f"rare{i}{k}" for k in range(40)] + [None] for i in range(60))]
+    expected = {k: n for k, n in brute_pairs(contents).items() if n >= max(2, int(min_support * len(contents)))}
+    cut, plain = [], aff._without_rare
+    monkeypatch.setattr("stayrate.functions.joins.MAX_BROADCAST_ROWS", 3)
+    monkeypatch.setattr(aff, "_without_rare", lambda types, frequent: cut.append(types) or cut.append(plain(types, frequent)) or cut[-1])
+    if not pruned:
+        contents = random_baskets
+        expected = {k: n for k, n in brute_pairs(contents).items() if n >= 2}
+    found = aff.affinity_pairs(baskets(spark, contents), min_support, 2)
+    before, after = (df.agg(F.sum(F.size("items"))).first()[0] for df in cut)
+    assert (after < before) == pruned
+    assert {(r.item_A, r.item_B): r.pair_count for r in found.collect()} == expected and expected
+    assert pruned or "LeftSemi" not in plan_of(found)
+
+
 def brute_triples(contents, least):
     found = Counter()
     for items in contents:
