@@ -5,8 +5,9 @@ up gradients and curvatures per (model, node, feature, bin), blocks are summed,
 of every node is read from the sums. Models of the grid grow side by side, so the number of steps
 is that of the longest model, not the sum over the grid.
 
-Rows lie in blocks of at most BLOCK_ROWS. With a single block its sums are the sums of all rows, so
-each model grows next to the block without an exchange per level, the models in parallel.
+Rows lie in blocks of at most BLOCK_ROWS; up to BESIDE_BLOCKS of them are one block. With a single block its
+sums are the sums of all rows, so each model grows next to the block without an exchange per level, the
+models in parallel.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from stayrate.sources.checkpoints import shared_dir
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors have no copy of the package
 
 BLOCK_ROWS = 250_000
+#: A row takes a byte a feature and 16 more; while a tree grows also a byte a feature and about 60 more.
+BESIDE_BLOCKS = 4
 BINS = 64
 #: Penalty on leaf values and least curvature of a leaf, the usual defaults.
 LEAF_PENALTY, LEAST_CURVATURE = 1.0, 1.0
@@ -69,8 +72,9 @@ class Tree(NamedTuple):
 
     def step(self, bins: np.ndarray, node: np.ndarray) -> np.ndarray:
         """Where rows at ``node`` are one level on; those at leaves stay."""
-        feature = self.feature[node]
-        right = bins[np.arange(len(bins)), np.maximum(feature, 0)] > self.split[node]
+        feature = self.feature.take(node)
+        at = np.arange(len(bins)) * bins.shape[1] + np.maximum(feature, 0)
+        right = bins.reshape(-1).take(at) > self.split.take(node)
         return np.where(feature >= 0, 2 * node + 1 + right, node)
 
     def nodes(self, bins: np.ndarray, levels: int) -> np.ndarray:
@@ -104,10 +108,10 @@ def gradients(label: np.ndarray, margin: np.ndarray, positive_weight: float) ->
 
 
 class Sample(NamedTuple):
-    """What a tree is grown from: rows, their cells (feature and bin), gradients and curvatures."""
+    """What a tree is grown from: rows, their bins for each feature, gradients and curvatures."""
 
     rows: np.ndarray
-    cells: np.ndarray
+    bins: list[np.ndarray]
     both: tuple[np.ndarray, np.ndarray]
 
 
@@ -115,21 +119,22 @@ def sampled(block: Block, margin: np.ndarray, params: Params, number: int, seed:
     """The sample of tree ``number`` of a model."""
     features = tree_features(block.bins.shape[1], params.feature_share, seed, number)
     rows = np.flatnonzero(tree_rows(block.draw, params.row_share, seed, number))
-    cells = block.bins[np.ix_(rows, features)] + np.arange(len(features), dtype=np.int32) * BINS
-    return Sample(rows, cells, gradients(block.label[rows], margin[rows], params.positive_weight))
+    bins = [block.bins[:, feature][rows] for feature in features]
+    return Sample(rows, bins, gradients(block.label[rows], margin[rows], params.positive_weight))
 
 
 def level_sums(sample: Sample, node: np.ndarray, opened: np.ndarray) -> np.ndarray:
     """Gradients and curvatures of the ``opened`` nodes of a level, given each row's node: 2 x nodes x features x bins."""
-    place = np.full(max(int(opened.max()), int(node.max(initial=0))) + 1, -1, np.int64)
+    # One feature at a time, whose sums stay near the CPU; rows at other nodes share a place after the opened ones.
+    place = np.full(max(int(opened.max()), int(node.max(initial=0))) + 1, len(opened), np.int64)
     place[opened] = np.arange(len(opened))
-    at = place[node[sample.rows]]
-    there = np.flatnonzero(at >= 0)
-    n_features = sample.cells.shape[1]
-    cell = (sample.cells[there] + (at[there] * (n_features * BINS))[:, None]).ravel()
-    size = len(opened) * n_features * BINS
-    sums = [np.bincount(cell, np.repeat(x[there], n_features), size) for x in sample.both]
-    return np.stack(sums).reshape(2, len(opened), n_features, BINS)
+    at = place.take(node.take(sample.rows)) * BINS
+    sums = np.empty((2, len(opened), len(sample.bins), BINS))
+    for f, bins in enumerate(sample.bins):
+        cell = at + bins
+        for i, x in enumerate(sample.both):
+            sums[i, :, f] = np.bincount(cell, x, (len(opened) + 1) * BINS).reshape(-1, BINS)[:-1]
+    return sums
 
 
 def best_splits(sums: np.ndarray) -> np.ndarray:
@@ -290,8 +295,9 @@ def bin_edges(train: DataFrame, n_features: int) -> list[np.ndarray]:
 
 
 def train_blocks(train: DataFrame, edges: list[np.ndarray], label: str = "lapsed") -> tuple[DataFrame, int]:
-    """Binned rows in blocks of about BLOCK_ROWS, and the number of blocks."""
+    """Binned rows in blocks of about BLOCK_ROWS, or one if that makes few, and the number of blocks."""
     n_blocks = -(-train.count() // BLOCK_ROWS)
+    n_blocks = 1 if n_blocks <= BESIDE_BLOCKS else n_blocks
     shipped = train.sparkSession.sparkContext.broadcast(edges)
     ids = [c for c in ("customer_id", "snapshot") if c in train.columns]
     values = vector_to_array("features").alias("values")
@@ -326,7 +332,7 @@ def fit_grid(train: DataFrame, grid: Sequence[Params], seed: int) -> list[Booste
     packed, n_blocks = train_blocks(train, edges)
     n_features = len(edges)
     if n_blocks == 1:
-        shared = context.broadcast(tuple(_unpacked(packed.first(), n_features)))  # at most BLOCK_ROWS rows
+        shared = context.broadcast(tuple(_unpacked(packed.first(), n_features)))  # at most BESIDE_BLOCKS * BLOCK_ROWS rows
         order = sorted(range(len(grid)), key=lambda i: -grid[i].n_trees * 2 ** grid[i].max_depth)
         jobs = context.parallelize([(i, grid[i]) for i in order], len(order))
         found = dict(jobs.map(lambda job: (job[0], grow_beside(Block(*shared.value), job[1], seed))).collect())

@@ -159,6 +159,35 @@ def test_blocks_grow_the_trees_that_one_block_grows(vectors, monkeypatch):
         assert np.allclose(a.value, b.value, atol=1e-6)
 
 
+@pytest.mark.parametrize("beside", [1, 1000])
+def test_few_blocks_are_one_block(vectors, monkeypatch, beside):
+    """Models grow beside a few blocks of rows without a job per level, and grow the same trees."""
+    grid = [boosting.Params(3, 0.2, 3, 3.0, 0.8, 0.8)]
+    alone = boosting.fit_grid(vectors[0], grid, 7)[0]
+    called, plain = [], boosting.grow_together
+    monkeypatch.setattr(boosting, "grow_together", lambda *args: called.append(1) or plain(*args))
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 300)
+    monkeypatch.setattr(boosting, "BESIDE_BLOCKS", beside, raising=False)
+    found = boosting.fit_grid(vectors[0], grid, 7)[0]
+    assert bool(called) == (beside == 1)
+    assert (alone.feature == found.feature).all() and (alone.split == found.split).all()
+    assert np.allclose(alone.value, found.value, atol=1e-6)
+
+
+def test_level_sums_count_opened_nodes_only():
+    rng = np.random.default_rng(4)
+    block = boosting.Block(rng.integers(0, 64, (500, 6)).astype(np.uint8), rng.integers(0, 2, 500).astype(float), rng.integers(0, 2**63, 500).astype(np.uint64))
+    params, node, opened = boosting.Params(3, 0.1, 1, 2.0, 0.8, 0.5), rng.integers(3, 7, 500), np.array([4, 6])
+    sample = boosting.sampled(block, rng.normal(size=500), params, 0, 9)
+    features = boosting.tree_features(6, 0.5, 9, 0)
+    expected = np.zeros((2, 2, len(features), 64))
+    for r, *both in zip(sample.rows, *sample.both):
+        for f, feature in enumerate(features):
+            if node[r] in opened:
+                expected[:, list(opened).index(node[r]), f, block.bins[r, feature]] += both
+    assert np.allclose(boosting.level_sums(sample, node, opened), expected)
+
+
 def test_a_split_maximises_the_gain(vectors):
     """The first split of a plain tree against every cut between bins."""
     rows = vectors[0].select(vector_to_array("features").alias("v"), "lapsed").collect()
